@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import token_counts
 from tidemark.llm.common import read
+from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.quality import quality
 from tidemark.llm.simhash import near_groups
@@ -32,11 +33,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
