@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import token_counts
+from tidemark.llm.codec import digests
 from tidemark.llm.common import read
 from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.lines import dedup_lines
@@ -25,6 +26,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"), shingle=3, distance=2)
 
@@ -40,6 +45,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op5_bpe_codec": op5_bpe_codec,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
