@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.bpe import token_counts
 from tidemark.llm.codec import digests
 from tidemark.llm.common import read
+from tidemark.llm.lattice import score_texts
 from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.quality import quality
@@ -30,6 +31,10 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"), shingle=3, distance=2)
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_lattice_lm": op6_lattice_lm,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
