@@ -13,7 +13,9 @@ from tidemark.llm.common import read
 from tidemark.llm.lattice import score_texts
 from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.lines import dedup_lines
+from tidemark.llm.packing import pack
 from tidemark.llm.quality import quality
+from tidemark.llm.sharding import reshard
 from tidemark.llm.simhash import near_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op4_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard(read(spark, sf_dir, "documents"), old=32, new=40)
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -35,6 +41,10 @@ def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"), shingle=3, distance=2)
 
@@ -50,8 +60,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_flow_sharding": op4_flow_sharding,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_lattice_lm": op6_lattice_lm,
+    "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
