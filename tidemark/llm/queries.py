@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.audio import align
 from tidemark.llm.bpe import token_counts
 from tidemark.llm.codec import digests
 from tidemark.llm.common import read
@@ -25,6 +26,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: the UTF-8 bytes of each text are played as unsigned 8-bit samples."""
+    return align(read(spark, sf_dir, "documents").selectExpr("doc_id", "cast(text as binary) AS pcm"), every=100)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -59,6 +65,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_chroma_alignment": op2_chroma_alignment,
     "op3_token_counts": op3_token_counts,
     "op4_flow_sharding": op4_flow_sharding,
     "op5_bpe_codec": op5_bpe_codec,
