@@ -11,8 +11,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from tidemark.llm.common import Memo, chunks, col
+from tidemark.llm.common import Memo, chunks, col, fresh
 
 #: Counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -20,26 +22,35 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Band:
-    """What a script's clean texts stay within. A text outside any bound is rejected.
+    """What a language's or script's clean texts stay within. A text outside is rejected.
 
-    chars_per_token: lowest and highest mean of word characters per token; fallback: highest share of tokens that are single
-    bytes; entropy: lowest and highest entropy of the text's tokens, as a share of the most that so many tokens can have.
+    letters_per_token: lowest and highest mean of letters per token (letters: of ASCII, and all beyond it); fallback: highest
+    share of tokens that are single bytes; entropy: lowest entropy of the text's tokens, as a share of the most that so many
+    tokens can have. Below usual letters per token a text is rejected as well, unless its entropy is over `varied`: codes,
+    numbers and links take many tokens, but different ones, while symbols and separators between words repeat.
     """
 
-    chars_per_token: tuple[float, float]
-    fallback: float
-    entropy: tuple[float, float]
+    letters_per_token: tuple[float, float]
+    usual: float = 0.0
+    fallback: float = 0.05
+    entropy: float = 0.30
+    varied: float = 0.79
 
 
-#: Bands by script. Latin text has pieces of a few letters each; markup, capitals and separators between words break into
-#: pieces of a letter or two, copied words leave few different tokens. Scripts that the vocabulary holds letter by letter
-#: (or byte by byte) have bands of their own, so that a language isn't rejected for being rare in the vocabulary.
+#: Bands by language where a row names one that is here, else by script. Languages of the Latin script break into pieces of
+#: two letters and more, longer if the vocabulary knows the language; a symbol or separator after each word takes a token
+#: or two of no letters. Scripts that the vocabulary holds letter by letter, or byte by byte, have wide bands, so that a
+#: language isn't rejected for being rare in the vocabulary.
 BANDS = {
-    "latin": Band((1.62, 9.0), 0.05, (0.30, 1.0)),
-    "cyrillic": Band((1.0, 9.0), 0.10, (0.30, 1.0)),
-    "greek": Band((0.8, 9.0), 0.40, (0.30, 1.0)),
-    "cjk": Band((0.3, 4.0), 0.90, (0.30, 1.0)),
-    "other": Band((0.25, 9.0), 1.0, (0.25, 1.0)),
+    "en": Band((1.38, 9.0), usual=1.77),
+    "de": Band((1.38, 9.0), usual=1.86),
+    "fr": Band((1.30, 9.0), usual=1.66),
+    "es": Band((1.30, 9.0), usual=1.66),
+    "latin": Band((1.30, 9.0)),
+    "cyrillic": Band((1.0, 9.0), fallback=0.10),
+    "greek": Band((0.8, 9.0), fallback=0.40),
+    "cjk": Band((0.3, 4.0), fallback=0.90),
+    "other": Band((0.25, 9.0), fallback=1.0, entropy=0.25),
 }
 
 #: First and last code points of the scripts with bands.
@@ -62,6 +73,14 @@ def script_of(text: str) -> str:
     return name if counts[name] > 0 else "latin"
 
 
+_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
+
+
+def letters(text: str) -> int:
+    """Letters of ASCII, and all characters beyond it."""
+    return len(text.encode().translate(None, _NO_LETTERS).decode())
+
+
 def words_of(text: str) -> list[str]:
     """Runs of characters other than the six ASCII blanks."""
     return [w.decode() for w in text.encode().split()] if not text.isascii() or _has_separators(text) else text.split()
@@ -121,8 +140,8 @@ class Fertility:
         if new:
             self.pieces.update(zip(new, (np.array(x, np.uint16).tobytes() for x in self.model.encode(new, num_threads=1)), strict=True))
 
-    def __call__(self, words: list[str], n_chars: int) -> tuple[int, float, float, float]:
-        """Tokens, characters per token, share of byte tokens, entropy of the tokens as a share of its highest value."""
+    def __call__(self, words: list[str], n_letters: int) -> tuple[int, float, float, float]:
+        """Tokens, letters per token, share of byte tokens, entropy of the tokens as a share of its highest value."""
         ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, words)), np.uint16)
         n = len(ids)
         if not n:
@@ -131,7 +150,7 @@ class Fertility:
         logs = self.log2[counts] if counts.max() < len(self.log2) else np.log2(counts)
         most = math.log2(n) if n > 1 else 1.0
         entropy = (math.log2(n) - float((counts * logs).sum()) / n) / most
-        return n, n_chars / n, float(self.fallback[ids].mean()), entropy
+        return n, n_letters / n, float(self.fallback[ids].mean()), entropy
 
 
 @functools.cache
@@ -140,48 +159,50 @@ def fertility(model: str) -> Fertility:
     return Fertility(model)
 
 
-COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_pieces long, chars_per_token double, fallback_share double, token_entropy double, script string, kept boolean"
+COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_pieces long, letters_per_token double, fallback_share double, token_entropy double, script string, kept boolean"
 _TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
 
 
-def measure(docs: DataFrame, model: str, *, bands: dict[str, Band] | None = None, min_words: int = 50, most_repeated: int = 50, id_col: str = "doc_id", text_col: str = "text", pass_through: tuple[str, ...] = ()) -> DataFrame:
+def measure(docs: DataFrame, model: str, *, bands: dict[str, Band] | None = None, min_words: int = 50, most_repeated: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pass_through: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: its id, word and symbol counts, the tokenizer's measures, base_failed and kept.
 
     base_failed: under `min_words` words, or over `most_repeated` per cent of the words in repeated 3-word windows. kept: not
-    base_failed, and within the band of the text's script. Null text counts as empty and so fails; a null id stays null;
-    repeated rows each get their row; an empty table gives none. `pass_through` names columns to return unread in front.
+    base_failed, and within the band of the row's language (if docs has `lang_col` and there is a band for it), else of the text's script. Null text counts as empty and so fails; a null id stays null;
+    repeated rows each get their row; an empty table gives none. `pass_through` names columns to return as they are in front; where their names
+    clash with those of the measures, the measures get underscores.
     Texts are read whole, one row at a time, so memory follows the longest text, not the partition.
     """
     bands = BANDS if bands is None else bands
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    lang = col(lang_col).cast("string") if lang_col.lower() in {c.lower() for c in docs.columns} else F.lit(None).cast("string")
+    kept = docs.select(*map(col, pass_through))
+    names = fresh(kept, *(c.split()[0] for c in COLUMNS.split(", ")))
     kinds = [_TYPES[c.split()[1]] for c in COLUMNS.split(", ")]
-    carried = docs.select(*map(col, pass_through)).schema.fields
-    out_schema = docs.select(*map(col, pass_through)).schema
-    for c in COLUMNS.split(", "):
-        out_schema = out_schema.add(*c.split())
+    carried = list(kept.schema.fields)
+    out_schema = StructType([*carried, *(StructField(name, t.dataType) for name, t in zip(names, StructType.fromDDL(COLUMNS).fields, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fares = fertility(model)
         for batch in batches:
             rows: list[tuple] = []
             texts = batch.column(len(carried) + 1).to_pylist()
-            for part in chunks(iter(zip(batch.column(len(carried)).to_pylist(), texts, strict=True)), lambda r: len(r[1] or ""), 1 << 20):
-                split = [(i, t or "", words_of(t or "")) for i, t in part]
-                fares.learn(set().union(*(w for _, _, w in split)))
-                for doc_id, text, words in split:
+            for part in chunks(iter(zip(batch.column(len(carried)).to_pylist(), texts, batch.column(len(carried) + 2).to_pylist(), strict=True)), lambda r: len(r[1] or ""), 1 << 20):
+                split = [(i, t or "", words_of(t or ""), of) for i, t, of in part]
+                fares.learn(set().union(*(w for _, _, w, _ in split)))
+                for doc_id, text, words, of in split:
                     n, chars = len(words), sum(map(len, words))
                     number = Memo(lambda _: len(number), 1 << 62)  # noqa: B023
                     repeats = repeated_words(np.fromiter(map(number.__getitem__, words), np.int64, n))
                     failed = n < min_words or 100 * repeats > most_repeated * n
-                    pieces, per, share, entropy = fares(words, chars)
+                    pieces, per, share, entropy = fares(words, letters(text))
                     script = script_of(text)
-                    band = bands[script]
-                    within = band.chars_per_token[0] <= per <= band.chars_per_token[1] and share <= band.fallback and band.entropy[0] <= entropy <= band.entropy[1]
+                    band = bands.get(of) or bands[script]
+                    within = band.letters_per_token[0] <= per <= band.letters_per_token[1] and (per >= band.usual or entropy > band.varied) and share <= band.fallback and entropy >= band.entropy
                     rows.append((doc_id, n, chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeats, failed, pieces, per, share, entropy, script, not failed and within))
             own = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *own], names=[*(f"c{i}" for i in range(len(carried))), *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *own], names=[*(f.name for f in carried), *names])
 
-    return docs.select(*map(col, pass_through), col(id_col).cast("long"), col(text_col).cast("string")).mapInArrow(run, out_schema)
+    read = [*map(col, pass_through), col(id_col).cast("long"), col(text_col).cast("string"), lang]
+    return docs.select(*(c.alias(f"c{i}") for i, c in enumerate(read))).mapInArrow(run, out_schema)
 
 
 def quality(docs: DataFrame, model: str, **options) -> DataFrame:
