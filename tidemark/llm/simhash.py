@@ -198,3 +198,127 @@ def near_groups(docs: DataFrame, *, shingle: int = 3, distance: int = 2, id_col:
     ids = joined.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_fp = joined.join(ids, "comp").select("fp", "component_id")
     return fp.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Fingerprints of distinct words that near_copies() compares; each is another draw of the same comparison.
+DRAWS = 4
+_KEY = ("no_id", "id", "h1", "h2")
+
+
+def _word_fingerprints(text: str) -> list[int]:
+    """DRAWS fingerprints over the distinct words of a text (A-Z in lower case), each word once; zeros without words."""
+    import xxhash
+
+    words = list(set(text.encode().lower().split()))
+    if not words:
+        return [0] * DRAWS
+    digest = xxhash.xxh3_128_digest
+    data = b"".join(digest(w, seed) for seed in range(DRAWS // 2) for w in words)
+    bits = np.unpackbits(np.frombuffer(data, np.uint8).reshape(DRAWS // 2, len(words), 16), axis=2).sum(axis=1, dtype=np.int64)
+    return [int(x) for x in np.packbits(2 * bits > len(words), axis=1).view(">i8").ravel()]
+
+
+def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
+    """The distinct word shingles of a text, as sorted 64-bit hashes; a text of fewer words is one shingle, one without words has none."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, 42) for r in runs), np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared shingles over all shingles; two texts without words are alike."""
+    if not len(a) and not len(b):
+        return 1.0
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    return docs.select(row_key(text, col(id_col)).alias("k"), text.alias("text")).select(*(F.col(f"k.{c}") for c in _KEY), "text")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are as similar as that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(near))
+
+    joined = pairs.join(sets.select(F.col("uid").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("grams").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near copies: the first by id (nulls last), of equal ids the smallest text hash.
+
+    Two documents are near copies if their sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more.
+    Equal texts are one. Of the others, candidates share a key of one of DRAWS fingerprints over distinct words: a segment
+    free of errors with a nearby codeword of the next (see keys_of). All candidates are verified on their whole shingle sets.
+    Buckets of up to PAIRS_TO documents are compared pair by pair. In larger ones all are compared with the bucket's first
+    document; those that are no copy of it stay for the next round, where they have another first, until buckets are small.
+    So in a large bucket a document goes for a copy of a document that came first there, and hot groups cost a comparison for
+    each document, not for each pair. Groups are the components of the verified links.
+
+    Null text counts as empty; texts without words are copies of each other. Of rows that repeat id and text, one stays. An
+    empty table gives none. All columns stay, whatever their names.
+    """
+
+    def print_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = [_word_fingerprints(t) for t in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(f, pa.list_(pa.int64()))], names=[*_KEY, "f"])
+
+    printed = settle(_texts(docs, id_col, text_col).mapInArrow(print_all, "no_id boolean, id long, h1 long, h2 long, f array<long>"))
+    firsts = settle(printed.groupBy("h1", "h2").agg(F.min(F.struct("no_id", "id")).alias("first"), F.min("f").alias("f"), F.count(F.lit(1)).alias("n")).select("first.no_id", "first.id", "h1", "h2", "f", "n"))
+    nodes = settle(firsts.repartitionByRange("no_id", "id", "h1", "h2").sortWithinPartitions("no_id", "id", "h1", "h2").withColumn("uid", F.monotonically_increasing_id()))
+
+    def key_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                uid, f = part.column(0).to_numpy(zero_copy_only=False), np.array(part.column(1).to_pylist(), np.int64).view(np.uint64)
+                for draw in range(DRAWS):
+                    keys = keys_of(np.ascontiguousarray(f[:, draw]), 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uid, [len(k) for k in keys])), pa.array((np.concatenate(keys).view(np.uint64) | np.uint64(draw << 62)).view(np.int64))], names=["uid", "key"])
+
+    keyed = nodes.select("uid", "f").mapInArrow(key_all, "uid long, key long")
+    shared = settle(keyed.join(settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), "key").select("key", "uid", "n"))
+
+    def gram_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["uid", "grams"])
+
+    meeting = settle(shared.select("uid").distinct().join(nodes.select("uid", *_KEY), "uid"))
+    sets = settle(_texts(docs, id_col, text_col).join(meeting, list(_KEY)).select("uid", "text").mapInArrow(gram_all, "uid long, grams binary").dropDuplicates(["uid"]))
+
+    left, found = shared, None
+    while True:
+        small = left.filter(F.col("n") <= PAIRS_TO).select("key", "uid")
+        pairs = small.select("key", F.col("uid").alias("a")).join(small.select("key", F.col("uid").alias("b")), "key").filter("a < b").select("a", "b")
+        crowd = left.filter(F.col("n") > PAIRS_TO)
+        heads = settle(crowd.groupBy("key").agg(F.min("uid").alias("a")))
+        to_head = crowd.join(heads, "key").filter("uid <> a").select("a", F.col("uid").alias("b"))
+        linked = settle(_alike(pairs.unionByName(to_head).distinct(), sets, similarity))
+        found = linked if found is None else found.unionByName(linked)
+        if heads.isEmpty():
+            break
+        gone = linked.join(heads.select("a").distinct(), "a").select(F.col("b").alias("uid")).unionByName(heads.select(F.col("a").alias("uid"))).distinct()
+        rest = settle(crowd.select("key", "uid").join(settle(gone), "uid", "left_anti"))
+        sizes = settle(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        left = settle(rest.join(sizes, "key").select("key", "uid", "n"))
+    of = components(found)
+    least = of.groupBy("comp").agg(F.min("node").alias("uid"))
+    dropped = of.join(least, "comp").filter(F.col("node") != F.col("uid")).select(F.col("node").alias("uid"))
+    stay = nodes.join(dropped, "uid", "left_anti").select(F.struct(*_KEY).alias("k"))
+    (key,) = fresh(docs, "tm_key")
+    out = docs.withColumn(key, row_key(F.coalesce(col(text_col).cast("string"), F.lit("")), col(id_col))).join(stay.withColumnRenamed("k", key), key, "left_semi")
+    repeats = printed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeats.isEmpty():
+        out = out.dropDuplicates([key])
+    return out.drop(key)
