@@ -57,12 +57,12 @@ def keep_first(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 def earlier_page(rows: DataFrame, keys: Sequence[str], page: str) -> DataFrame:
     """Rows whose key no earlier page has; twins on one page stay."""
-    first = rows.groupBy(*keys).agg(F.min(page).alias("_first"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & rows[k].eqNullSafe(first[k])
-    joined = rows.join(first, same)
-    return joined.filter(F.col(page) == F.col("_first")).select(*(rows[c] for c in rows.columns))
+    named = [f"_k{i}" for i in range(len(keys))]
+    first = rows.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True))).agg(F.min(page).alias("_first"))
+    same = F.col(page) == F.col("_first")
+    for k, n in zip(keys, named, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return rows.join(first, same).select(*rows.columns)
 
 
 def changed(old: Column, new: Column) -> Column:
