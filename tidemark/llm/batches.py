@@ -15,52 +15,67 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, chunks, col, settle
+from tidemark.llm.common import Memo, chunks, col
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 64 << 20
 
-SCHEMA = "batch string, docs array<long>, counts array<int>, marks array<boolean>, places binary, words array<{word}>, seen array<long>"
+SCHEMA = "batch long, docs array<long>, counts array<int>, marks array<boolean>, places binary, words array<{word}>, seen array<int>"
 
 
-def batched(docs: DataFrame, split: Callable[[], Callable[[str], list]], word_type: str, mark: Callable[[object], bool] = lambda doc_id: False, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Batches of docs, checkpointed: batch (its name), docs (ids), counts (words of each), marks (mark(id) of each), places
-    (the words of all texts in order, as places in words, zstd over unsigned 32-bit), words (distinct, of word_type), seen
-    (how often each stands in unmarked texts). `split` gives, inside a task, the function from a text to its words.
+def batched(docs: DataFrame, split: Callable[[], Callable[[str], list]], word_type: str, mark: Callable[[object], bool] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Batches of docs: batch (its name), docs (ids), counts (words of each), marks (mark(id) of each), places (the words of
+    all texts in order, as places in words, packed), words (distinct, of word_type, the most frequent first), seen (how often
+    each stands in unmarked texts; 0 without `mark`). `split` gives, inside a task, the function from a text to its words.
+
+    A batch's name is a digest of its place in the table and of its rows. Reading the rows twice gives the same names if the
+    table's partitions are the same, as files' are; if they weren't, names would not meet and checked() would stop the job.
     """
+    import xxhash
+
     arrow_word = {"string": pa.string(), "binary": pa.binary()}[word_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, part, pack = split(), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1).compress
+        words_of, part = split(), TaskContext.get().partitionId()
         rows = ((i, t or "") for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for number, held in enumerate(chunks(rows, lambda r: len(r[1]) + 64, BATCH_BYTES)):
+            name = xxhash.xxh64(f"{part} {number}".encode())
             place = Memo(lambda _: len(place), 1 << 62)  # noqa: B023
-            counts, blocks, seen = [], [], np.zeros(1, np.int64)
-            marks = [bool(mark(i)) for i, _ in held]
-            for (_, text), marked in zip(held, marks, strict=True):
+            counts, blocks = [], []
+            for doc_id, text in held:
+                name.update(f"{doc_id} {len(text)} ".encode())
+                name.update(text.encode())
                 words = words_of(text)
                 counts.append(len(words))
-                at = np.fromiter(map(place.__getitem__, words), np.uint32, len(words))
-                blocks.append(at)
-                if not marked and len(at):
-                    if len(place) > len(seen):
-                        seen = np.concatenate([seen, np.zeros(max(len(place), 2 * len(seen)) - len(seen), np.int64)])
-                    np.add.at(seen, at, 1)
-            places = np.concatenate(blocks) if blocks else np.zeros(0, np.uint32)
-            seen = np.concatenate([seen, np.zeros(max(0, len(place) - len(seen)), np.int64)])[: len(place)]
+                blocks.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
+            at = np.concatenate(blocks)
+            often = np.argsort(-np.bincount(at, minlength=len(place)), kind="stable")
+            rank = np.empty(len(place), np.uint32)
+            rank[often] = np.arange(len(place), dtype=np.uint32)
+            listed = list(place)
+            marks, seen = [False] * len(held), np.zeros(len(place), np.int32)
+            if mark:
+                marks = [bool(mark(i)) for i, _ in held]
+                seen = np.bincount(at[~np.repeat(np.array(marks, bool), counts)], minlength=len(place))[often].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([f"{part}-{number}"]), pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([marks], pa.list_(pa.bool_())),
-                    pa.array([pack(places.tobytes())], pa.binary()), pa.array([list(place)], pa.list_(arrow_word)), pa.array([seen], pa.list_(pa.int64())),
+                    pa.array([np.uint64(name.intdigest()).astype(np.int64)]), pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([marks], pa.list_(pa.bool_())),
+                    pa.array([pack(rank[at])], pa.binary()), pa.array([[listed[i] for i in often.tolist()]], pa.list_(arrow_word)), pa.array([seen], pa.list_(pa.int32())),
                 ],
                 names=["batch", "docs", "counts", "marks", "places", "words", "seen"],
             )
 
     read = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    return settle(read.mapInArrow(run, SCHEMA.format(word=word_type)))
+    return read.mapInArrow(run, SCHEMA.format(word=word_type))
+
+
+def pack(places: np.ndarray) -> bytes:
+    """Unsigned 32-bit places, byte by byte of all: the upper bytes of frequent words are zeros, and zstd makes them few."""
+    return zstandard.ZstdCompressor(level=3).compress(places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpack(places: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(places), np.uint32)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(places), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def words(batches: DataFrame) -> DataFrame:
@@ -69,9 +84,15 @@ def words(batches: DataFrame) -> DataFrame:
 
 
 def regroup(batches: DataFrame, known: DataFrame, value: str) -> DataFrame:
-    """batches with `value`: what `known` (batch, place, value) has for its words, in order of place.
+    """batches with `value`: what `known` (batch, place, value) has for its words, in order of place, and n_words.
 
     A batch's words come back to one row, as many as it has.
     """
     ordered = known.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("place", value))).alias("w")).select("batch", F.col(f"w.{value}").alias(value))
-    return batches.drop("words", "seen").join(ordered, "batch", "left")
+    return batches.select("batch", "docs", "counts", "marks", "places", F.size("words").alias("n_words")).join(ordered, "batch", "left")
+
+
+def checked(n_words: int, found: int) -> None:
+    """Stops the job if the words that came back are not those that went out."""
+    if n_words != found:
+        raise RuntimeError(f"a batch has {n_words} words and {found} came back: the table's rows changed between two readings; checkpoint it first")

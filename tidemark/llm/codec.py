@@ -5,14 +5,16 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import batched, regroup, unpack, words
+from tidemark.llm.batches import batched, checked, pack, unpack, words
 from tidemark.llm.bpe import load_ranks, merges
+from tidemark.llm.common import Memo, chunks
 
 
 @functools.cache
@@ -26,39 +28,77 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 def _splitter(pattern: str) -> Callable[[], Callable[[str], list]]:
+    """A function to a text's matches of the pattern. Where words stand one blank or newline apart, what a word and the blank
+    before it fall into is remembered."""
+
     def make():
         import regex
 
-        return regex.compile(pattern).findall
+        find = regex.compile(pattern).findall
+        first, spaced = Memo(lambda w: tuple(find(w))), Memo(lambda w: tuple(find(" " + w)))
+
+        def words_of(text: str) -> list[str]:
+            if " ".join(text.split()) != text.replace("\n", " "):
+                return find(text)
+            out: list[str] = []
+            for n, line in enumerate(text.split("\n")):
+                head, *rest = line.split(" ")
+                out += ("\n", *first[head]) if n else first[head]
+                out.extend(chain.from_iterable(map(spaced.__getitem__, rest)))
+            return out
+
+        return words_of
 
     return make
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Batches of docs (see batches.batched) with `ids`: for each distinct pre-token, its ids as little-endian unsigned 32-bit.
+    """Batches of docs (see batches.batched) with `ids`: structs of packed places, lengths and ids of the batch's pre-tokens.
 
     Pre-tokens are the matches of `pattern`, each encoded by itself by the ranks. All batches' pre-tokens are shuffled by
     value and sorted, so that equal ones stand together and each is merged once; their ids go back to the places they came
-    from, and a batch's places give its texts' order.
+    from, those of one batch packed together, and a batch's places give its texts' order. The table is read twice, for the
+    pre-tokens and for the order, which costs less disk than keeping either.
     """
     found = batched(docs, _splitter(pattern), "string", id_col=id_col, text_col=text_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge, last, ids = merges(ranks).merge, None, b""
-        for b in parts:
+        merge, last, ids = merges(ranks).merge, None, []
+        rows = (b.slice(at, 1 << 16) for b in parts for at in range(0, b.num_rows, 1 << 16))
+        for some in chunks(rows, lambda b: b.num_rows, 1 << 16):
+            batch, place = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in some]) for i in (0, 1))
+            lengths, joined = [], []
+            for b in some:
+                for word in b.column(2).to_pylist():
+                    if word != last:
+                        last, ids = word, merge(word.encode())
+                    lengths.append(len(ids))
+                    joined += ids
+            sizes, flat = np.array(lengths, np.int64), np.array(joined, "<u4")
+            order = np.argsort(batch, kind="stable")
+            begins = np.cumsum(sizes) - sizes
+            names, starts = np.unique(batch[order], return_index=True)
             out = []
-            for word in b.column(2).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(merge(word.encode()), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["batch", "place", "ids"])
+            for name, part in zip(names.tolist(), np.split(order, starts[1:]), strict=True):
+                at = np.repeat(begins[part] - (np.cumsum(sizes[part]) - sizes[part]), sizes[part]) + np.arange(sizes[part].sum())
+                out.append((name, pack(place[part]), pack(sizes[part]), pack(flat[at])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["batch", "at", "sizes", "ids"])
 
     together = words(found).select("batch", "place", "word").repartition("word").sortWithinPartitions("word")
-    return regroup(found, together.mapInArrow(run, "batch string, place int, ids binary"), "ids")
+    known = together.mapInArrow(run, "batch long, at binary, sizes binary, ids binary").groupBy("batch").agg(F.collect_list(F.struct("at", "sizes", "ids")).alias("ids"))
+    return found.select("batch", "docs", "counts", "places", F.size("words").alias("n_words")).join(known, "batch", "left")
 
 
-def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:
-    return b"".join(map(table.__getitem__, ids.tolist()))
+def _word_ids(n_words: int, packed: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, size) of each word's ids, and the ids, from what came back for a batch."""
+    held = packed or []
+    empty = np.zeros(0, np.int64)
+    at = np.concatenate([empty, *(unpack(x["at"]) for x in held)]).astype(np.int64)
+    sizes = np.concatenate([empty, *(unpack(x["sizes"]) for x in held)]).astype(np.int64)
+    ids = np.concatenate([np.zeros(0, np.uint32), *(unpack(x["ids"]) for x in held)])
+    checked(n_words, len(at))
+    order = np.argsort(at, kind="stable")
+    return (np.cumsum(sizes) - sizes)[order], sizes[order], ids
 
 
 def texts(encoded: DataFrame, ranks: str) -> DataFrame:
@@ -66,20 +106,21 @@ def texts(encoded: DataFrame, ranks: str) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(ranks)
-        for doc_ids, each in _documents(parts):
-            for at in range(0, len(each), 512):
-                some = [b"".join(x) for x in each[at : at + 512]]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at : at + 512], pa.int64()), pa.array(some, pa.binary()), pa.array([decode_ids(np.frombuffer(x, "<u4"), table) for x in some], pa.binary())], names=["doc_id", "ids", "decoded"])
+        for b in parts:
+            for doc_ids, counts, places, packed, n_words in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                begin, size, ids = _word_ids(n_words, packed)
+                data, at, end = ids.astype("<u4").tobytes(), unpack(places), 0
+                word = [data[4 * x : 4 * (x + n)] for x, n in zip(begin.tolist(), size.tolist(), strict=True)]
+                for doc_id, n in zip(doc_ids, counts, strict=True):
+                    end += n
+                    own = b"".join(map(word.__getitem__, at[end - n : end].tolist()))
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([own], pa.binary()), pa.array([decode_ids(np.frombuffer(own, "<u4"), table)], pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("docs", "counts", "places", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return encoded.select("docs", "counts", "places", "ids", "n_words").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def _documents(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """For each batch, its documents' ids and for each document the ids of its pre-tokens in order."""
-    for b in parts:
-        for doc_ids, counts, places, ids in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            at, ends, ids = unpack(places), np.cumsum(counts), ids or []
-            yield doc_ids, [[ids[i] for i in at[e - n : e].tolist()] for n, e in zip(counts, ends.tolist(), strict=True)]
+def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, ids.tolist()))
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,11 +135,13 @@ def digests(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id"
         table = token_bytes(ranks)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for b in parts:
-            for doc_ids, counts, places, ids in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                held = [np.frombuffer(x, "<u4").tolist() for x in ids or []]
-                sizes = np.array([len(x) for x in held], np.int64)
-                shown = [" ".join(map(str, x)) for x in held]
-                back = [b"".join(map(table.__getitem__, x)) for x in held]
+            for doc_ids, counts, places, packed, n_words in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                begin, sizes, ids = _word_ids(n_words, packed)
+                held = ids.tolist()
+                cuts = list(zip(begin.tolist(), (begin + sizes).tolist(), strict=True))
+                shown = [" ".join(map(str, held[x:y])) for x, y in cuts]
+                back = [b"".join(map(table.__getitem__, held[x:y])) for x, y in cuts]
+                del held, cuts
                 at = unpack(places)
                 ends = np.cumsum(counts).tolist()
                 tokens, said, plain = [], [], []
@@ -111,4 +154,4 @@ def digests(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(said), pa.array(plain)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     encoded = encode(docs, ranks, pattern, id_col=id_col, text_col=text_col)
-    return encoded.select("docs", "counts", "places", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("docs", "counts", "places", "ids", "n_words").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import batched, regroup, unpack, words
+from tidemark.llm.batches import batched, checked, regroup, unpack, words
 from tidemark.llm.common import settle
 
 #: Stands before each word in the vocabulary's pieces.
@@ -233,7 +233,7 @@ def score_texts(docs: DataFrame, model: str, *, prior: float = 10_000.0, held_ou
     Null text counts as empty: only the end. A null id is not held out and stays null; repeated rows each get their row; an
     empty table gives none; other columns are not read. Words of any length and in any script have a probability.
     """
-    found = batched(docs, _lower_words, "binary", held_out, id_col=id_col, text_col=text_col)
+    found = settle(batched(docs, _lower_words, "binary", held_out, id_col=id_col, text_col=text_col))
     each = words(found)
     stats = settle(each.groupBy("word").agg(F.sum("seen").alias("c")))
     logp, n_words, n_distinct = _adapt(stats, model, prior)
@@ -254,7 +254,8 @@ def score_texts(docs: DataFrame, model: str, *, prior: float = 10_000.0, held_ou
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            for doc_ids, counts, marks, packed, stat in zip(*(b.column(i) for i in range(5)), strict=True):
+            for doc_ids, counts, marks, packed, stat, own_words in zip(*(b.column(i) for i in range(6)), strict=True):
+                checked(own_words.as_py(), len(stat) if stat.is_valid else 0)
                 n = np.array(counts.as_py(), np.int64)
                 at, of = unpack(packed.as_py()), stat.values if stat.is_valid else None  # of a list scalar: its own values
                 c = of.field("c").to_numpy(zero_copy_only=False) if of is not None else np.zeros(0, np.int64)
@@ -276,5 +277,5 @@ def score_texts(docs: DataFrame, model: str, *, prior: float = 10_000.0, held_ou
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"],
                 )
 
-    whole = regroup(found, known, "stat").select("docs", "counts", "marks", "places", "stat")
+    whole = regroup(found, known, "stat").select("docs", "counts", "marks", "places", "stat", "n_words")
     return whole.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double")

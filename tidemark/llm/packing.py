@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,8 +20,12 @@ from tidemark.llm.common import chunks, col, settle
 GROUP = 20_000
 
 
+#: A word of Latin letters with what may stand behind it; the tokenizer cuts between the two, and its letters don't change in number.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s']*)")
+
+
 class Ids:
-    """Ids of whole texts by a tokenizers file whose tokens never hold white space; distinct words are encoded once while they are held."""
+    """Ids of whole texts by a tokenizers file whose tokens never hold white space and mark the ends of words; distinct words are encoded once while they are held."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,20 +33,44 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.held: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """The ids of new words. Plain ones are encoded many in a text; ids that end a word tell them apart."""
+        plain = {w: m for w in words if (m := PLAIN.fullmatch(w))}
+        stems = list({m[1].lower() for m in plain.values()} - self.stems.keys())
+        for at in range(0, len(stems), 2000):
+            some = stems[at : at + 2000]
+            found = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.nonzero(self.ends[found])[0] + 1
+            if len(stops) == len(some) and stops[-1] == len(found):
+                data, last = found.tobytes(), 0
+                for stem, stop in zip(some, (4 * stops).tolist(), strict=True):
+                    self.stems[stem], last = data[last:stop], stop
+            else:
+                self.stems.update((w, self.whole(w)) for w in some)
+        self.stems.update((t, self.whole(t)) for t in {m[2] for m in plain.values()} - self.stems.keys())
+        self.held.update((w, self.stems[m[1].lower()] + self.stems[m[2]]) for w, m in plain.items())
+        rest = [w for w in words if w not in plain]
+        self.held.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit. Texts with special strings, or with separators that only Python takes for white space, go to the tokenizer whole."""
         odd = [any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         split = [None if o else t.split() for t, o in zip(texts, odd, strict=True)]
         if len(self.held) > 400_000:
             self.held.clear()
+            self.stems = {"": b""}
         new = list(set().union(*filter(None, split)) - self.held.keys())
         if new:
-            self.held.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+            self.learn(new)
         return [self.whole(t) if words is None else b"".join(map(self.held.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
