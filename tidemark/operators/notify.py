@@ -31,7 +31,7 @@ class Rules:
 
 def channels_of(mark: Column) -> Column:
     """The channels that a mark names; an old mark that says yes means all of them."""
-    named = F.filter(F.transform(F.split(F.lower(F.coalesce(mark.cast("string"), F.lit(""))), ","), F.trim), lambda c: c.isin(*CHANNELS))
+    named = F.filter(F.transform(F.split(F.lower(F.coalesce(mark.cast("string"), F.lit(""))), ","), lambda x: F.trim(x)), lambda c: c.isin(*CHANNELS))
     return F.when(truthy(mark), F.array(*map(F.lit, CHANNELS))).otherwise(named)
 
 
@@ -117,7 +117,7 @@ def chat(kind: Column, o: dict[str, Column], most: int = 4096) -> Column:
 
 def recipients(setting: Column) -> Column:
     """Addresses of a list: the parts with an @ that isn't their first character."""
-    return F.filter(F.transform(F.split(F.coalesce(setting, F.lit("")), "[;,]"), F.trim), lambda a: F.locate("@", a) > 1)
+    return F.filter(F.transform(F.split(F.coalesce(setting, F.lit("")), "[;,]"), lambda x: F.trim(x)), lambda a: F.locate("@", a) > 1)
 
 
 def calendar_days(setting: Column) -> Column:
