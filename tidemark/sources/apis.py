@@ -62,7 +62,7 @@ def fundpilote(body: Column) -> Column:
     types = F.create_map(*(F.lit(x) for pair in FUNDING.items() for x in pair))
 
     def one(a: Column) -> Column:
-        places = F.array_join(F.slice(F.filter(F.transform(F.coalesce(a["eligible_countries"], F.array().cast("array<string>")), F.trim), lambda c: c != ""), 1, 12), ", ")
+        places = F.array_join(F.slice(F.filter(F.transform(F.coalesce(a["eligible_countries"], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda c: c != ""), 1, 12), ", ")
         said = joined(F.substring(_plain(a["description"]), 1, 200), labelled("Eligibilite : ", F.substring(_plain(a["eligibility"]), 1, 120)), labelled("Pays eligibles : ", places))
         kind = _plain(a["funding_type"])
         return entry(
