@@ -200,8 +200,9 @@ def near_groups(docs: DataFrame, *, shingle: int = 3, distance: int = 2, id_col:
     return fp.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of distinct words that near_copies() compares; each is another draw of the same comparison.
-DRAWS = 4
+#: Fingerprints of distinct words that near_copies() compares; each is another draw of the same comparison. Of 1338
+#: random pairs at a similarity of 0.8 to 1, two draws missed 4 to 13 in 100 by length, four up to 3 in 100, eight none.
+DRAWS = 8
 _KEY = ("no_id", "id", "h1", "h2")
 
 
@@ -285,7 +286,7 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
                 uid, f = part.column(0).to_numpy(zero_copy_only=False), np.array(part.column(1).to_pylist(), np.int64).view(np.uint64)
                 for draw in range(DRAWS):
                     keys = keys_of(np.ascontiguousarray(f[:, draw]), 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uid, [len(k) for k in keys])), pa.array((np.concatenate(keys).view(np.uint64) | np.uint64(draw << 62)).view(np.int64))], names=["uid", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uid, [len(k) for k in keys])), pa.array((np.concatenate(keys).view(np.uint64) | np.uint64(draw << 40)).view(np.int64))], names=["uid", "key"])
 
     keyed = nodes.select("uid", "f").mapInArrow(key_all, "uid long, key long")
     shared = settle(keyed.join(settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), "key").select("key", "uid", "n"))
