@@ -303,16 +303,15 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
         small = left.filter(F.col("n") <= PAIRS_TO).select("key", "uid")
         pairs = small.select("key", F.col("uid").alias("a")).join(small.select("key", F.col("uid").alias("b")), "key").filter("a < b").select("a", "b")
         crowd = left.filter(F.col("n") > PAIRS_TO)
-        heads = settle(crowd.groupBy("key").agg(F.min("uid").alias("a")))
+        heads = crowd.groupBy("key").agg(F.min("uid").alias("a"))
         to_head = crowd.join(heads, "key").filter("uid <> a").select("a", F.col("uid").alias("b"))
         linked = settle(_alike(pairs.unionByName(to_head).distinct(), sets, similarity))
         found = linked if found is None else found.unionByName(linked)
-        if heads.isEmpty():
+        if crowd.isEmpty():
             break
         gone = linked.join(heads.select("a").distinct(), "a").select(F.col("b").alias("uid")).unionByName(heads.select(F.col("a").alias("uid"))).distinct()
-        rest = settle(crowd.select("key", "uid").join(settle(gone), "uid", "left_anti"))
-        sizes = settle(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        left = settle(rest.join(sizes, "key").select("key", "uid", "n"))
+        rest = crowd.select("key", "uid").join(gone, "uid", "left_anti")
+        left = settle(rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key").select("key", "uid", "n"))
     of = components(found)
     least = of.groupBy("comp").agg(F.min("node").alias("uid"))
     dropped = of.join(least, "comp").filter(F.col("node") != F.col("uid")).select(F.col("node").alias("uid"))
