@@ -98,6 +98,22 @@ def test_near_copies_against_all_pairs(spark):
     assert sorted(x["doc_id"] for x in near_copies(docs).collect()) == sorted(set(up))
 
 
+def test_near_copies_of_a_star_whose_centre_is_in_the_middle(spark):
+    base = words(400, 77)
+    arms = []
+    for arm in range(400):  # each differs from the centre in 8 places of its own: alike to the centre, seldom to each other
+        own = list(base)
+        for at in random.Random(arm).sample(range(400), 8):
+            own[at] = f"own{arm}x{at}"
+        arms.append(" ".join(own))
+    made = [*arms[:200], " ".join(base), *arms[200:]]
+    sets = [set(shingle_set(t).tolist()) for t in made]
+    alike = [[len(x & y) >= 0.8 * len(x | y) for y in sets] for x in sets]
+    assert all(alike[200]) and sum(map(sum, alike)) < 401 * 401 / 2
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert [x["doc_id"] for x in near_copies(docs).collect()] == [0]
+
+
 def test_codeword_keys_meet_within_distance():
     r = random.Random(5)
     fps = [r.getrandbits(64) for _ in range(200)]

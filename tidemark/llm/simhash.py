@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +18,10 @@ GOLAY = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: A bucket of more fingerprints than this is joined through shared neighbours, not pair by pair.
 PAIRS_TO = 24
+#: How often a crowded bucket is compared with one of its documents before its other pairs are.
+PIVOTS = 3
+#: Documents of a crowded bucket that one task compares at a time with those outside its first one's component.
+BLOCK = 256
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -255,16 +259,52 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _verified_links(shared: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Verified links (a, b) that join all documents that any alike pair of a bucket joins.
+
+    shared: key, uid, n (the bucket's documents); alike gives the links among pairs (a, b).
+
+    First all documents of a crowded bucket are compared with one of them, then with one that was found a copy of that (so
+    the centre of a star gets its turn), PIVOTS times at most. What those links join is joined: pairs inside one component are
+    left out from then on, and so is each bucket that holds one component only. All other pairs of all buckets are compared,
+    one side being the documents outside the component of the bucket's first; crowded buckets are dealt in blocks of the
+    other side. So no pair of a bucket is lost, and a hot group costs a comparison for each document where pivots join it.
+    """
+
+    def mixed(members: DataFrame) -> DataFrame:
+        return members.groupBy("key").agg(F.min(F.struct("uid", "comp"))["comp"].alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "main")
+
+    found, asked, members = None, None, shared.withColumn("comp", F.col("uid"))
+    for _ in range(PIVOTS):
+        crowd = members.filter(F.col("n") > PAIRS_TO)
+        crowd = crowd.join(mixed(crowd), "key")
+        crowd = crowd.withColumn("asked", F.lit(False)) if asked is None else crowd.join(asked.withColumn("asked", F.lit(True)), "uid", "left").withColumn("asked", F.col("asked").isNotNull())
+        pivots = settle(crowd.groupBy("key").agg(F.min(F.struct("asked", F.col("comp") != F.col("main"), "uid", "comp")).alias("p")).select("key", F.col("p.uid").alias("a"), F.col("p.comp").alias("a_comp")))
+        if pivots.isEmpty():
+            break
+        linked = settle(alike(crowd.join(pivots, "key").filter("comp <> a_comp").select("a", F.col("uid").alias("b")).distinct()))
+        found = linked if found is None else found.unionByName(linked)
+        of = components(found).withColumnRenamed("node", "uid")
+        members = settle(shared.join(of, "uid", "left").select(*shared.columns, F.coalesce("comp", "uid").alias("comp")))
+        turn = pivots.select(F.col("a").alias("uid"))
+        asked = (turn if asked is None else asked.unionByName(turn)).distinct()
+    cross = members.join(mixed(members), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    inner = cross.select("key", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block"), F.col("uid").alias("v"), F.col("comp").alias("v_comp"), (F.col("comp") == F.col("main")).alias("v_main"))
+    outer = cross.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("uid").alias("u"), F.col("comp").alias("u_comp"))
+    met = outer.join(inner, ["key", "block"]).filter("u_comp <> v_comp AND (v_main OR u < v)")
+    pairs = met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    linked = settle(alike(pairs))
+    return linked if found is None else found.unionByName(linked)
+
+
 def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies: the first by id (nulls last), of equal ids the smallest text hash.
 
     Two documents are near copies if their sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more.
     Equal texts are one. Of the others, candidates share a key of one of DRAWS fingerprints over distinct words: a segment
     free of errors with a nearby codeword of the next (see keys_of). All candidates are verified on their whole shingle sets.
-    Buckets of up to PAIRS_TO documents are compared pair by pair. In larger ones all are compared with the bucket's first
-    document; those that are no copy of it stay for the next round, where they have another first, until buckets are small.
-    So in a large bucket a document goes for a copy of a document that came first there, and hot groups cost a comparison for
-    each document, not for each pair. Groups are the components of the verified links.
+    Groups are the components of the verified links; no pair of a bucket is left out but those that are in one group already
+    (see _verified_links).
 
     Null text counts as empty; texts without words are copies of each other. Of rows that repeat id and text, one stays. An
     empty table gives none. All columns stay, whatever their names.
@@ -298,20 +338,7 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
     meeting = settle(shared.select("uid").distinct().join(nodes.select("uid", *_KEY), "uid"))
     sets = settle(_texts(docs, id_col, text_col).join(meeting, list(_KEY)).select("uid", "text").mapInArrow(gram_all, "uid long, grams binary").dropDuplicates(["uid"]))
 
-    left, found = shared, None
-    while True:
-        small = left.filter(F.col("n") <= PAIRS_TO).select("key", "uid")
-        pairs = small.select("key", F.col("uid").alias("a")).join(small.select("key", F.col("uid").alias("b")), "key").filter("a < b").select("a", "b")
-        crowd = left.filter(F.col("n") > PAIRS_TO)
-        heads = crowd.groupBy("key").agg(F.min("uid").alias("a"))
-        to_head = crowd.join(heads, "key").filter("uid <> a").select("a", F.col("uid").alias("b"))
-        linked = settle(_alike(pairs.unionByName(to_head).distinct(), sets, similarity))
-        found = linked if found is None else found.unionByName(linked)
-        if crowd.isEmpty():
-            break
-        gone = linked.join(heads.select("a").distinct(), "a").select(F.col("b").alias("uid")).unionByName(heads.select(F.col("a").alias("uid"))).distinct()
-        rest = crowd.select("key", "uid").join(gone, "uid", "left_anti")
-        left = settle(rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key").select("key", "uid", "n"))
+    found = _verified_links(shared, lambda pairs: _alike(pairs, sets, similarity))
     of = components(found)
     least = of.groupBy("comp").agg(F.min("node").alias("uid"))
     dropped = of.join(least, "comp").filter(F.col("node") != F.col("uid")).select(F.col("node").alias("uid"))
