@@ -114,6 +114,22 @@ def test_near_copies_of_a_star_whose_centre_is_in_the_middle(spark):
     assert [x["doc_id"] for x in near_copies(docs).collect()] == [0]
 
 
+def test_near_copies_of_block_edits(spark):
+    r, made, alike = random.Random(13), [], []
+    for n in range(240):
+        base = words(r.randint(60, 600), 1000 + n)
+        part = r.randint(len(base) // 20, len(base) // 5)
+        at, other = r.randrange(len(base) - part), words(part, 5000 + n)
+        copy = (base + other, base[:-part], base[:at] + other[: part // 2] + base[at + part // 2 :], [other[0] if r.random() < 0.02 else w for w in base])[n % 4]
+        made += [" ".join(base), " ".join(copy)]
+        x, y = (set(shingle_set(t).tolist()) for t in made[-2:])
+        alike.append(len(x & y) >= 0.8 * len(x | y))
+    assert all(sum(alike[kind::4]) >= 15 for kind in range(4))
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    kept = {x["doc_id"] for x in near_copies(docs).collect()}
+    assert kept == {2 * n for n in range(240)} | {2 * n + 1 for n in range(240) if not alike[n]}
+
+
 def test_codeword_keys_meet_within_distance():
     r = random.Random(5)
     fps = [r.getrandbits(64) for _ in range(200)]

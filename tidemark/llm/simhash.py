@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -204,25 +205,11 @@ def near_groups(docs: DataFrame, *, shingle: int = 3, distance: int = 2, id_col:
     return fp.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of distinct words that near_copies() compares; each is another draw of the same comparison. Of 1338
-#: random pairs at a similarity of 0.8 to 1, two draws missed 4 to 13 in 100 by length, four up to 3 in 100, eight none.
-DRAWS = 8
+#: Cells that shingles are counted in, to put frequent ones last; one document of SAMPLE is counted.
+CELLS, SAMPLE = 1 << 16, 8
 _KEY = ("no_id", "id", "h1", "h2")
 
 
-def _word_fingerprints(text: str) -> list[int]:
-    """DRAWS fingerprints over the distinct words of a text (A-Z in lower case), each word once; zeros without words."""
-    import xxhash
-
-    words = list(set(text.encode().lower().split()))
-    if not words:
-        return [0] * DRAWS
-    digest = xxhash.xxh3_128_digest
-    data = b"".join(digest(w, seed) for seed in range(DRAWS // 2) for w in words)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8).reshape(DRAWS // 2, len(words), 16), axis=2).sum(axis=1, dtype=np.int64)
-    return [int(x) for x in np.packbits(2 * bits > len(words), axis=1).view(">i8").ravel()]
-
-
 def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
     """The distinct word shingles of a text, as sorted 64-bit hashes; a text of fewer words is one shingle, one without words has none."""
     import xxhash
@@ -234,6 +221,38 @@ def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, 42) for r in runs), np.uint64))
 
 
+def prefix(grams: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, so many that any set as similar as that has one of them among its own first.
+
+    Two such sets share at least ceil(similarity * n) of the n shingles of each, so not all of the first
+    n - ceil(similarity * n) + 1 can be missing, whatever the order, if all sets have the same: by how often a shingle's cell was
+    counted, then by hash. A set of none has the key 0.
+    """
+    n = len(grams)
+    if not n:
+        return np.zeros(1, np.uint64)
+    order = np.lexsort((grams, often[grams & np.uint64(len(often) - 1)]))
+    return grams[order[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def _cells(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How often shingles of one text of SAMPLE fall into each of CELLS cells: bounded, whatever the data's size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held += np.bincount((shingle_set(t, shingle) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        at = np.nonzero(held)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["cell", "n"])
+
+    some = docs.filter(F.pmod("h1", F.lit(SAMPLE)) == 0).select("text").mapInArrow(count, "cell long, n long")
+    out = np.zeros(CELLS, np.int64)
+    for r in some.groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["cell"]] = r["n"]
+    return out
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Shared shingles over all shingles; two texts without words are alike."""
     if not len(a) and not len(b):
@@ -259,14 +278,15 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified_links(shared: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _verified_links(shared: DataFrame, alike: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Verified links (a, b) that join all documents that any alike pair of a bucket joins.
 
-    shared: key, uid, n (the bucket's documents); alike gives the links among pairs (a, b).
+    shared: key, uid, size, n (the bucket's documents); alike gives the links among pairs (a, b).
 
     First all documents of a crowded bucket are compared with one of them, then with one that was found a copy of that (so
     the centre of a star gets its turn), PIVOTS times at most. What those links join is joined: pairs inside one component are
-    left out from then on, and so is each bucket that holds one component only. All other pairs of all buckets are compared,
+    left out from then on, and so is each bucket that holds one component only. All other pairs of all buckets are compared
+    if their sizes and the number of their common keys (all of which are counted: pairs across components) allow it,
     one side being the documents outside the component of the bucket's first; crowded buckets are dealt in blocks of the
     other side. So no pair of a bucket is lost, and a hot group costs a comparison for each document where pivots join it.
     """
@@ -289,10 +309,14 @@ def _verified_links(shared: DataFrame, alike: Callable[[DataFrame], DataFrame])
         turn = pivots.select(F.col("a").alias("uid"))
         asked = (turn if asked is None else asked.unionByName(turn)).distinct()
     cross = members.join(mixed(members), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    inner = cross.select("key", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block"), F.col("uid").alias("v"), F.col("comp").alias("v_comp"), (F.col("comp") == F.col("main")).alias("v_main"))
-    outer = cross.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("uid").alias("u"), F.col("comp").alias("u_comp"))
+    inner = cross.select("key", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block"), F.col("uid").alias("v"), F.col("comp").alias("v_comp"), (F.col("comp") == F.col("main")).alias("v_main"), F.col("size").alias("v_size"))
+    outer = cross.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("uid").alias("u"), F.col("comp").alias("u_comp"), F.col("size").alias("u_size"))
     met = outer.join(inner, ["key", "block"]).filter("u_comp <> v_comp AND (v_main OR u < v)")
-    pairs = met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    met = met.filter(F.least("u_size", "v_size") >= similarity * F.greatest("u_size", "v_size") - 1e-6)
+    common = met.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.count(F.lit(1)).alias("keys"), F.first("u_size").alias("s"), F.first("v_size").alias("t"))
+    # Beyond the prefix that ends first, two sets share no more than what is left of that one.
+    behind = F.greatest(*(F.ceil(similarity * F.col(c) - 1e-9) - 1 for c in "st"))
+    pairs = common.filter(F.col("keys") + behind >= similarity / (1 + similarity) * (F.col("s") + F.col("t")) - 1e-6).select("a", "b")
     linked = settle(alike(pairs))
     return linked if found is None else found.unionByName(linked)
 
@@ -301,8 +325,8 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
     """docs with one document of each group of near copies: the first by id (nulls last), of equal ids the smallest text hash.
 
     Two documents are near copies if their sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more.
-    Equal texts are one. Of the others, candidates share a key of one of DRAWS fingerprints over distinct words: a segment
-    free of errors with a nearby codeword of the next (see keys_of). All candidates are verified on their whole shingle sets.
+    Equal texts are one. Of the others, candidates share a key, a shingle of their prefixes (see prefix), as any two near copies
+    do, whatever their difference looks like. All candidates are verified on their whole shingle sets.
     Groups are the components of the verified links; no pair of a bucket is left out but those that are in one group already
     (see _verified_links).
 
@@ -310,35 +334,34 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
     empty table gives none. All columns stay, whatever their names.
     """
 
+    read = _texts(docs, id_col, text_col)
+    often = docs.sparkSession.sparkContext.broadcast(_cells(read, shingle))
+
     def print_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [_word_fingerprints(t) for t in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(f, pa.list_(pa.int64()))], names=[*_KEY, "f"])
-
-    printed = settle(_texts(docs, id_col, text_col).mapInArrow(print_all, "no_id boolean, id long, h1 long, h2 long, f array<long>"))
-    firsts = settle(printed.groupBy("h1", "h2").agg(F.min(F.struct("no_id", "id")).alias("first"), F.min("f").alias("f"), F.count(F.lit(1)).alias("n")).select("first.no_id", "first.id", "h1", "h2", "f", "n"))
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                grams = [shingle_set(t, shingle) for t in part.column(4).to_pylist()]
+                f = [prefix(g, often.value, similarity).view(np.int64) for g in grams]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([len(g) for g in grams], pa.int64()), pa.array(f, pa.list_(pa.int64()))], names=[*_KEY, "size", "f"])
+
+    printed = settle(read.mapInArrow(print_all, "no_id boolean, id long, h1 long, h2 long, size long, f array<long>"))
+    firsts = settle(printed.groupBy("h1", "h2").agg(F.min(F.struct("no_id", "id")).alias("first"), F.first("size").alias("size"), F.first("f").alias("f")).select("first.no_id", "first.id", "h1", "h2", "size", "f"))
     nodes = settle(firsts.repartitionByRange("no_id", "id", "h1", "h2").sortWithinPartitions("no_id", "id", "h1", "h2").withColumn("uid", F.monotonically_increasing_id()))
-
-    def key_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                uid, f = part.column(0).to_numpy(zero_copy_only=False), np.array(part.column(1).to_pylist(), np.int64).view(np.uint64)
-                for draw in range(DRAWS):
-                    keys = keys_of(np.ascontiguousarray(f[:, draw]), 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uid, [len(k) for k in keys])), pa.array((np.concatenate(keys).view(np.uint64) | np.uint64(draw << 40)).view(np.int64))], names=["uid", "key"])
-
-    keyed = nodes.select("uid", "f").mapInArrow(key_all, "uid long, key long")
-    shared = settle(keyed.join(settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), "key").select("key", "uid", "n"))
+    keyed = nodes.select(F.explode("f").alias("key"), "uid", "size")
+    shared = settle(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key").select("key", "uid", "size", "n"))
 
     def gram_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["uid", "grams"])
 
-    meeting = settle(shared.select("uid").distinct().join(nodes.select("uid", *_KEY), "uid"))
-    sets = settle(_texts(docs, id_col, text_col).join(meeting, list(_KEY)).select("uid", "text").mapInArrow(gram_all, "uid long, grams binary").dropDuplicates(["uid"]))
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = settle(pairs)
+        meeting = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(nodes.select("uid", *_KEY), "uid")
+        sets = settle(read.join(meeting, list(_KEY)).select("uid", "text").mapInArrow(gram_all, "uid long, grams binary").dropDuplicates(["uid"]))
+        return _alike(pairs, sets, similarity)
 
-    found = _verified_links(shared, lambda pairs: _alike(pairs, sets, similarity))
+    found = _verified_links(shared, alike, similarity)
     of = components(found)
     least = of.groupBy("comp").agg(F.min("node").alias("uid"))
     dropped = of.join(least, "comp").filter(F.col("node") != F.col("uid")).select(F.col("node").alias("uid"))
