@@ -11,7 +11,7 @@ from tidemark.llm.audio import align
 from tidemark.llm.bpe import token_counts
 from tidemark.llm.codec import digests, encode, texts
 from tidemark.llm.lattice import score_texts
-from tidemark.llm.licenses import scan_licenses
+from tidemark.llm.licenses import TEMPLATES, scan_licenses
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import best_fit, pack, pack_lengths
 from tidemark.llm.quality import quality
@@ -139,6 +139,13 @@ def test_codeword_keys_meet_within_distance():
             assert set(a.tolist()) & set(b.tolist())
 
 
+def test_a_file_of_all_licence_notices_has_all_labels(spark):
+    docs = spark.createDataFrame([(1, "\n\n".join(t.words for t in TEMPLATES)), *((2 + n, t.words) for n, t in enumerate(TEMPLATES))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in scan_licenses(docs).collect()}
+    assert {t.label for t in TEMPLATES} <= set(got[1]["labels"].split(",")) and got[1]["score"] == 1.0
+    assert all(t.label in got[2 + n]["labels"].split(",") for n, t in enumerate(TEMPLATES))
+
+
 def test_ids_decode_to_the_text(spark):
     docs = spark.createDataFrame([(1, "naïve 東京\n\n  x"), (2, ""), (3, None)], "doc_id long, text string")
     ranks = P.path("byte_bpe_50k.tiktoken")

@@ -67,19 +67,19 @@ def document_frequencies(words: DataFrame, vocabulary: list[str]) -> tuple[int,
     return found.pop("", 0), found
 
 
-def scan_licenses(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, rare: int = 6, per_file: int = 12, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, rare: int = 6, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Words are compared in lower case. base_labels are those of the phrases whose words stand in a row somewhere; n_base counts
     the places, first_word and last_word are the first and last of their starts (null if there is none). The method:
     document frequencies of the templates' words over all of docs give their IDF; the index keeps the `rare` words of highest
-    IDF of each template, with their places in it. A file's `per_file` indexed words of highest IDF are looked up; each place
+    IDF of each template, with their places in it. All indexed words that a file holds are looked up; each place
     minus the template's is where the template would start, and `least` different words must agree on it (all, if the
     template has fewer). The template's phrase must stand there too, whole. score is the share of a template's indexed words
     that agree, the highest over the labels found, 0 if none is.
 
     Null text counts as empty: 0 words, no labels (empty strings), score 0. A null id stays null; repeated rows each get
-    their row; empty tables give none; other columns are not read. Only places of looked-up words are exploded, so frequent words cost nothing.
+    their row; empty tables give none; other columns are not read. Only places of indexed words in rows that hold a template's phrase are exploded, so other rows cost nothing.
     """
     texts = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     split = texts.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)).alias("words"))
@@ -103,20 +103,15 @@ def scan_licenses(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATE
     none = F.array().cast("array<int>")
     words = F.col("words")
     base = [F.when(F.array_contains(words, p.split()[0]), _places(words, p)).otherwise(none) for p, _ in phrases]
-    looked_up = F.slice(F.filter(_strings(indexed), lambda w: F.array_contains(F.col("own"), w)), 1, per_file)
-    hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(F.col("look"), w), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
+    hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(F.col("own"), w), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
     no_hits = F.array().cast("array<struct<word:string,at:int>>")
     proofs = F.concat(*(_proofs(words, number, at, phrase, max(phrase.split(), key=lambda w: (w in indexed, idf[w]))) for number, at, phrase in phrase_at))
     own = F.array_intersect(words, _strings(indexed))
     found = (
         split.select(F.monotonically_increasing_id().alias("row"), "doc_id", "words", F.array(*base).alias("base"), own.alias("own"))
-        .withColumn("look", looked_up)
-        .select(
-            "row", "doc_id", F.size("words").cast("long").alias("n_words"), "base",
-            F.when(F.size("look") >= 1, hits).otherwise(no_hits).alias("hits"),
-            F.when(F.size("look") >= 1, proofs).otherwise(F.array().cast("array<struct<template:int,offset:int>>")).alias("proofs"),
-        )
-    )
+        .withColumn("proofs", F.when(F.size("own") >= 1, proofs).otherwise(F.array().cast("array<struct<template:int,offset:int>>")))
+        .select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "base", F.when(F.size("proofs") >= 1, hits).otherwise(no_hits).alias("hits"), "proofs")
+    )
     every = F.flatten("base")
     labels = F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(F.size(F.get("base", F.lit(i))) > 0, F.lit(label)) for i, (_, label) in enumerate(phrases))), lambda x: x.isNotNull())))
     row = found.select("row", "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), labels.alias("base_list"), "hits", "proofs")
