@@ -17,7 +17,7 @@ from tidemark.llm.common import col, read, shared_folder
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import measure
-from tidemark.llm.simhash import near_copies
+from tidemark.llm.near import near_copies
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 

@@ -16,7 +16,8 @@ from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import best_fit, pack, pack_lengths
 from tidemark.llm.quality import quality
 from tidemark.llm.sharding import min_cost_flow, reshard
-from tidemark.llm.simhash import keys_of, near_copies, near_groups, shingle_set
+from tidemark.llm.near import near_copies, shingle_set
+from tidemark.llm.simhash import keys_of, near_groups
 
 OPERATORS = {
     "lines": dedup_lines,

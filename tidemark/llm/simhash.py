@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import col, fresh, row_key, settle
+from tidemark.llm.common import col, settle
+from tidemark.operators.components import components
 
 #: The generator polynomial of the binary Golay code of 23 bits, 12 of them free, and any two words 7 bits apart.
 GOLAY = 0b101011100011
@@ -19,32 +19,37 @@ GOLAY = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: A bucket of more fingerprints than this is joined through shared neighbours, not pair by pair.
 PAIRS_TO = 24
-#: How often a crowded bucket is compared with one of its documents before its other pairs are.
-PIVOTS = 3
-#: Documents of a crowded bucket that one task compares at a time with those outside its first one's component.
-BLOCK = 256
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """64 bits: each is set if it is set in over half of the XXH64 values (seed 42) of the text's word shingles.
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The XXH64 values (seed 42) of the text's word shingles, repeats included.
 
-    A-Z become lower case. A text of fewer words is one shingle; without words the fingerprint is 0.
+    A-Z become lower case. A text of fewer words is one shingle; one without words has none.
     """
     import xxhash
 
     words = text.encode().lower().split()  # of bytes: only ASCII letters and blanks count
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= shingle:
         runs = [b" ".join(words)]
     else:
         runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(r, 42) for r in runs), dtype="<u8", count=max(1, len(words) - shingle + 1))
+    return np.fromiter((digest(r, 42) for r in runs), dtype="<u8", count=max(1, len(words) - shingle + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: each is set if it is set in over half of the values; 0 of none."""
     ones = np.zeros(64, np.int64)
-    for part in np.array_split(h, len(h) // 65536 + 1):
+    for part in np.array_split(hashes, len(hashes) // 65536 + 1):
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """The SimHash of a text: the majority of its shingles' hashes, bit by bit."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,35 +164,6 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     return pairs.unionByName(ties).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and comp of every node of the links (a, b): nodes that links join have the same comp, itself one of them.
-
-    Each round, every node hands itself to the neighbour (or itself) that a new random order puts first, and links are
-    drawn between those; a constant share of the linked nodes goes each round, whatever the links' shape. What a round
-    leaves is checkpointed; only whether links are left goes to the driver.
-    """
-    edges = settle(edges)
-    found = None
-    for turn in range(200):
-        if edges.isEmpty():
-            break
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("o"), F.col(c).alias("v"))  # noqa: E731, B023
-        parent = settle(both.groupBy("a").agg(F.least(F.min(order("b")), F.first(order("a"))).getField("v").alias("up")).withColumnRenamed("a", "node"))
-        moved = parent.select(F.col("node").alias("was"), F.col("up").alias("now"))
-        if found is None:
-            found = parent.select("node", F.col("up").alias("comp"))
-        else:
-            found = settle(found.join(moved, found["comp"] == moved["was"], "left").select("node", F.coalesce("now", "comp").alias("comp")))
-        left = edges.join(moved.select(F.col("was").alias("a"), F.col("now").alias("a2")), "a").join(moved.select(F.col("was").alias("b"), F.col("now").alias("b2")), "b")
-        edges = settle(left.filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
-    else:
-        raise RuntimeError("links are left after 200 rounds")
-    if found is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return found
-
-
 def near_groups(docs: DataFrame, *, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links).
 
@@ -203,172 +179,3 @@ def near_groups(docs: DataFrame, *, shingle: int = 3, distance: int = 2, id_col:
     ids = joined.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_fp = joined.join(ids, "comp").select("fp", "component_id")
     return fp.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-#: Cells that shingles are counted in, to put frequent ones last; one document of SAMPLE is counted.
-CELLS, SAMPLE = 1 << 16, 8
-_KEY = ("no_id", "id", "h1", "h2")
-
-
-def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
-    """The distinct word shingles of a text, as sorted 64-bit hashes; a text of fewer words is one shingle, one without words has none."""
-    import xxhash
-
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, 42) for r in runs), np.uint64))
-
-
-def prefix(grams: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set, so many that any set as similar as that has one of them among its own first.
-
-    Two such sets share at least ceil(similarity * n) of the n shingles of each, so not all of the first
-    n - ceil(similarity * n) + 1 can be missing, whatever the order, if all sets have the same: by how often a shingle's cell was
-    counted, then by hash. A set of none has the key 0.
-    """
-    n = len(grams)
-    if not n:
-        return np.zeros(1, np.uint64)
-    order = np.lexsort((grams, often[grams & np.uint64(len(often) - 1)]))
-    return grams[order[: n - math.ceil(similarity * n - 1e-9) + 1]]
-
-
-def _cells(docs: DataFrame, shingle: int) -> np.ndarray:
-    """How often shingles of one text of SAMPLE fall into each of CELLS cells: bounded, whatever the data's size."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(CELLS, np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                held += np.bincount((shingle_set(t, shingle) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        at = np.nonzero(held)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["cell", "n"])
-
-    some = docs.filter(F.pmod("h1", F.lit(SAMPLE)) == 0).select("text").mapInArrow(count, "cell long, n long")
-    out = np.zeros(CELLS, np.int64)
-    for r in some.groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["cell"]] = r["n"]
-    return out
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Shared shingles over all shingles; two texts without words are alike."""
-    if not len(a) and not len(b):
-        return 1.0
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared)
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    return docs.select(row_key(text, col(id_col)).alias("k"), text.alias("text")).select(*(F.col(f"k.{c}") for c in _KEY), "text")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are as similar as that."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select([0, 1]).filter(pa.array(near))
-
-    joined = pairs.join(sets.select(F.col("uid").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("grams").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _verified_links(shared: DataFrame, alike: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Verified links (a, b) that join all documents that any alike pair of a bucket joins.
-
-    shared: key, uid, size, n (the bucket's documents); alike gives the links among pairs (a, b).
-
-    First all documents of a crowded bucket are compared with one of them, then with one that was found a copy of that (so
-    the centre of a star gets its turn), PIVOTS times at most. What those links join is joined: pairs inside one component are
-    left out from then on, and so is each bucket that holds one component only. All other pairs of all buckets are compared
-    if their sizes and the number of their common keys (all of which are counted: pairs across components) allow it,
-    one side being the documents outside the component of the bucket's first; crowded buckets are dealt in blocks of the
-    other side. So no pair of a bucket is lost, and a hot group costs a comparison for each document where pivots join it.
-    """
-
-    def mixed(members: DataFrame) -> DataFrame:
-        return members.groupBy("key").agg(F.min(F.struct("uid", "comp"))["comp"].alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "main")
-
-    found, asked, members = None, None, shared.withColumn("comp", F.col("uid"))
-    for _ in range(PIVOTS):
-        crowd = members.filter(F.col("n") > PAIRS_TO)
-        crowd = crowd.join(mixed(crowd), "key")
-        crowd = crowd.withColumn("asked", F.lit(False)) if asked is None else crowd.join(asked.withColumn("asked", F.lit(True)), "uid", "left").withColumn("asked", F.col("asked").isNotNull())
-        pivots = settle(crowd.groupBy("key").agg(F.min(F.struct("asked", F.col("comp") != F.col("main"), "uid", "comp")).alias("p")).select("key", F.col("p.uid").alias("a"), F.col("p.comp").alias("a_comp")))
-        if pivots.isEmpty():
-            break
-        linked = settle(alike(crowd.join(pivots, "key").filter("comp <> a_comp").select("a", F.col("uid").alias("b")).distinct()))
-        found = linked if found is None else found.unionByName(linked)
-        of = components(found).withColumnRenamed("node", "uid")
-        members = settle(shared.join(of, "uid", "left").select(*shared.columns, F.coalesce("comp", "uid").alias("comp")))
-        turn = pivots.select(F.col("a").alias("uid"))
-        asked = (turn if asked is None else asked.unionByName(turn)).distinct()
-    cross = members.join(mixed(members), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    inner = cross.select("key", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block"), F.col("uid").alias("v"), F.col("comp").alias("v_comp"), (F.col("comp") == F.col("main")).alias("v_main"), F.col("size").alias("v_size"))
-    outer = cross.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("uid").alias("u"), F.col("comp").alias("u_comp"), F.col("size").alias("u_size"))
-    met = outer.join(inner, ["key", "block"]).filter("u_comp <> v_comp AND (v_main OR u < v)")
-    met = met.filter(F.least("u_size", "v_size") >= similarity * F.greatest("u_size", "v_size") - 1e-6)
-    common = met.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.count(F.lit(1)).alias("keys"), F.first("u_size").alias("s"), F.first("v_size").alias("t"))
-    # Beyond the prefix that ends first, two sets share no more than what is left of that one.
-    behind = F.greatest(*(F.ceil(similarity * F.col(c) - 1e-9) - 1 for c in "st"))
-    pairs = common.filter(F.col("keys") + behind >= similarity / (1 + similarity) * (F.col("s") + F.col("t")) - 1e-6).select("a", "b")
-    linked = settle(alike(pairs))
-    return linked if found is None else found.unionByName(linked)
-
-
-def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of near copies: the first by id (nulls last), of equal ids the smallest text hash.
-
-    Two documents are near copies if their sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more.
-    Equal texts are one. Of the others, candidates share a key, a shingle of their prefixes (see prefix), as any two near copies
-    do, whatever their difference looks like. All candidates are verified on their whole shingle sets.
-    Groups are the components of the verified links; no pair of a bucket is left out but those that are in one group already
-    (see _verified_links).
-
-    Null text counts as empty; texts without words are copies of each other. Of rows that repeat id and text, one stays. An
-    empty table gives none. All columns stay, whatever their names.
-    """
-
-    read = _texts(docs, id_col, text_col)
-    often = docs.sparkSession.sparkContext.broadcast(_cells(read, shingle))
-
-    def print_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                grams = [shingle_set(t, shingle) for t in part.column(4).to_pylist()]
-                f = [prefix(g, often.value, similarity).view(np.int64) for g in grams]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([len(g) for g in grams], pa.int64()), pa.array(f, pa.list_(pa.int64()))], names=[*_KEY, "size", "f"])
-
-    printed = settle(read.mapInArrow(print_all, "no_id boolean, id long, h1 long, h2 long, size long, f array<long>"))
-    firsts = settle(printed.groupBy("h1", "h2").agg(F.min(F.struct("no_id", "id")).alias("first"), F.first("size").alias("size"), F.first("f").alias("f")).select("first.no_id", "first.id", "h1", "h2", "size", "f"))
-    nodes = settle(firsts.repartitionByRange("no_id", "id", "h1", "h2").sortWithinPartitions("no_id", "id", "h1", "h2").withColumn("uid", F.monotonically_increasing_id()))
-    keyed = nodes.select(F.explode("f").alias("key"), "uid", "size")
-    shared = settle(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key").select("key", "uid", "size", "n"))
-
-    def gram_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["uid", "grams"])
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        pairs = settle(pairs)
-        meeting = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(nodes.select("uid", *_KEY), "uid")
-        sets = settle(read.join(meeting, list(_KEY)).select("uid", "text").mapInArrow(gram_all, "uid long, grams binary").dropDuplicates(["uid"]))
-        return _alike(pairs, sets, similarity)
-
-    found = _verified_links(shared, alike, similarity)
-    of = components(found)
-    least = of.groupBy("comp").agg(F.min("node").alias("uid"))
-    dropped = of.join(least, "comp").filter(F.col("node") != F.col("uid")).select(F.col("node").alias("uid"))
-    stay = nodes.join(dropped, "uid", "left_anti").select(F.struct(*_KEY).alias("k"))
-    (key,) = fresh(docs, "tm_key")
-    out = docs.withColumn(key, row_key(F.coalesce(col(text_col).cast("string"), F.lit("")), col(id_col))).join(stay.withColumnRenamed("k", key), key, "left_semi")
-    repeats = printed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not repeats.isEmpty():
-        out = out.dropDuplicates([key])
-    return out.drop(key)
