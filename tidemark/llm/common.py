@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space as the word rules of this package see it.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from tidemark.operators.components import settled as settle
+from tidemark.operators.components import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; where it has none, as in tests, a new local one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return sc.getCheckpointDir()
+__all__ = ["Memo", "chunks", "col", "fresh", "read", "row_key", "settle", "shared_folder"]
 
-
-def settle(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: ASCII white space as the word rules of this package see it.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -20,6 +20,8 @@ CELLS = 1 << 16
 BLOCK = 4096
 #: Buckets up to this size are compared pair by pair, many buckets at a time; in larger ones a spanning tree is grown.
 SMALL = 8
+#: Bits of the table of documents whose texts are compared.
+BITS = 1 << 24
 _KEY = ("no_id", "id", "h1", "h2")
 
 
@@ -45,12 +47,12 @@ def prefix(grams: np.ndarray, often: np.ndarray, similarity: float) -> tuple[np.
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """Parities of the set over cells, as 64-bit words: four to eight cells a shingle, a power of two and 512 at least.
+    """Parities of the set over cells, as 64-bit words: two to four cells a shingle, a power of two and 512 at least.
 
     A shingle that only one of two sets has changes one cell, so sets differ in as many shingles, at least, as their sketches
     in bits. Folding a sketch in two gives that over half as many cells.
     """
-    bits = max(512, 4 << max(0, (len(grams) - 1).bit_length()))
+    bits = max(512, 2 << max(0, (len(grams) - 1).bit_length()))
     odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
 
@@ -147,10 +149,9 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[li
         yield keys, table, at
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Pairs of ids, the smaller first, each once."""
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+def _pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Pairs of ids, the smaller first, by the bucket that they were found in."""
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
 
 
 def _rows(table: pa.Table, similarity: float, first: int) -> Rows:
@@ -159,13 +160,13 @@ def _rows(table: pa.Table, similarity: float, first: int) -> Rows:
 
 
 def _spanning(members: DataFrame, nodes: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs (a, b) that may be alike: inside each bucket, or block of one, as many as join all that may be.
+    """(key, a, b): pairs that may be alike, inside each bucket, or block of one, as many as join all that may be.
 
-    members: key, uid, leads, n (the bucket's size). A bucket goes through one task with 30 to 300 bytes a document.
+    members: key, uid, leads, n (the bucket's size). A block goes through one task, with a quarter to half a byte a shingle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table, at in _groups(batches, 2):
+        for keys, table, at in _groups(batches, 2):
             rows, sizes = _rows(table, similarity, 2), np.diff(np.append(at, table.num_rows))
             one, two = [], []
             for lag in range(1, SMALL):
@@ -180,11 +181,11 @@ def _spanning(members: DataFrame, nodes: DataFrame, similarity: float, block: in
                 one.append(np.array(x, np.int64))
                 two.append(np.array(y, np.int64))
             a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (one, two))
-            yield _pairs(rows.uid[a], rows.uid[b])
+            yield _pairs(keys[0][a], rows.uid[a], rows.uid[b])
 
     dealt = members.withColumn("block", F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / block)).cast("long"))
     joined = dealt.join(nodes.select("uid", "size", "sketch"), "uid").select("key", "block", "uid", "size", "leads", "sketch")
-    return joined.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long").distinct()
+    return joined.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "key long, a long, b long")
 
 
 def _counted(sizes: np.ndarray) -> np.ndarray:
@@ -193,7 +194,7 @@ def _counted(sizes: np.ndarray) -> np.ndarray:
 
 
 def _across(members: DataFrame, nodes: DataFrame, similarity: float, block: int) -> DataFrame:
-    """All pairs (a, b) that may be alike between components inside a bucket. members: key, uid, leads, n, comp.
+    """(key, a, b): all pairs that may be alike between components inside a bucket. members: key, uid, leads, n, comp.
 
     Documents outside the component of the bucket's first are compared with all of the bucket, in blocks of both.
     """
@@ -206,7 +207,7 @@ def _across(members: DataFrame, nodes: DataFrame, similarity: float, block: int)
     outer = mixed.filter("outer").select(*carried, F.lit(True).alias("is_outer"), F.lit(True).alias("asks"), F.explode(all_blocks).alias("i"), number.alias("o"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table, at in _groups(batches, 3):
+        for keys, table, at in _groups(batches, 3):
             rows = _rows(table, similarity, 3)
             comp, is_outer, asks = (table.column(7 + i).to_numpy() for i in range(3))
             one, two = [], []
@@ -219,10 +220,10 @@ def _across(members: DataFrame, nodes: DataFrame, similarity: float, block: int)
                     one.append(np.full(len(b), a))
                     two.append(b)
             a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (one, two))
-            yield _pairs(rows.uid[a], rows.uid[b])
+            yield _pairs(keys[0][a], rows.uid[a], rows.uid[b])
 
     joined = inner.unionByName(outer).join(nodes.select("uid", "size", "sketch"), "uid").select("key", "i", "o", "uid", "size", "leads", "sketch", "comp", "is_outer", "asks")
-    return joined.repartition("key", "i", "o").sortWithinPartitions("key", "i", "o").mapInArrow(run, "a long, b long").distinct()
+    return joined.repartition("key", "i", "o").sortWithinPartitions("key", "i", "o").mapInArrow(run, "key long, a long, b long")
 
 
 def _cells(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -248,6 +249,27 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(row_key(text, col(id_col)).alias("k"), text.alias("text")).select(*(F.col(f"k.{c}") for c in _KEY), "text")
 
 
+def _among(docs: DataFrame, meeting: DataFrame) -> DataFrame:
+    """Rows of docs whose h1 may be among those of `meeting`, so that few texts are shuffled where few meet.
+
+    A table of BITS bits goes to the driver and to all executors. The more documents meet, the more others pass; the join with
+    `meeting` that follows decides.
+    """
+    place = F.shiftright(F.col("h1").cast("long"), 16).bitwiseAND(F.lit(BITS - 1))
+    words = meeting.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    table = np.zeros(BITS >> 6, np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        table[r["word"]] = r["bits"]
+    held = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(2).to_numpy(zero_copy_only=False) >> 16 & (BITS - 1)
+            yield b.filter(pa.array(held.value[at >> 6] >> (at & 63) & 1 == 1))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are as similar as that."""
 
@@ -273,9 +295,9 @@ def _labelled(members: DataFrame, of: DataFrame) -> DataFrame:
     return members.join(of.withColumnRenamed("node", "uid"), "uid", "left").select(*members.columns, F.coalesce("comp", "uid").alias("comp"))
 
 
-def _representatives(members: DataFrame, block: int) -> DataFrame:
-    """Of buckets of several blocks that hold several components, one document of each component: key, uid, leads, n."""
-    crowded = members.filter(F.col("n") > block).groupBy("key", "comp").agg(F.min_by(F.struct("uid", "leads"), F.struct(~F.col("leads"), F.col("uid"))).alias("r"))
+def _representatives(members: DataFrame) -> DataFrame:
+    """Of buckets that hold several components, one document of each component: key, uid, leads, n."""
+    crowded = members.groupBy("key", "comp").agg(F.min_by(F.struct("uid", "leads"), F.struct(~F.col("leads"), F.col("uid"))).alias("r"))
     counts = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return crowded.join(counts, "key").select("key", "r.uid", "r.leads", "n")
 
@@ -283,22 +305,31 @@ def _representatives(members: DataFrame, block: int) -> DataFrame:
 def _verified_links(nodes: DataFrame, shared: DataFrame, alike: Callable[[DataFrame], DataFrame], similarity: float, block: int) -> DataFrame:
     """Components (node, comp) of all pairs of nodes that are alike, nodes in no such pair left out.
 
-    First candidates are those of the codeword keys, and in each bucket of a prefix shingle a tree of its likest pairs. What
-    verified pairs join needs no more comparing. Then buckets of several blocks compare what their blocks have found, a
-    document for each component. At last all pairs of a bucket that are in different components still are compared by their
-    sketches, and those that may be alike are verified. So no link is lost, and a hot group costs one comparison of sets for
-    each of its documents, as far as verified pairs join it.
+    First candidates are those of the codeword keys, and in each bucket of a prefix shingle a tree of its likest pairs. Where
+    all pairs of a tree are verified, all that may be alike in that bucket is joined. Buckets of several blocks then
+    compare what their blocks have found, a document for each component. At last, in such buckets and in those where a
+    pair of the tree was refuted, all pairs between different components are compared by their sketches, and those that may
+    be alike are verified. So no link is lost, and a hot group costs one comparison of sets for each of its documents, as
+    far as verified pairs join it.
     """
-    found = settle(alike(_by_codewords(nodes).unionByName(_spanning(shared, nodes, similarity, block)).distinct()))
+    tried = settle(_spanning(shared, nodes, similarity, block))
+    candidates = settle(_by_codewords(nodes).unionByName(tried.select("a", "b")).distinct())
+    found = settle(alike(candidates))
     of = components(found)
-    for pick in (lambda m: _spanning(_representatives(m, block), nodes, similarity, block), lambda m: _across(m, nodes, similarity, block)):
-        members = settle(_labelled(shared, of))
-        more = settle(pick(members))
-        if not more.isEmpty():
-            linked = settle(alike(more))
-            if not linked.isEmpty():
-                found = found.unionByName(linked)
-                of = components(found)
+    crowded = shared.filter(F.col("n") > block)
+    if not crowded.isEmpty():
+        linked = settle(alike(_spanning(_representatives(_labelled(crowded, of)), nodes, similarity, block).select("a", "b").distinct()))
+        found = found.unionByName(linked)
+        of = components(found)
+    ends = [of.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp")) for c in "ab"]
+    refuted = tried.join(found, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    apart = refuted.filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("key")
+    open_keys = settle(apart.unionByName(crowded.select("key")).distinct())
+    if not open_keys.isEmpty():
+        more = _across(settle(_labelled(shared.join(open_keys, "key"), of)), nodes, similarity, block).select("a", "b").distinct()
+        linked = settle(alike(more.join(candidates, ["a", "b"], "left_anti")))
+        if not linked.isEmpty():
+            of = components(found.unionByName(linked))
     return of
 
 
@@ -335,10 +366,11 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, b
     printed = read.mapInArrow(print_all, "no_id boolean, id long, h1 long, h2 long, size long, fp long, sketch binary, leading int, f array<long>")
     carried = ["size", "fp", "sketch", "leading", "f"]
     firsts = settle(printed.groupBy("h1", "h2").agg(F.min(F.struct("no_id", "id")).alias("first"), F.first(F.struct(*carried)).alias("r")).select("first.no_id", "first.id", "h1", "h2", "r.*"))
-    nodes = settle(firsts.repartitionByRange("no_id", "id", "h1", "h2").sortWithinPartitions("no_id", "id", "h1", "h2").withColumn("uid", F.monotonically_increasing_id()))
-    keyed = nodes.select("uid", "leading", F.posexplode("f").alias("at", "key")).select("key", "uid", (F.col("at") < F.col("leading")).alias("leads"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("leads").alias("any")).filter("n > 1 AND any").select("key", "n")
-    shared = settle(keyed.join(counts, "key").select("key", "uid", "leads", "n"))
+    nodes = firsts.withColumn("uid", F.monotonically_increasing_id())
+    keyed = nodes.select("uid", F.col("size").cast("int").alias("size"), "leading", F.posexplode("f").alias("at", "key")).select("key", "uid", "size", (F.col("at") < F.col("leading")).alias("leads"))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("leads").alias("any"), F.min(F.struct("size", "leads")).alias("low"), F.max("size").alias("high"))
+    meets = (F.col("n") > 2) | (F.col("low.size") >= similarity * F.col("high") - 1e-6) & (F.col("low.leads") | (F.col("low.size") == F.col("high")))  # two documents: see Rows.apart
+    shared = settle(keyed.join(counts.filter(F.col("any") & (F.col("n") > 1) & meets).select("key", "n"), "key").select("key", "uid", "leads", "n"))
 
     def gram_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -347,12 +379,13 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, b
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs)
         meeting = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(nodes.select("uid", *_KEY), "uid")
-        sets = settle(read.join(meeting, list(_KEY)).select("uid", "text").mapInArrow(gram_all, "uid long, grams binary").dropDuplicates(["uid"]))
+        sets = settle(_among(read, meeting).join(meeting, list(_KEY)).select("uid", "text").mapInArrow(gram_all, "uid long, grams binary").dropDuplicates(["uid"]))
         return _alike(pairs, sets, similarity)
 
     of = _verified_links(nodes, shared, alike, similarity, block)
-    least = of.groupBy("comp").agg(F.min("node").alias("uid"))
-    dropped = of.join(least, "comp").filter(F.col("node") != F.col("uid")).select(F.col("node").alias("uid"))
+    named = of.withColumnRenamed("node", "uid").join(nodes.select("uid", F.struct(*_KEY).alias("k")), "uid")
+    least = named.groupBy("comp").agg(F.min("k").alias("least"))
+    dropped = named.join(least, "comp").filter(F.col("k") != F.col("least")).select("uid")
     stay = nodes.join(dropped, "uid", "left_anti").select(F.struct(*_KEY).alias("k"))
     (key,) = fresh(docs, "tm_key")
     out = docs.withColumn(key, row_key(F.coalesce(col(text_col).cast("string"), F.lit("")), col(id_col))).join(stay.withColumnRenamed("k", key), key, "left_semi")
