@@ -52,15 +52,16 @@ class Merges:
                     own.product_of_rank = made  # type: ignore[assignment]
         return own
 
-    def merge(self, word: bytes) -> list[int]:
-        """The symbols that are left of a word: the adjacent pair of lowest rank, leftmost first, merges until none can."""
+    def _merged(self, word: bytes) -> tuple[list[int], int]:
+        """The word's symbols, -1 where one has gone into its left neighbour, and how many merges there were: the adjacent pair of
+        lowest rank, leftmost first, merges until none can."""
         rank_of, product = self.rank_of_pair, self.product_of_rank
         sym = [self.symbol_of_byte[b] for b in word]
-        n = len(sym)
+        n, merges = len(sym), 0
         pairs = [a << 20 | b for a, b in zip(sym, sym[1:])]
         heap = [rank_of[p] << 32 | i for i, p in enumerate(pairs) if p in rank_of]
         if not heap:
-            return sym
+            return sym, 0
         heapify(heap)
         pairs.append(-1)  # pairs[i]: the pair that starts at symbol i, -1 if none does
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -69,6 +70,7 @@ class Merges:
             i, r = entry & 0xFFFFFFFF, entry >> 32
             if rank_of.get(pairs[i]) != r:
                 continue  # one of the two has merged since
+            merges += 1
             j = after[i]
             sym[i] = s = product[r]
             sym[j] = pairs[j] = -1
@@ -84,11 +86,16 @@ class Merges:
                 pairs[h] = p = sym[h] << 20 | s
                 if p in rank_of:
                     heappush(heap, rank_of[p] << 32 | h)
-        return [s for s in sym if s >= 0]
+        return sym, merges
+
+    def merge(self, word: bytes) -> list[int]:
+        """The symbols that merging leaves of a word."""
+        sym, merges = self._merged(word)
+        return [s for s in sym if s >= 0] if merges else sym
 
     def count(self, word: bytes) -> int:
-        """How many symbols merging leaves: those at the start minus the merges."""
-        return len(self.merge(word))
+        """How many symbols merging leaves: those at the start minus the merges; no list of them is made."""
+        return len(word) - self._merged(word)[1]
 
 
 def byte_letters() -> str:
@@ -114,6 +121,11 @@ def special_strings(path: str) -> tuple[str, ...]:
         return tuple(x["content"] for x in json.load(f)["added_tokens"])
 
 
+# Fixed value: the pattern of the byte-level vocabularies. Its matches never go from one word into the next, so where words
+# stand one blank or newline apart, each word with what stands before it can be looked up whole.
+BY_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Counter:
     """Counts the tokens of texts; distinct words are merged once for as long as the memo holds them."""
 
@@ -121,20 +133,18 @@ class Counter:
         import regex
 
         self.find, table = regex.compile(pattern).findall, merges(path)
+        self.by_words = pattern == BY_WORDS
         self.special = special_strings(path)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pretoken = Memo(lambda m: table.count(m.encode()))
-        self.at_start = Memo(lambda w: sum(map(self.pretoken.__getitem__, self.find(w))))
-        self.spaced = Memo(lambda w: table.count((" " + w).encode()) if w.isalpha() else sum(map(self.pretoken.__getitem__, self.find(" " + w))))
+        self.first = Memo(lambda w: sum(map(self.pretoken.__getitem__, self.find(w))))
+        self.later = Memo(lambda w: self.first[w if w[:1] == "\n" else " " + w])
 
     def plain(self, text: str) -> int:
-        if " ".join(text.split()) != text.replace("\n", " "):  # white space other than one blank or newline between words
+        if not self.by_words or " ".join(text.split()) != text.replace("\n", " "):  # white space other than one blank or newline between words
             return sum(map(self.pretoken.__getitem__, self.find(text)))
-        total, spaced = text.count("\n"), self.spaced.__getitem__
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            total += self.at_start[first] + sum(map(spaced, rest))
-        return total
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self.first[first] + sum(map(self.later.__getitem__, rest))
 
     def __call__(self, text: str) -> int:
         if not text:
