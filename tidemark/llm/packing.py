@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +20,9 @@ from tidemark.llm.common import chunks, col, settle
 GROUP = 20_000
 
 
-#: A word of Latin letters with what may stand behind it; the tokenizer cuts between the two, and its letters don't change in number.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s']*)")
+#: A word of Latin letters with what may stand behind it; the tokenizer cuts between the two, and its letters don't change in
+#: number. Combining marks are not among that: the tokenizer composes them with the letter before.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'\p{M}]*)")
 
 
 class Ids:
@@ -160,52 +161,63 @@ class Search:
     def from_emptiest(self, n: int, but: int = -1) -> int | None:
         return min((i for i in self.where[n] if i != but), key=lambda i: (self.fill[self.bin_of[i]], i), default=None)
 
-    def step(self, b: int) -> bool:
-        free = self.size - self.fill[b]
-        best = (0, None, ())  # gain, piece that leaves, lengths that come
-        for out in [None, *sorted(set(self.bins[b]), key=lambda i: (self.lengths[i], i))]:
+    def squares(self, moves: list[tuple[int, int]]) -> int:
+        """How much the sum of squared fills grows if pieces go to bins; -1 if a bin overflows."""
+        change: dict[int, int] = {}
+        for i, to in moves:
+            n, old = self.lengths[i], self.bin_of[i]
+            change[old] = change.get(old, 0) - n
+            change[to] = change.get(to, 0) + n
+        if any(self.fill[x] + d > self.size for x, d in change.items()):
+            return -1
+        return sum((self.fill[x] + d) ** 2 - self.fill[x] ** 2 for x, d in change.items())
+
+    def choices(self, b: int) -> list[tuple[int, int | None, tuple[int, ...]]]:
+        """(gain, piece that leaves, lengths that come) for the bin: for each piece of it and for none, the best single length and the best two."""
+        free, found = self.size - self.fill[b], []
+        for out in [None, *sorted(self.bins[b], key=lambda i: (self.lengths[i], i))]:
             n = 0 if out is None else self.lengths[out]
             one = self.largest(n + free, n)
-            if one - n > best[0]:
-                best = (one - n, out, (one,))
-                if best[0] == free:
-                    break
-        if best[0] < free:
-            for out in [None, *sorted(set(self.bins[b]), key=lambda i: (self.lengths[i], i))]:
-                n = 0 if out is None else self.lengths[out]
-                target, low = n + free, self.mask & ((1 << (n + free) // 2 + 1) - 1)
-                while low:
-                    small = low & -low
-                    low ^= small
-                    first = small.bit_length() - 1
-                    second = self.largest(target - first, first - 1)
-                    if second == first and len(self.where[first]) < 2:
-                        second = 0
-                    if second and first + second - n > best[0]:
-                        best = (first + second - n, out, (first, second))
-                        if best[0] == free:
-                            break
-                if best[0] == free:
-                    break
-        if not best[0]:
-            return False
-        _, out, come = best
-        first = self.from_emptiest(come[0])
-        second = self.from_emptiest(come[1], first) if len(come) > 1 else None
-        home = self.bin_of[first]
-        if out is not None and self.fill[home] - self.lengths[first] + self.lengths[out] - (self.lengths[second] if second is not None and self.bin_of[second] == home else 0) > self.size:
-            return False  # what leaves has no place there
-        for i in (first, second):
-            if i is not None:
-                self.withdraw(i)
-                self.put(i, b)
-        if out is not None:
-            self.put(out, home)
-            self.offer(out)
-        return True
+            if one:
+                found.append((one - n, out, (one,)))
+                if one - n == free:
+                    return [found[-1], *found]
+            target, low, best = n + free, self.mask & ((1 << (n + free) // 2 + 1) - 1), (0, 0)
+            while low and sum(best) < target:
+                small = low & -low
+                low ^= small
+                first = small.bit_length() - 1
+                second = self.largest(target - first, first - 1)
+                if second == first and len(self.where[first]) < 2:
+                    second = 0
+                if second and first + second > sum(best):
+                    best = (first, second)
+            if sum(best) > n:
+                found.append((sum(best) - n, out, best))
+        return sorted(found, key=lambda c: -c[0])
+
+    def step(self, b: int) -> bool:
+        """The change with the largest gain that increases the sum of squared fills; what leaves goes to a bin that something came from."""
+        for _, out, come in self.choices(b):
+            first = self.from_emptiest(come[0])
+            second = self.from_emptiest(come[1], first) if len(come) > 1 else None
+            into = [(i, b) for i in (first, second) if i is not None]
+            ways = [[*into, (out, self.bin_of[i])] for i, _ in into] if out is not None else [into]
+            moves = max(ways, key=self.squares)
+            if self.squares(moves) > 0:
+                for i, to in moves:
+                    if to == b:
+                        self.withdraw(i)
+                    self.put(i, to)
+                    if to != b:
+                        self.offer(i)
+                return True
+        return False
 
     def run(self) -> None:
-        for _ in range(4):
+        """Passes over the underfull bins until one changes nothing. Each change makes the sum of squared fills larger, so there is a last."""
+        changed = True
+        while changed:
             order = sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.size), key=lambda b: (-self.fill[b], b))
             self.mask = 0
             for held in self.where:
@@ -219,8 +231,6 @@ class Search:
                     self.withdraw(i)
                 while 0 < self.fill[b] < self.size and self.step(b):
                     changed = True
-            if not changed:
-                break
 
 
 def pack_lengths(lengths: list[int], size: int) -> list[list[int]]:
