@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,75 +70,114 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
     return [[room[(first + 2 * (i * m + j)) ^ 1] for j in range(m)] for i in range(n)]
 
 
-def reshard(docs: DataFrame, *, old: int = 32, new: int = 40, blocks: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Size classes a doubling, and the part of a new shard over which documents are placed before the others.
+CLASSES, LARGE = 8, 64
+
+
+def _measured(docs: DataFrame, old: int, blocks: int, id_col: str, text_col: str, carried: Column | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, h (a hash of the document), old_shard, class (of sizes), block, and `row` where something is carried."""
+    text = col(text_col).cast("string")
+    doc_id = col(id_col).cast("long")
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
+    h = F.xxhash64(F.lit(11), F.coalesce(doc_id, F.lit(0)), text)
+    return docs.select(
+        doc_id.alias("doc_id"),
+        size.alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        h.alias("h"),
+        F.pmod(F.crc32(F.coalesce(doc_id, F.lit(0)).cast("string").cast("binary")), F.lit(old)).cast("int").alias("old_shard"),
+        F.floor(F.log2(size.cast("double")) * CLASSES).cast("int").alias("class"),
+        F.pmod(h, F.lit(blocks)).cast("int").alias("block"),
+        *([] if carried is None else [carried.alias("row")]),
+    )
+
+
+def _cuts(sent: list[list[float]], held: list[int]) -> list[tuple[int, int, int, int]]:
+    """(old shard, from, to, new shard): each old shard's bytes, what it holds, cut in proportion to what it sends, what stays first."""
+    out = []
+    for i, parts in enumerate(sent):
+        total, at, before = sum(parts), 0, 0.0
+        for j in sorted((j for j, n in enumerate(parts) if n > 0), key=lambda j, i=i: (j != i, j)):
+            before += parts[j]
+            to = round(held[i] * before / total)
+            out.append((i, at, to, j))
+            at = to
+    return out
+
+
+def _placed(rows: DataFrame, light: DataFrame, old: int, new: int) -> tuple[DataFrame, list[list[int]]]:
+    """rows with `nth` (place in its block) and `shard`, and the flow. light: the same rows, settled, for the counts.
+
+    What goes to the driver is bounded by the shards and the classes of sizes.
+    """
+    by_block = settle(light.groupBy("old_shard", "class", "block").agg(F.sum("size").alias("bytes")))
+    totals = [(r["old_shard"], r["class"], r["bytes"]) for r in by_block.groupBy("old_shard", "class").agg(F.sum("bytes").alias("bytes")).collect()]
+    supply = [sum(n for i, _, n in totals if i == s) for s in range(old)]
+    total = sum(supply)
+    capacity = [total // new + (j < total % new) for j in range(new)]
+    flow = min_cost_flow(supply, capacity, [[int(i != j) for j in range(new)] for i in range(old)])
+    first = math.ceil(math.log2(max(2, total / new / LARGE)) * CLASSES)  # the least class of large documents
+    large = [sum(n for i, c, n in totals if i == s and c >= first) for s in range(old)]
+    is_large = F.col("class") >= first
+    ahead = Window.partitionBy("old_shard", is_large).orderBy(F.desc("class"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_block.select("old_shard", "class", "block", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("begins"))
+    inside = Window.partitionBy("old_shard", "class", "block").orderBy("h", "doc_id", "text_crc32")
+
+    def dealt(some: DataFrame, sent: list[list[float]], held: list[int]) -> DataFrame:
+        cut = F.broadcast(some.sparkSession.createDataFrame(_cuts(sent, held), "o int, low long, high long, shard int"))
+        middle = F.col("begins") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.floor(F.col("size") / 2)
+        ordered = some.join(starts, ["old_shard", "class", "block"]).withColumn("nth", F.row_number().over(inside)).withColumn("middle", middle)
+        return ordered.join(cut, (F.col("old_shard") == F.col("o")) & (F.col("middle") >= F.col("low")) & (F.col("middle") < F.col("high"))).drop("o")
+
+    got = [[0] * new for _ in range(old)]
+    for r in dealt(light.filter(is_large), flow, large).groupBy("old_shard", "shard").agg(F.sum("size").alias("n")).collect():
+        got[r["old_shard"]][r["shard"]] = r["n"]
+    left = [[max(0, f - g) for f, g in zip(*both, strict=True)] for both in zip(flow, got, strict=True)]
+    left = [x if any(x) else f for x, f in zip(left, flow, strict=True)]
+    small = [s - n for s, n in zip(supply, large, strict=True)]
+    return dealt(rows.filter(is_large), flow, large).unionByName(dealt(rows.filter(~is_large), left, small)), flow
+
+
+def reshard(docs: DataFrame, *, old: int = 32, new: int = 40, blocks: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard.
 
     The old layout deals documents to `old` shards by a hash of the id; the new one has `new` shards of equal bytes (law
     `bytes`). Old sizes and new capacities go to the driver, one number for each shard; the minimum-cost flow says how many
-    bytes each old shard sends to each new one. Documents of an old shard stand in a fixed order: by block, a hash of the
-    document, then by hash. The flow cuts that order where the running sum of bytes reaches what goes to each new shard, so
-    shards differ by no more than the documents at their cuts; documents over a 64th of a shard come first, by size,
-    where the shard keeps what it has. Running sums go over blocks first and then inside each. slot counts a new shard's documents from 0.
+    bytes each old shard sends to each new one. Documents of an old shard stand in a fixed order: by size, an eighth of a
+    doubling at a time, the larger first, then by one of `blocks` blocks of a hash, then by the hash. That order is cut where
+    the running sum of bytes reaches each new shard's share, first of those over a 64th of a new shard, then of the others, which
+    make up for what the cuts between large ones left uneven. So shards differ by no more than small documents at their cuts,
+    as long as there are enough. Running sums go over blocks first and then inside each. slot counts a new shard's documents from 0.
 
     size is the text's UTF-8 bytes plus 16; null text has no bytes and no crc (null counts as empty: crc 0). A null id is
     dealt like the id 0; repeated rows are dealt each; an empty table gives no rows; other columns are not read.
     """
-    text = col(text_col).cast("string")
-    rows = settle(
-        docs.select(
-            col(id_col).cast("long").alias("doc_id"),
-            (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
-            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-            F.xxhash64(F.lit(11), F.coalesce(col(id_col).cast("long"), F.lit(0)), text).alias("h"),
-            F.pmod(F.crc32(F.coalesce(col(id_col).cast("long"), F.lit(0)).cast("string").cast("binary")), F.lit(old)).cast("int").alias("old_shard"),
-        )
-    )
-    sizes = {r["old_shard"]: r["bytes"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("bytes")).collect()}
-    supply = [sizes.get(i, 0) for i in range(old)]
-    total = sum(supply)
-    capacity = [total // new + (j < total % new) for j in range(new)]
-    flow = min_cost_flow(supply, capacity, [[int(i != j) for j in range(new)] for i in range(old)])
-    cuts = []
-    for i, sent in enumerate(flow):
-        at = 0
-        for j in sorted(range(new), key=lambda j, i=i: (j != i, j)):  # what stays comes first
-            if sent[j]:
-                cuts.append((i, at, at + sent[j], j))
-                at += sent[j]
-    cut = docs.sparkSession.createDataFrame(cuts, "old_shard int, low long, high long, shard int")
-
-    large = F.lit(max(1, total // new // 64))
-    placed = rows.withColumn("block", F.when(F.col("size") > large, 0).otherwise(F.pmod("h", F.lit(blocks)) + 1).cast("int"))
-    by_block = placed.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"))
-    ahead = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_block.select("old_shard", "block", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("begins"))
-    inside = Window.partitionBy("old_shard", "block").orderBy(F.when(F.col("block") == 0, -F.col("size")).otherwise(0), "h", "doc_id", "text_crc32")
-    ordered = (
-        placed.join(starts, ["old_shard", "block"])
-        .withColumn("nth", F.row_number().over(inside))
-        .withColumn("middle", F.col("begins") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.floor(F.col("size") / 2))
-    )
-    sent = settle(ordered.join(F.broadcast(cut), (ordered["old_shard"] == cut["old_shard"]) & (F.col("middle") >= F.col("low")) & (F.col("middle") < F.col("high"))).drop(cut["old_shard"]))
-    part = ["shard", "old_shard", "block"]
+    rows = settle(_measured(docs, old, blocks, id_col, text_col))
+    sent = settle(_placed(rows, rows, old, new)[0])
+    part = ["shard", "old_shard", "class", "block"]
     counted = sent.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("from"))
-    before = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("shard").orderBy("old_shard", "class", "block").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select(*part, "from", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return sent.join(base, part).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("nth") - F.col("from")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard"
     )
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """Write the shards that the plan changes under `path`, one folder for each (shard=N), and return their numbers.
+def rewrite(docs: DataFrame, path: str, *, old: int = 32, new: int = 40, blocks: int = 64, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
+    """Write the shards that resharding changes under `path`, one folder for each (tm_shard=N), and return their numbers.
 
-    A shard is changed if a document enters or leaves it. Documents and plan meet by id and text checksum. Running it again
-    writes the same folders anew, so a lost run can be repeated.
+    A shard is changed if a document enters or leaves it; all documents that it has then are written, with all their columns,
+    each row once: rows are carried through the placing, so repeated rows and null ids need no matching. An empty table writes
+    nothing. Running it again writes the same folders anew, so a lost run can be repeated.
     """
-    moves = plan.filter("shard <> old_shard")
-    touched = sorted({r[0] for r in moves.select("shard").unionByName(moves.select(F.col("old_shard").alias("shard"))).distinct().collect()})
-    crc, shard, doc_id = fresh(docs, "tm_crc", "shard", "tm_id")
-    of = plan.filter(F.col("shard").isin(touched)).select(F.col("doc_id").alias(doc_id), F.col("text_crc32").alias(crc), F.col("shard").alias(shard)).distinct()
-    held = docs.withColumn(crc, F.crc32(F.coalesce(col(text_col).cast("string"), F.lit("")).cast("binary"))).withColumn(doc_id, col(id_col).cast("long"))
-    joined = held.alias("l").join(of.alias("r"), (F.col(f"l.{crc}") == F.col(f"r.{crc}")) & F.col(f"l.{doc_id}").eqNullSafe(F.col(f"r.{doc_id}")))
-    joined.select(*(F.col(f"l.`{c}`") for c in docs.columns), F.col(f"r.{shard}")).repartition(shard).write.mode("overwrite").partitionBy(shard).parquet(path)
+    shard, inside = fresh(docs, "tm_shard", "tm_row")
+    light = settle(_measured(docs, old, blocks, id_col, text_col))
+    whole = _measured(docs, old, blocks, id_col, text_col, F.struct(*map(col, docs.columns)))
+    placed, flow = _placed(whole, light, old, new)
+    moves = [(i, j) for i, sent in enumerate(flow) for j, n in enumerate(sent) if n and i != j]
+    touched = sorted({x for move in moves for x in move} & set(range(new)))
+    if touched:
+        held = placed.filter(F.col("shard").isin(touched)).select(F.col("row").alias(inside), F.col("shard").alias(shard))
+        rows = held.select(*(F.col(inside).getField(c).alias(c) for c in docs.columns), shard)
+        rows.repartition(shard).write.mode("overwrite").partitionBy(shard).parquet(path)
     return touched
