@@ -1,6 +1,6 @@
 """Documents in dictionary batches: each batch holds its distinct words once, and its texts as places in that list.
 
-A batch is what one task tokenizes before it has seen `BATCH_BYTES` of text, so it is bounded; words meet across batches in
+A batch is what one task tokenizes before it has seen `BATCH_BYTES` of text and a document more, so it is bounded; words meet across batches in
 a shuffle that carries each distinct word of a batch once, however often the batch or a hot document repeats it.
 """
 
@@ -15,57 +15,70 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, chunks, col
+from tidemark.llm.common import Memo, chunks, col, settle
 
-BATCH_BYTES = 64 << 20
+BATCH_BYTES = 32 << 20
 
 SCHEMA = "batch long, docs array<long>, counts array<int>, marks array<boolean>, places binary, words array<{word}>, seen array<int>"
 
+#: Made inside a task: the function from a text to its units, and the one from a unit to its words (None: units are words).
+Splitter = Callable[[], tuple[Callable[[str], list], Callable[[object], tuple] | None]]
 
-def batched(docs: DataFrame, split: Callable[[], Callable[[str], list]], word_type: str, mark: Callable[[object], bool] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def batched(docs: DataFrame, split: Splitter, word_type: str, mark: Callable[[object], bool] | None = None, *, stable: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Batches of docs: batch (its name), docs (ids), counts (words of each), marks (mark(id) of each), places (the words of
     all texts in order, as places in words, packed), words (distinct, of word_type, the most frequent first), seen (how often
-    each stands in unmarked texts; 0 without `mark`). `split` gives, inside a task, the function from a text to its words.
+    each stands in unmarked texts; 0 without `mark`). A batch is named by its place in the table.
 
-    A batch's name is a digest of its place in the table and of its rows. Reading the rows twice gives the same names if the
-    table's partitions are the same, as files' are; if they weren't, names would not meet and checked() would stop the job.
+    Callers may evaluate this twice and let the batches meet by name, so the rows' order must be the same each time. `stable` says
+    that it is, as that of files is; otherwise ids and texts are checkpointed first. Null text counts as empty, and a null id stays null.
     """
-    import xxhash
-
     arrow_word = {"string": pa.string(), "binary": pa.binary()}[word_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, part = split(), TaskContext.get().partitionId()
+        (units_of, words_of), part = split(), TaskContext.get().partitionId()
         rows = ((i, t or "") for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for number, held in enumerate(chunks(rows, lambda r: len(r[1]) + 64, BATCH_BYTES)):
-            name = xxhash.xxh64(f"{part} {number}".encode())
-            place = Memo(lambda _: len(place), 1 << 62)  # noqa: B023
-            counts, blocks = [], []
-            for doc_id, text in held:
-                name.update(f"{doc_id} {len(text)} ".encode())
-                name.update(text.encode())
-                words = words_of(text)
-                counts.append(len(words))
-                blocks.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
-            at = np.concatenate(blocks)
-            often = np.argsort(-np.bincount(at, minlength=len(place)), kind="stable")
-            rank = np.empty(len(place), np.uint32)
-            rank[often] = np.arange(len(place), dtype=np.uint32)
-            listed = list(place)
-            marks, seen = [False] * len(held), np.zeros(len(place), np.int32)
+            units = _numbers()
+            blocks = []
+            for _, text in held:
+                own = units_of(text)
+                blocks.append(np.fromiter(map(units.__getitem__, own), np.uint32, len(own)))
+            sizes = np.array([len(x) for x in blocks], np.int64)
+            at, listed, counts = np.concatenate(blocks), list(units), sizes
+            if words_of:
+                words = _numbers()
+                parts = [words_of(u) for u in listed]
+                flat = np.fromiter((words[w] for p in parts for w in p), np.uint32)
+                n = np.array([len(p) for p in parts], np.int64)
+                begins, long = np.cumsum(n) - n, n[at]
+                ends = np.concatenate([[0], np.cumsum(long)])
+                counts = np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
+                at = flat[np.repeat(begins[at] - ends[:-1], long) + np.arange(ends[-1])]
+                listed = list(words)
+            often = np.argsort(-np.bincount(at, minlength=len(listed)), kind="stable")
+            rank = np.empty(len(listed), np.uint32)
+            rank[often] = np.arange(len(listed), dtype=np.uint32)
+            marks, seen = [False] * len(held), np.zeros(len(listed), np.int32)
             if mark:
                 marks = [bool(mark(i)) for i, _ in held]
-                seen = np.bincount(at[~np.repeat(np.array(marks, bool), counts)], minlength=len(place))[often].astype(np.int32)
+                seen = np.bincount(at[~np.repeat(np.array(marks, bool), counts)], minlength=len(listed))[often].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([np.uint64(name.intdigest()).astype(np.int64)]), pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([marks], pa.list_(pa.bool_())),
+                    pa.array([part << 24 | number]), pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([marks], pa.list_(pa.bool_())),
                     pa.array([pack(rank[at])], pa.binary()), pa.array([[listed[i] for i in often.tolist()]], pa.list_(arrow_word)), pa.array([seen], pa.list_(pa.int32())),
                 ],
                 names=["batch", "docs", "counts", "marks", "places", "words", "seen"],
             )
 
     read = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(run, SCHEMA.format(word=word_type))
+    return (read if stable else settle(read)).mapInArrow(run, SCHEMA.format(word=word_type))
+
+
+def _numbers() -> Memo:
+    """Numbers keys as they come."""
+    out = Memo(lambda _: len(out), 1 << 62)
+    return out
 
 
 def pack(places: np.ndarray) -> bytes:
@@ -93,6 +106,6 @@ def regroup(batches: DataFrame, known: DataFrame, value: str) -> DataFrame:
 
 
 def checked(n_words: int, found: int) -> None:
-    """Stops the job if the words that came back are not those that went out."""
+    """Stops the job if the words that came back are not those that went out: docs were said to be stable and weren't."""
     if n_words != found:
-        raise RuntimeError(f"a batch has {n_words} words and {found} came back: the table's rows changed between two readings; checkpoint it first")
+        raise RuntimeError(f"a batch has {n_words} words and {found} came back: the table's rows changed between two readings")

@@ -2,65 +2,74 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import batched, checked, pack, unpack, words
-from tidemark.llm.bpe import load_ranks, merges
-from tidemark.llm.common import Memo, chunks
+from tidemark.llm.batches import Splitter, batched, checked, pack, unpack, words
+from tidemark.llm.bpe import BY_WORDS, load_ranks, merges
+from tidemark.llm.common import chunks
 
 
-@functools.cache
-def token_bytes(path: str) -> list[bytes]:
-    """The bytes of each id."""
-    ranks = load_ranks(path)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    return table
+def token_bytes(spark: SparkSession, ranks: str) -> DataFrame:
+    """The token-byte table of a rank file: id and its bytes. The file is at a path that executors can open."""
 
+    def run(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = load_ranks(ranks)
+        yield pa.RecordBatch.from_arrays([pa.array(list(table.values()), pa.int64()), pa.array(list(table), pa.binary())], names=["id", "bytes"])
 
-def _splitter(pattern: str) -> Callable[[], Callable[[str], list]]:
-    """A function to a text's matches of the pattern. Where words stand one blank or newline apart, what a word and the blank
-    before it fall into is remembered."""
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "id long, bytes binary")
+
+
+def _splitter(pattern: str) -> Splitter:
+    """A text's units, each with the matches of the pattern that are in it. Where words stand one blank or newline apart, units
+    are words with what stands before them; otherwise they are the matches."""
 
     def make():
         import regex
 
-        find = regex.compile(pattern).findall
-        first, spaced = Memo(lambda w: tuple(find(w))), Memo(lambda w: tuple(find(" " + w)))
+        find, by_words = regex.compile(pattern).findall, pattern == BY_WORDS
+
+        def units_of(text: str) -> list:
+            if not by_words or " ".join(text.split()) != text.replace("\n", " "):
+                return [("match", m) for m in find(text)]
+            units = text.replace("\n", " \n").split(" ")
+            units[0] = ("first", units[0])
+            return units
 
-        def words_of(text: str) -> list[str]:
-            if " ".join(text.split()) != text.replace("\n", " "):
-                return find(text)
-            out: list[str] = []
-            for n, line in enumerate(text.split("\n")):
-                head, *rest = line.split(" ")
-                out += ("\n", *first[head]) if n else first[head]
-                out.extend(chain.from_iterable(map(spaced.__getitem__, rest)))
-            return out
+        def words_of(unit) -> tuple[str, ...]:
+            if isinstance(unit, tuple):
+                return (unit[1],) if unit[0] == "match" else tuple(find(unit[1]))
+            return tuple(find(unit if unit[:1] == "\n" else " " + unit))
 
-        return words_of
+        return units_of, words_of
 
     return make
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Batches of docs (see batches.batched) with `ids`: structs of packed places, lengths and ids of the batch's pre-tokens.
+@dataclass(frozen=True)
+class Encoded:
+    """batches: batch, docs, counts, places, n_words; known: batch and ids, structs of packed places, lengths and ids of its pre-tokens."""
+
+    batches: DataFrame
+    known: DataFrame
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, *, stable: bool = False, id_col: str = "doc_id", text_col: str = "text") -> Encoded:
+    """Batches of docs (see batches.batched) and the ids of their pre-tokens.
 
     Pre-tokens are the matches of `pattern`, each encoded by itself by the ranks. All batches' pre-tokens are shuffled by
     value and sorted, so that equal ones stand together and each is merged once; their ids go back to the places they came
     from, those of one batch packed together, and a batch's places give its texts' order. The table is read twice, for the
-    pre-tokens and for the order, which costs less disk than keeping either.
+    pre-tokens and for the order, which costs less disk than keeping either, if `stable` says that its rows come in the same order
+    each time, as those of files do; else it is checkpointed. Null text counts as empty, and a null id stays null.
     """
-    found = batched(docs, _splitter(pattern), "string", id_col=id_col, text_col=text_col)
+    found = batched(docs, _splitter(pattern), "string", stable=stable, id_col=id_col, text_col=text_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge, last, ids = merges(ranks).merge, None, []
@@ -85,8 +94,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["batch", "at", "sizes", "ids"])
 
     together = words(found).select("batch", "place", "word").repartition("word").sortWithinPartitions("word")
-    known = together.mapInArrow(run, "batch long, at binary, sizes binary, ids binary").groupBy("batch").agg(F.collect_list(F.struct("at", "sizes", "ids")).alias("ids"))
-    return found.select("batch", "docs", "counts", "places", F.size("words").alias("n_words")).join(known, "batch", "left")
+    known = together.mapInArrow(run, "batch long, at binary, sizes binary, ids binary").filter("batch IS NOT NULL").groupBy("batch").agg(F.collect_list(F.struct("at", "sizes", "ids")).alias("ids"))
+    return Encoded(found.select("batch", "docs", "counts", "places", F.size("words").alias("n_words")), known)
 
 
 def _word_ids(n_words: int, packed: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,43 +110,59 @@ def _word_ids(n_words: int, packed: list[dict] | None) -> tuple[np.ndarray, np.n
     return (np.cumsum(sizes) - sizes)[order], sizes[order], ids
 
 
-def texts(encoded: DataFrame, ranks: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) and decoded (bytes) of each document of encode()'s batches."""
+def with_bytes(encoded: Encoded, ranks: str) -> DataFrame:
+    """encode()'s batches with `tokens`: (id, bytes) of each id that the batch uses, from a join with the token-byte table.
+
+    The table is broadcast: it has a row for each token of the vocabulary, whatever the data's size.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for batch, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                used = np.unique(np.concatenate([np.zeros(0, np.uint32), *(unpack(x["ids"]) for x in packed or [])]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), batch, np.int64)), pa.array(used.astype(np.int64))], names=["batch", "id"])
+
+    used = encoded.known.mapInArrow(run, "batch long, id long")
+    found = used.join(F.broadcast(token_bytes(encoded.batches.sparkSession, ranks)), "id").groupBy("batch").agg(F.collect_list(F.struct("id", "bytes")).alias("tokens"))
+    return encoded.batches.join(encoded.known, "batch", "left").join(found, "batch", "left")
+
+
+def _table(tokens: list[dict] | None) -> dict[int, bytes]:
+    return {t["id"]: t["bytes"] for t in tokens or []}
+
+
+def texts(encoded: Encoded, ranks: str) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit) and decoded (bytes) of each document that was encoded."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(ranks)
         for b in parts:
-            for doc_ids, counts, places, packed, n_words in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for doc_ids, counts, places, packed, n_words, tokens in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 begin, size, ids = _word_ids(n_words, packed)
-                data, at, end = ids.astype("<u4").tobytes(), unpack(places), 0
+                table, data, at, end = _table(tokens), ids.astype("<u4").tobytes(), unpack(places), 0
                 word = [data[4 * x : 4 * (x + n)] for x, n in zip(begin.tolist(), size.tolist(), strict=True)]
                 for doc_id, n in zip(doc_ids, counts, strict=True):
                     end += n
                     own = b"".join(map(word.__getitem__, at[end - n : end].tolist()))
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([own], pa.binary()), pa.array([decode_ids(np.frombuffer(own, "<u4"), table)], pa.binary())], names=["doc_id", "ids", "decoded"])
-
-    return encoded.select("docs", "counts", "places", "ids", "n_words").mapInArrow(run, "doc_id long, ids binary, decoded binary")
-
+                    decoded = b"".join(map(table.__getitem__, np.frombuffer(own, "<u4").tolist()))
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([own], pa.binary()), pa.array([decoded], pa.binary())], names=["doc_id", "ids", "decoded"])
 
-def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:
-    return b"".join(map(table.__getitem__, ids.tolist()))
+    return with_bytes(encoded, ranks).select("docs", "counts", "places", "ids", "n_words", "tokens").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, ranks: str, pattern: str, *, stable: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the
     bytes that the ids decode to, which are the text's).
 
     Null text counts as empty: 0 tokens, digests of nothing. A null id stays null; repeated rows each get their row; an
-    empty table gives none; other columns are not read. Special strings are ordinary text.
+    empty table gives none; other columns are not read. Special strings are ordinary text. stable: see encode().
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(ranks)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for b in parts:
-            for doc_ids, counts, places, packed, n_words in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for doc_ids, counts, places, packed, n_words, known in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 begin, sizes, ids = _word_ids(n_words, packed)
-                held = ids.tolist()
+                held, table = ids.tolist(), _table(known)
                 cuts = list(zip(begin.tolist(), (begin + sizes).tolist(), strict=True))
                 shown = [" ".join(map(str, held[x:y])) for x, y in cuts]
                 back = [b"".join(map(table.__getitem__, held[x:y])) for x, y in cuts]
@@ -153,5 +178,5 @@ def digests(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id"
                     plain.append(sha(b"".join(map(back.__getitem__, order))))
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(said), pa.array(plain)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    encoded = encode(docs, ranks, pattern, id_col=id_col, text_col=text_col)
-    return encoded.select("docs", "counts", "places", "ids", "n_words").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    encoded = with_bytes(encode(docs, ranks, pattern, stable=stable, id_col=id_col, text_col=text_col), ranks)
+    return encoded.select("docs", "counts", "places", "ids", "n_words", "tokens").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

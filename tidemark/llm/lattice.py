@@ -187,7 +187,7 @@ def held_out_by_id(doc_id) -> bool:
 
 
 def _lower_words():
-    return lambda text: text.encode().lower().split()
+    return lambda text: text.encode().lower().split(), None
 
 
 def _adapt(stats: DataFrame, model: str, prior: float) -> tuple[np.ndarray, int, int]:
@@ -233,7 +233,7 @@ def score_texts(docs: DataFrame, model: str, *, prior: float = 10_000.0, held_ou
     Null text counts as empty: only the end. A null id is not held out and stays null; repeated rows each get their row; an
     empty table gives none; other columns are not read. Words of any length and in any script have a probability.
     """
-    found = settle(batched(docs, _lower_words, "binary", held_out, id_col=id_col, text_col=text_col))
+    found = settle(batched(docs, _lower_words, "binary", held_out, stable=True, id_col=id_col, text_col=text_col))
     each = words(found)
     stats = settle(each.groupBy("word").agg(F.sum("seen").alias("c")))
     logp, n_words, n_distinct = _adapt(stats, model, prior)

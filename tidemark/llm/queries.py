@@ -40,7 +40,7 @@ def op4_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stable=True)
 
 
 def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
