@@ -17,21 +17,21 @@ def _any(conditions: list[Column]) -> Column:
 
 def infer_sector(title: Column) -> Column:
     """The first sector with a term in the title, "" if none has: a term of several words anywhere in the normalized text, one of one word at the start of a word."""
-    return let(normalize(title), _sector)
+    return let(normalize(title), lambda n: let(F.concat(F.lit(" "), n, F.lit(" ")), sector_of))
 
 
-def _sector(n: Column) -> Column:
+def sector_of(padded: Column) -> Column:
+    """The same of a title that is normalized already and has a blank at either end. Where many titles are read, make that a
+    column by itself first, so that Spark compiles the rules."""
     out = F.when(F.lit(False), "")
     for sector, terms in v.SECTOR_TERMS.items():
-        every = terms.split(", ")
-        starts = "|".join(t for t in every if " " not in t)
-        out = out.when(n.rlike(f"(^| )({starts})") | _any([F.concat(F.lit(" "), n, F.lit(" ")).contains(t) for t in every if " " in t]), sector)
+        out = out.when(_any([padded.contains(t if " " in t else f" {t}") for t in terms]), sector)
     return out.otherwise("")
 
 
 def normalize_type(c: Column) -> Column:
     """The common name of a type. An unknown label stays as it is, unless it is over 40 characters or has three digits in a row: then it is no type, and ""."""
-    known = F.create_map(*(F.lit(x) for name, labels in v.TYPE_LABELS.items() for label in labels.split(", ") for x in (label, name)))
+    known = F.create_map(*(F.lit(x) for name, labels in v.TYPE_LABELS.items() for label in labels for x in (label, name)))
     return let(trimmed(text(c)), lambda raw: F.when(raw == "", "").otherwise(F.coalesce(F.try_element_at(known, normalize(raw)), F.when((F.length(raw) > 40) | raw.rlike(r"\d{3}"), "").otherwise(raw))))
 
 
@@ -50,7 +50,7 @@ def status_colour(status: Column) -> Column:
 
 def names_elsewhere(title: Column, followed: list[str]) -> Column:
     """The title names a known country, and none that is followed."""
-    known = listed(v.COUNTRIES)
+    known = listed(",".join(v.COUNTRIES))
     theirs = [c for c in known if any(f" {f} " in f" {c} " or f" {c} " in f" {f} " for f in followed)]
     return let(normalize(title), lambda n: _any([has_words(n, c) for c in known]) & ~_any([has_words(n, c) for c in theirs]))
 

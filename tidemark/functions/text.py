@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Latin letters with marks that notices use, and the letters they stand on.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _bases() -> dict[str, str]:
+    """Latin letters with marks, in lower case, and the letters that they stand on, as Unicode decomposes them."""
+    out = {}
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        base = unicodedata.normalize("NFD", c)[0].lower()
+        if base != c.lower() and base.isascii() and len(c.lower()) == 1:
+            out[c.lower()] = base
+    return out
+
+
+#: Made from Unicode's tables when the module is read.
+BASES = _bases()
 
 # The named entities that the feeds and pages use, beside the basic ones.
 ENTITIES = {
@@ -57,7 +69,7 @@ def truthy(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Lower case, letters without marks, one blank between runs of a-z and 0-9; "" for null."""
-    bare = F.regexp_replace(F.translate(F.lower(text(c)), MARKED, PLAIN), r"\p{InCombiningDiacriticalMarks}", "")
+    bare = F.regexp_replace(F.translate(F.lower(text(c)), "".join(BASES), "".join(BASES.values())), r"\p{InCombiningDiacriticalMarks}", "")
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
@@ -87,7 +99,6 @@ def has_words(c: Column, words: Column | str) -> Column:
 def listed(values: str | None) -> list[str]:
     """A setting such as "Benin, Togo; Niger" as comparable words, known when the plan is made."""
     import re
-    import unicodedata
 
     plain = lambda v: "".join(ch for ch in unicodedata.normalize("NFD", v) if not "̀" <= ch <= "ͯ").lower()
     return [n for v in re.split("[;,]", values or "") if (n := re.sub("[^a-z0-9]+", " ", plain(v)).strip())]

@@ -44,7 +44,7 @@ def match(incoming: DataFrame, tracked: DataFrame, *, row: str, tracked_row: str
 def known(incoming: DataFrame, tracked: DataFrame, keys: str, *, is_known: bool) -> DataFrame:
     """Incoming rows that share a key with the tracked table, or those that don't."""
     of = tracked.select(F.explode(keys).alias("key")).distinct()
-    marked = incoming.withColumn("_n", F.monotonically_increasing_id())
+    marked = settled(incoming.withColumn("_n", F.monotonically_increasing_id()))
     hits = marked.select("_n", F.explode(keys).alias("key")).join(of, "key", "left_semi").select("_n").distinct()
     return marked.join(hits, "_n", "left_semi" if is_known else "left_anti").drop("_n")
 

@@ -37,11 +37,12 @@ def all_readers(as_of: date) -> dict:
 
 
 def collect(landed: DataFrame, sources: DataFrame, as_of: date, settings: Settings) -> DataFrame:
-    """Notices of the landed pages, with ord, their place in the pass."""
-    bodies = pages_to_read(landed).withColumn("body", decoded(F.col("content"), F.col("content_type"))).select("source_id", "method", "page", "body")
-    used = {r["m"] for r in sources.select(F.lower(F.trim("method")).alias("m")).distinct().collect()}  # the registry names a few dozen
+    """Notices of the landed pages of active sources, with ord, their place in the pass. A page whose source is unknown or not active is not read."""
+    active = sources.filter(F.coalesce("active", F.lit(False)))
+    bodies = pages_to_read(landed.join(active.select("source_id").distinct(), "source_id", "left_semi")).withColumn("body", decoded(F.col("content"), F.col("content_type"))).select("source_id", "method", "page", "body")
+    used = {r["m"] for r in active.select(F.lower(F.trim("method")).alias("m")).distinct().collect()}  # the registry names a few dozen
     readers = {k: v for k, v in all_readers(as_of).items() if k.lower() in used}
-    entries = page_dedup(read_entries(bodies, readers or {"RSS": feeds.read_feed}))
+    entries = settled(page_dedup(settled(read_entries(bodies, readers or {"RSS": feeds.read_feed}))))  # both tables are joined with their own aggregates
     repaired = resolve.identical_titles(entries, "source_id")
     open_ones = repaired if settings.keep_expired else repaired.filter(F.col("deadline").isNull() | (F.col("deadline") >= F.lit(as_of)))
     calls = open_ones if settings.keep_plans else open_ones.filter(~is_plan_title(F.col("title")))

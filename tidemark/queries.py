@@ -139,20 +139,20 @@ def word_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sector_sql() -> str:
     whens = []
     for sector, terms in v.SECTOR_TERMS.items():
-        every = terms.split(", ")
-        one = "|".join(t for t in every if " " not in t)
-        more = "".join(f" OR contains(' ' || x || ' ', '{t}')" for t in every if " " in t)
+        one = "|".join(t for t in terms if " " not in t)
+        more = "".join(f" OR contains(' ' || x || ' ', '{t}')" for t in terms if " " in t)
         whens.append(f"WHEN regexp_matches(x, '(^| )({one})'){more} THEN '{sector}'")
     return f"WITH n AS (SELECT doc_id, {_norm('text')} AS x FROM documents) SELECT doc_id, CASE {' '.join(whens)} ELSE '' END AS sector FROM n"
 
 
 @query(_sector_sql())
 def sector_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", classify.infer_sector(F.col("text")).alias("sector"))
+    padded = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(" "), text.normalize(F.col("text")), F.lit(" ")).alias("padded"))
+    return padded.select("doc_id", classify.sector_of(F.col("padded")).alias("sector"))
 
 
 def _type_sql() -> str:
-    known = ", ".join(f"('{label}', '{name.replace(chr(39), chr(39) * 2)}')" for name, labels in v.TYPE_LABELS.items() for label in labels.split(", "))
+    known = ", ".join(f"('{label}', '{name.replace(chr(39), chr(39) * 2)}')" for name, labels in v.TYPE_LABELS.items() for label in labels)
     return f"""WITH known(label, name) AS (VALUES {known}), t AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN ' Demande de cotation ' WHEN 'N' THEN 'Grants!' ELSE p_type END AS x FROM lineitem JOIN part ON l_partkey = p_partkey)
     SELECT l_orderkey, l_linenumber, coalesce(name, CASE WHEN length(trim(x)) > 40 OR regexp_matches(x, '[0-9]{{3}}') THEN '' ELSE trim(x) END) AS type FROM t LEFT JOIN known ON label = {_norm('x')}"""
 

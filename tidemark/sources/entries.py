@@ -38,12 +38,11 @@ def first_by(entries: Column, field: str) -> Column:
 def read_entries(pages: DataFrame, readers: dict[str, Reader], *, method: str = "method", body: str = "body") -> DataFrame:
     """The entries of landed pages: the page's other columns, ord (its place on the page) and the entry's fields.
 
-    Each method's pages are filtered out of the scan before its reader sees them; a method without reader gives none, and so
-    does a body that its reader can't make sense of.
+    One scan reads all: each row's method chooses its reader. A method without reader gives none, and so does a body that
+    its reader can't make sense of.
     """
     carried = [c for c in pages.columns if c != body]
-    parts = [pages.filter(F.lower(F.trim(method)) == name.lower()).select(*carried, F.posexplode(read(F.col(body))).alias("ord", "e")).select(*carried, "ord", "e.*") for name, read in readers.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found = F.when(F.lit(False), F.lit(None))
+    for name, read in readers.items():
+        found = found.when(F.lower(F.trim(method)) == name.lower(), read(F.col(body)).cast(f"array<{ENTRY.simpleString()}>"))
+    return pages.select(*carried, F.posexplode(found).alias("ord", "e")).select(*carried, "ord", "e.*")

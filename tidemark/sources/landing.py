@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import text, trimmed
 from tidemark.operators.resolve import earlier_page
 
+#: The control characters that windows-1252 uses for letters and signs, and what it means by them.
+CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+MEANT = "".join(bytes([b]).decode("windows-1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
 LANDED = "source_id string, method string, url string, page int, status int, content_type string, content binary"
 
 
@@ -22,11 +26,12 @@ def charset(content_type: Column) -> Column:
 
 
 def decoded(content: Column, content_type: Column) -> Column:
-    """The body as text; bytes that are no UTF-8 become replacement characters, which text.repair() handles."""
+    """The body as text; bytes that are no UTF-8 become replacement characters, which text.repair() handles. What calls itself Latin-1 is read as windows-1252, as browsers do."""
     named = charset(content_type)
     out = F.when(named == "UTF-8", F.call_function("make_valid_utf8", content.cast("string")))
     for name in ("ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE"):
-        out = out.when(named == name, F.decode(content, name))
+        read = F.decode(content, name)
+        out = out.when(named == name, F.translate(read, CONTROLS, MEANT) if name == "ISO-8859-1" else read)
     return out
 
 
