@@ -148,12 +148,23 @@ def _postings(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "asks", "codes").mapInArrow(run, "key long, cls long, asks boolean, at int")
 
 
-def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
-    """Codes that overlap if a's place i + offset stands at b's place i, and the share of their bits that differ."""
+def matching_run(a: np.ndarray, b: np.ndarray, offset: int, most_errors: float) -> tuple[int, float]:
+    """How long a's codes, moved by `offset`, and b's agree, and the share of bits that differ there.
+
+    Each code of the overlap gains what its bit errors leave of `most_errors`; the run with the largest sum is the one that
+    agrees, so what stands before, behind or between two shared passages doesn't count against them.
+    """
     start, stop = max(0, -offset), min(len(b), len(a) - offset)
     if stop <= start:
         return 0, 1.0
-    return stop - start, float(np.bitwise_count(a[start + offset : stop + offset] ^ b[start:stop]).mean()) / 32
+    errors = np.bitwise_count(a[start + offset : stop + offset] ^ b[start:stop]).astype(np.float64)
+    gained = np.concatenate([[0.0], np.cumsum(32 * most_errors - errors)])
+    lowest = np.minimum.accumulate(gained)
+    end = int(np.argmax(gained - lowest))
+    begin = int(np.flatnonzero(gained[: end + 1] == lowest[end])[0])
+    if end <= begin:
+        return 0, 1.0
+    return end - begin, float(errors[begin:end].mean()) / 32
 
 
 def align(media: DataFrame, audio: Audio | None = None, *, every: int = 100, least: int = 2, overlap: int = 8, most_errors: float = 0.2, id_col: str = "doc_id", pcm_col: str = "pcm") -> DataFrame:
@@ -161,9 +172,10 @@ def align(media: DataFrame, audio: Audio | None = None, *, every: int = 100, lea
 
     Recordings with equal codes are one class; class_id is its smallest id, so copies never meet in pairs. Queries are the
     classes that hold an id divisible by `every`; they are searched against all classes. Each two codes, APART from each
-    other, that both have vote for the offset between their places; an offset with `least` votes or more, the most of its pair (the smallest
-    offset of equals), is checked code by code: `overlap` codes or more, and no more than `most_errors` of their bits differ.
-    n_links counts a row's class's other classes so aligned, query_id is the query class with the fewest bit errors, then the smallest id.
+    other, that both have vote for the offset between their places; every offset with `least` votes or more is checked code by
+    code: the run that agrees (see matching_run) has `overlap` codes or more, and no more than `most_errors` of its bits differ. Of
+    a pair's offsets the one with the longest run counts, then with the fewest bit errors, then the smallest.
+    n_links counts a row's class's other classes so aligned, query_id is the query class with the longest run, then the fewest bit errors, then the smallest id.
 
     Null or short samples have no codes: class_id is null, n_links 0. A null id is never a query and names a class only if
     all of its ids are null. Repeated rows each get their row; an empty table gives none; other columns are not read.
@@ -181,21 +193,22 @@ def align(media: DataFrame, audio: Audio | None = None, *, every: int = 100, lea
         .groupBy("q", "cls", (F.col("q_at") - F.col("at")).alias("offset"))
         .agg(F.count(F.lit(1)).alias("votes"))
         .filter(F.col("votes") >= least)
-        .groupBy("q", "cls")
-        .agg(F.max_by("offset", F.struct("votes", -F.col("offset"))).alias("offset"))
+        .select("q", "cls", "offset")
     )
     own = classes.select("cls", "codes")
     pairs = voted.join(own, "cls").join(own.select(F.col("cls").alias("q"), F.col("codes").alias("q_codes")), "q")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [bit_errors(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), o) for x, y, o in zip(*(b.column(i).to_pylist() for i in (3, 4, 2)), strict=True)]
+            found = [matching_run(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), o, most_errors) for x, y, o in zip(*(b.column(i).to_pylist() for i in (3, 4, 2)), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([n for n, _ in found], pa.int64()), pa.array([e for _, e in found], pa.float64())], names=["q", "cls", "offset", "overlap", "bit_errors"])
 
     checked = pairs.select("q", "cls", "offset", "q_codes", "codes").mapInArrow(verify, "q long, cls long, offset int, overlap long, bit_errors double")
-    links = checked.filter((F.col("overlap") >= overlap) & (F.col("bit_errors") <= most_errors))
+    good = checked.filter((F.col("overlap") >= overlap) & (F.col("bit_errors") <= most_errors))
+    longest = F.max(F.struct("overlap", (-F.col("bit_errors")).alias("e"), (-F.col("offset")).alias("o")))
+    links = good.groupBy("q", "cls").agg(longest.alias("l")).select("q", "cls", F.col("l.overlap").alias("overlap"), (-F.col("l.e")).alias("bit_errors"), (-F.col("l.o")).alias("offset"))
     ids = classes.select(F.col("cls").alias("q"), F.col("class_id").alias("query_id"))
-    best = links.join(ids, "q").groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"), F.min(F.struct("bit_errors", "query_id", "offset", "overlap")).alias("best"))
+    best = links.join(ids, "q").groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"), F.min(F.struct((-F.col("overlap")).alias("least"), "bit_errors", "query_id", "offset", "overlap")).alias("best"))
     of = classes.drop("codes", "asks").join(best, "cls", "left").drop("cls")
     return named.drop("codes").join(of, name, "left").select(
         F.col("id").alias("doc_id"), "n_samples", "n_codes", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best.query_id", F.col("best.offset").cast("long").alias("offset"), "best.overlap", "best.bit_errors"
