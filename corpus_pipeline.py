@@ -23,13 +23,16 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, as they are."""
-    rated = measure(docs, public_tokenizers.path("piece_bpe_32k.model"), pass_through=tuple(docs.columns))
+    """Documents that the quality rules keep, as they are. A null text has no words and goes; rows that repeat are judged each; an empty table gives none."""
+    rated = measure(docs, [public_tokenizers.path(name) for name in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")], pass_through=tuple(docs.columns))
     return rated.filter(col(rated.columns[-1])).select(*map(col, docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs of 50 words or more; n_chars follows the text. A document that had words and lost all of them goes."""
+    """Documents without later copies of line runs of 50 words or more; n_chars follows the text. A document that had words and lost all of them goes.
+
+    A null or blank text has no lines to lose and stays; of rows that repeat id and text all keep what the first keeps; an empty table gives none.
+    """
     out = dedup_lines(docs, min_words=50)
     n_lines, n_deleted = out.columns[-2:]
     left = out.filter((col(n_lines) == 0) | (col(n_deleted) < col(n_lines)))
@@ -38,12 +41,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id (of equal ids, the smallest text hash; then any)."""
+    """One document of each group of near copies: the one with the smallest doc_id (of equal ids, the smallest text hash; then any).
+
+    Null texts count as empty and are copies of each other; a null id comes after all others; an empty table gives none.
+    """
     return near_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the packed sequences."""
+    """Where each piece of each document stands in the packed sequences. A null text is its end alone; repeated rows are packed each; an empty table gives none."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048)
 
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import functools
-import math
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,43 +13,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tidemark.llm.bpe import load_ranks
 from tidemark.llm.common import Memo, chunks, col, fresh
 
 #: Counted as symbols.
 SYMBOLS = "#*$%&|<>"
 
 
+#: Tokens of a text are looked at in blocks of so many, so that what is said of them doesn't follow the text's length.
+BLOCK = 128
+
+
 @dataclass(frozen=True)
 class Band:
-    """What a language's or script's clean texts stay within. A text outside is rejected.
+    """What clean texts of a language or script stay within, by each vocabulary. A text outside is rejected.
 
-    letters_per_token: lowest and highest mean of letters per token (letters: of ASCII, and all beyond it); fallback: highest
-    share of tokens that are single bytes; entropy: lowest entropy of the text's tokens, as a share of the most that so many
-    tokens can have. Below usual letters per token a text is rejected as well, unless its entropy is over `varied`: codes,
-    numbers and links take many tokens, but different ones, while symbols and separators between words repeat.
+    chars_per_token: lowest and highest mean of characters of words per token; fallback: highest share of tokens that are
+    single bytes of a character beyond ASCII; entropy: lowest mean entropy of a block's tokens, as a share of the most that
+    so many tokens can have. Words with symbols or separators after each have few different tokens among many.
     """
 
-    letters_per_token: tuple[float, float]
-    usual: float = 0.0
-    fallback: float = 0.05
-    entropy: float = 0.30
-    varied: float = 0.79
+    chars_per_token: tuple[float, float]
+    fallback: float
+    entropy: float
 
 
-#: Bands by language where a row names one that is here, else by script. Languages of the Latin script break into pieces of
-#: two letters and more, longer if the vocabulary knows the language; a symbol or separator after each word takes a token
-#: or two of no letters. Scripts that the vocabulary holds letter by letter, or byte by byte, have wide bands, so that a
-#: language isn't rejected for being rare in the vocabulary.
+#: Bands by language where a row names one that is here, else by script. Bounds are round numbers, wide of what public
+#: vocabularies give clean prose, so that a language isn't rejected for being rare in a vocabulary: scripts that they hold letter by
+#: letter, or byte by byte, have low counts of characters and many bytes. No language needs a band of its own with these
+#: vocabularies; pass some for others.
 BANDS = {
-    "en": Band((1.38, 9.0), usual=1.77),
-    "de": Band((1.38, 9.0), usual=1.86),
-    "fr": Band((1.30, 9.0), usual=1.66),
-    "es": Band((1.30, 9.0), usual=1.66),
-    "latin": Band((1.30, 9.0)),
-    "cyrillic": Band((1.0, 9.0), fallback=0.10),
-    "greek": Band((0.8, 9.0), fallback=0.40),
-    "cjk": Band((0.3, 4.0), fallback=0.90),
-    "other": Band((0.25, 9.0), fallback=1.0, entropy=0.25),
+    "latin": Band((1.5, 9.0), 0.10, 0.75),
+    "cyrillic": Band((0.8, 9.0), 0.60, 0.65),
+    "greek": Band((0.5, 9.0), 0.90, 0.60),
+    "cjk": Band((0.3, 4.0), 1.0, 0.60),
+    "other": Band((0.25, 9.0), 1.0, 0.50),
 }
 
 #: First and last code points of the scripts with bands.
@@ -73,14 +70,6 @@ def script_of(text: str) -> str:
     return name if counts[name] > 0 else "latin"
 
 
-_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
-
-
-def letters(text: str) -> int:
-    """Letters of ASCII, and all characters beyond it."""
-    return len(text.encode().translate(None, _NO_LETTERS).decode())
-
-
 def words_of(text: str) -> list[str]:
     """Runs of characters other than the six ASCII blanks."""
     return [w.decode() for w in text.encode().split()] if not text.isascii() or _has_separators(text) else text.split()
@@ -122,53 +111,76 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-class Fertility:
-    """Tokens of words by a sentencepiece model, remembered per word, and what they say of a text."""
+class Vocabulary:
+    """Tokens of words by one public vocabulary, remembered per word: a sentencepiece model, or a rank file of byte-level BPE."""
+
+    def __init__(self, path: str):
+        if path.endswith(".model"):
+            import sentencepiece
 
-    def __init__(self, model: str):
-        import sentencepiece
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = lambda words: model.encode(words, num_threads=1)
+            self.fallback = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+        else:
+            import public_tokenizers
+            import tiktoken
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.fallback = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.pieces: dict[str, bytes] = {}
-        self.log2 = np.log2(np.maximum(np.arange(1 << 16), 1))
+            ranks = load_ranks(path)
+            model = tiktoken.Encoding("quality", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda words: model.encode_ordinary_batch([f" {w}" for w in words], num_threads=1)
+            self.fallback = np.zeros(max(ranks.values()) + 1, bool)
+            self.fallback[[rank for token, rank in ranks.items() if len(token) == 1 and token[0] > 127]] = True
+        self.tokens: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.pieces) > 400_000:
-            self.pieces.clear()
-        new = list(words - self.pieces.keys())
+        if len(self.tokens) > 400_000:
+            self.tokens.clear()
+        new = list(words - self.tokens.keys())
         if new:
-            self.pieces.update(zip(new, (np.array(x, np.uint16).tobytes() for x in self.model.encode(new, num_threads=1)), strict=True))
+            self.tokens.update(zip(new, (np.array(x, np.uint32).tobytes() for x in self.encode(new)), strict=True))
+
+    def __call__(self, words: list[str], chars: int) -> tuple[float, float, float]:
+        """Characters per token, share of byte tokens, mean entropy of blocks of tokens as a share of its highest value."""
+        ids = np.frombuffer(b"".join(map(self.tokens.__getitem__, words)), np.uint32)
+        if not len(ids):
+            return 0.0, 0.0, 0.0
+        return chars / len(ids), float(self.fallback[ids].mean()), block_entropy(ids)
 
-    def __call__(self, words: list[str], n_letters: int) -> tuple[int, float, float, float]:
-        """Tokens, letters per token, share of byte tokens, entropy of the tokens as a share of its highest value."""
-        ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, words)), np.uint16)
-        n = len(ids)
-        if not n:
-            return 0, 0.0, 0.0, 0.0
-        counts = np.unique(ids, return_counts=True)[1]
-        logs = self.log2[counts] if counts.max() < len(self.log2) else np.log2(counts)
-        most = math.log2(n) if n > 1 else 1.0
-        entropy = (math.log2(n) - float((counts * logs).sum()) / n) / most
-        return n, n_letters / n, float(self.fallback[ids].mean()), entropy
+
+def block_entropy(ids: np.ndarray, block: int = BLOCK) -> float:
+    """The mean, over blocks of `block` ids (the last takes what is left over; a shorter text is one), of the entropy of a
+    block's ids over the log of their number; 0 for a single id."""
+    n = len(ids)
+    if n < 2:
+        return 0.0
+    blocks = max(1, n // block)
+    of = np.minimum(np.arange(n) // block, blocks - 1)
+    keys = np.sort(of << 32 | ids)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.diff(np.append(starts, n))
+    size = np.bincount(of)
+    spread = np.bincount(keys[starts] >> 32, counts * np.log2(counts))
+    return float(np.mean((np.log2(size) - spread / size) / np.log2(np.maximum(size, 2))))
 
 
 @functools.cache
-def fertility(model: str) -> Fertility:
+def vocabulary(path: str) -> Vocabulary:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
-    return Fertility(model)
+    return Vocabulary(path)
 
 
-COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_pieces long, letters_per_token double, fallback_share double, token_entropy double, script string, kept boolean"
-_TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_per_token array<double>, fallback_share array<double>, token_entropy array<double>, script string, kept boolean"
+_TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "string": pa.string()}
 
 
-def measure(docs: DataFrame, model: str, *, bands: dict[str, Band] | None = None, min_words: int = 50, most_repeated: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pass_through: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: its id, word and symbol counts, the tokenizer's measures, base_failed and kept.
+def measure(docs: DataFrame, vocabularies: Sequence[str], *, bands: dict[str, Band] | None = None, min_words: int = 50, most_repeated: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pass_through: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: its id, word and symbol counts, what each vocabulary's tokens say, base_failed and kept.
 
-    base_failed: under `min_words` words, or over `most_repeated` per cent of the words in repeated 3-word windows. kept: not
-    base_failed, and within the band of the row's language (if docs has `lang_col` and there is a band for it), else of the text's script. Null text counts as empty and so fails; a null id stays null;
-    repeated rows each get their row; an empty table gives none. `pass_through` names columns to return as they are in front; where their names
+    vocabularies: paths, that executors can open, of sentencepiece models (.model) or byte-level rank files. base_failed:
+    under `min_words` words, or over `most_repeated` per cent of the words in repeated 3-word windows. kept: not
+    base_failed, and by every vocabulary within the band of the row's language (if docs has `lang_col` and there is a band
+    for it), else of the text's script. Null text counts as empty and so fails; a null id stays null; repeated rows each get
+    their row; an empty table gives none. `pass_through` names columns to return as they are in front; where their names
     clash with those of the measures, the measures get underscores.
     Texts are read whole, one row at a time, so memory follows the longest text, not the partition.
     """
@@ -181,23 +193,25 @@ def measure(docs: DataFrame, model: str, *, bands: dict[str, Band] | None = None
     out_schema = StructType([*carried, *(StructField(name, t.dataType) for name, t in zip(names, StructType.fromDDL(COLUMNS).fields, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fares = fertility(model)
+        public = [vocabulary(v) for v in vocabularies]
         for batch in batches:
             rows: list[tuple] = []
             texts = batch.column(len(carried) + 1).to_pylist()
             for part in chunks(iter(zip(batch.column(len(carried)).to_pylist(), texts, batch.column(len(carried) + 2).to_pylist(), strict=True)), lambda r: len(r[1] or ""), 1 << 20):
                 split = [(i, t or "", words_of(t or ""), of) for i, t, of in part]
-                fares.learn(set().union(*(w for _, _, w, _ in split)))
+                different = set().union(*(w for _, _, w, _ in split))
+                for v in public:
+                    v.learn(different)
                 for doc_id, text, words, of in split:
                     n, chars = len(words), sum(map(len, words))
                     number = Memo(lambda _: len(number), 1 << 62)  # noqa: B023
                     repeats = repeated_words(np.fromiter(map(number.__getitem__, words), np.int64, n))
                     failed = n < min_words or 100 * repeats > most_repeated * n
-                    pieces, per, share, entropy = fares(words, letters(text))
                     script = script_of(text)
                     band = bands.get(of) or bands[script]
-                    within = band.letters_per_token[0] <= per <= band.letters_per_token[1] and (per >= band.usual or entropy > band.varied) and share <= band.fallback and entropy >= band.entropy
-                    rows.append((doc_id, n, chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeats, failed, pieces, per, share, entropy, script, not failed and within))
+                    told = [v(words, chars) for v in public]
+                    within = all(band.chars_per_token[0] <= per <= band.chars_per_token[1] and share <= band.fallback and entropy >= band.entropy for per, share, entropy in told)
+                    rows.append((doc_id, n, chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeats, failed, *([t[i] for t in told] for i in range(3)), script, not failed and within))
             own = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *own], names=[*(f.name for f in carried), *names])
 
@@ -205,6 +219,6 @@ def measure(docs: DataFrame, model: str, *, bands: dict[str, Band] | None = None
     return docs.select(*(c.alias(f"c{i}") for i, c in enumerate(read))).mapInArrow(run, out_schema)
 
 
-def quality(docs: DataFrame, model: str, **options) -> DataFrame:
+def quality(docs: DataFrame, vocabularies: Sequence[str], **options) -> DataFrame:
     """See measure(): one row per document, by the columns of COLUMNS."""
-    return measure(docs, model, **options)
+    return measure(docs, vocabularies, **options)

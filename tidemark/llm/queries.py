@@ -56,7 +56,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return quality(read(spark, sf_dir, "documents"), [public_tokenizers.path(name) for name in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")])
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
