@@ -220,15 +220,15 @@ def _adapt(stats: DataFrame, model: str, prior: float) -> tuple[np.ndarray, int,
 
 
 def score_texts(docs: DataFrame, model: str, *, prior: float = 10_000.0, held_out=held_out_by_id, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score (log10 of probabilities).
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score (log10 of probabilities).
 
     Tokens are words, A-Z in lower case, then one end. All documents that are not held out are learnt from. base_score is
-    the add-one unigram probability of the tokens. In lattice_score each word is the sum over all its segmentations into the
+    the add-one unigram probability of the tokens. In score, the model's, each word is the sum over all its segmentations into the
     vocabulary's pieces, by the forward recursion in log space, and the end is drawn after each word with its share of the
     training tokens, so that the text's words and its length are both paid for. The vocabulary's own scores weight the
     pieces at first; one step of expectation over the counts of all training words adapts them (`prior` pseudo-pieces keep the
-    vocabulary's shares). No piece is added or taken away. score is the model's: the lattice of a training word has one more
-    arc, over all of it, that weighs its count against the number of distinct words, which goes to the pieces (Witten-Bell).
+    vocabulary's shares). No piece is added or taken away. In mixed_score the lattice of a training word has one more arc, over all of it, that weighs its
+    count against the number of distinct words, which goes to the pieces (Witten-Bell).
 
     Null text counts as empty: only the end. A null id is not held out and stays null; repeated rows each get their row; an
     empty table gives none; other columns are not read. Words of any length and in any script have a probability.
@@ -271,11 +271,11 @@ def score_texts(docs: DataFrame, model: str, *, prior: float = 10_000.0, held_ou
                     [
                         pa.array(doc_ids.as_py(), pa.int64()), pa.array(marks.as_py(), pa.bool_()), pa.array(n + 1), pa.array(known_n), pa.array(np.full(len(n), total, np.int64)),
                         pa.array([x + math.log10(n_ends + 1) - (k + 1) * base for (x, _, _), k in zip(exact, n.tolist(), strict=True)], pa.float64()),
-                        pa.array([y + k * log_on + log_end for (_, y, _), k in zip(exact, n.tolist(), strict=True)], pa.float64()),
                         pa.array([z + k * log_on + log_end for (_, _, z), k in zip(exact, n.tolist(), strict=True)], pa.float64()),
+                        pa.array([y + k * log_on + log_end for (_, y, _), k in zip(exact, n.tolist(), strict=True)], pa.float64()),
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score"],
                 )
 
     whole = regroup(found, known, "stat").select("docs", "counts", "marks", "places", "stat", "n_words")
-    return whole.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double")
+    return whole.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixed_score double")
