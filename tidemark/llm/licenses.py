@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from tidemark.llm.common import col
 
 #: Runs of letters, digits and all beyond ASCII.
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The letters that words are compared without regard to the case of.
+UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 #: Phrases that give a label wherever their words stand in a row.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -25,7 +28,8 @@ class Template:
     phrase: str
 
 
-# The opening words of public licence notices, lower case without punctuation, by SPDX label.
+# Public licence notices, lower case without punctuation, by SPDX label: what files say in front, then the whole
+# texts of the short licences.
 TEMPLATES = (
     Template("MIT", "released under the mit license", "mit license"),
     Template("MIT", "licensed under the mit license", "mit license"),
@@ -40,7 +44,41 @@ TEMPLATES = (
     Template("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2"),
     Template("CC-BY-4.0", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4"),
     Template("Unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-)
+    Template(
+        "MIT",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons "
+        "to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+        "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "the rights to use copy modify merge publish distribute sublicense",
+    ),
+    Template(
+        "ISC",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+        "permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties "
+        "of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss "
+        "of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "the author disclaims all warranties with regard to this software",
+    ),
+    Template(
+        "BSD",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code "
+        "must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this "
+        "list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistributions of source code must retain the above copyright notice",
+    ),
+    Template(
+        "Zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following "
+        "restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an "
+        "acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented "
+        "as being the original software 3 this notice may not be removed or altered from any source distribution",
+        "the origin of this software must not be misrepresented",
+    ),
+)
 
 
 def _strings(values) -> Column:
@@ -70,7 +108,7 @@ def document_frequencies(words: DataFrame, vocabulary: list[str]) -> tuple[int,
 def scan_licenses(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, rare: int = 6, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Words are compared in lower case. base_labels are those of the phrases whose words stand in a row somewhere; n_base counts
+    Words are compared with A-Z in lower case. base_labels are those of the phrases whose words stand in a row somewhere; n_base counts
     the places, first_word and last_word are the first and last of their starts (null if there is none). The method:
     document frequencies of the templates' words over all of docs give their IDF; the index keeps the `rare` words of highest
     IDF of each template, with their places in it. All indexed words that a file holds are looked up; each place
@@ -82,7 +120,7 @@ def scan_licenses(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATE
     their row; empty tables give none; other columns are not read. Only places of indexed words in rows that hold a template's phrase are exploded, so other rows cost nothing.
     """
     texts = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    split = texts.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)).alias("words"))
+    split = texts.select("doc_id", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORDS), F.lit(0)).alias("words"))
     vocabulary = sorted({w for t in templates for w in t.words.split()})
     n_docs, df = document_frequencies(split, vocabulary)
     idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
