@@ -27,7 +27,7 @@ OPERATORS = {
     "codec": lambda d: digests(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
     "lattice": lambda d: score_texts(d, P.path("piece_bpe_32k.model")),
     "groups": near_groups,
-    "quality": lambda d: quality(d, P.path("piece_bpe_32k.model")),
+    "quality": lambda d: quality(d, [P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken")]),
     "licenses": scan_licenses,
 }
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tm_key string, kept boolean, batch long, word string, h1 long, `a.b` string"
