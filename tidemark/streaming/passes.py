@@ -2,38 +2,64 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row, SparkSession
 
+from tidemark.operators.components import remove
 from tidemark.plans.passes import Settings, run_pass
 from tidemark.schemas import NOTICE
 from tidemark.sources.landing import LANDED
 
 
 class Snapshots:
-    """Versions of the tracked table under a folder of the shared store, one for each batch.
+    """Versions of the tracked table under a folder of the shared store, one for each batch of a stream.
 
-    A batch reads the newest version before its own and writes its own, so that a batch that is run again, because the
-    driver or an executor was lost, reads what it read before and overwrites what it wrote.
+    Versions are numbered by the store, not by the stream: a stream that has lost its checkpoint starts its batches at 0 again and
+    goes on from the newest version. A batch that is run again, because the driver or an executor was lost, has the day that
+    it had, reads the version that it read, and writes its own anew. Of older versions the last `keep` stay.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    LOG = "version long, stream string, batch long, day date, whole boolean"
 
-    def before(self, batch: int) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+
+    def log(self) -> list[Row]:
+        """What has begun and what is whole, a few bytes a batch."""
         try:
-            found = self.spark.read.parquet(f"{self.path}/done").filter(F.col("batch") < batch).agg(F.max("batch")).first()[0]
-        except AnalysisException:  # nothing is done yet
-            found = None
-        return self.spark.createDataFrame([], NOTICE) if found is None else self.spark.read.parquet(f"{self.path}/batch={found}")
+            return self.spark.read.schema(self.LOG).parquet(f"{self.path}/log").collect()
+        except AnalysisException:  # nothing has begun yet
+            return []
+
+    def _note(self, *values) -> None:
+        self.spark.createDataFrame([values], self.LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    def begin(self, stream: str, batch: int, day: date) -> tuple[int, date]:
+        """The version that a batch writes and its day: those that it had if it has begun before."""
+        log = self.log()
+        mine = [r for r in log if (r["stream"], r["batch"]) == (stream, batch)]
+        if mine:
+            return mine[0]["version"], mine[0]["day"]
+        version = max((r["version"] for r in log), default=-1) + 1
+        self._note(version, stream, batch, day, False)
+        return version, day
+
+    def before(self, version: int) -> DataFrame:
+        """The newest whole version before this one; an empty table if there is none."""
+        found = max((r["version"] for r in self.log() if r["whole"] and r["version"] < version), default=None)
+        return self.spark.createDataFrame([], NOTICE) if found is None else self.spark.read.schema(NOTICE).parquet(f"{self.path}/version={found}")
 
-    def write(self, notices: DataFrame, batch: int) -> None:
-        notices.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        self.spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").parquet(f"{self.path}/done")
+    def write(self, notices: DataFrame, version: int, stream: str, batch: int, day: date) -> None:
+        notices.write.mode("overwrite").parquet(f"{self.path}/version={version}")
+        whole = {r["version"] for r in self.log() if r["whole"]}
+        if version not in whole:
+            self._note(version, stream, batch, day, True)
+        for old in sorted(v for v in whole if v < version)[: -self.keep]:
+            remove(self.spark, f"{self.path}/version={old}")
 
     def latest(self) -> DataFrame:
         return self.before(1 << 62)
@@ -44,7 +70,9 @@ def start(spark: SparkSession, landing: str, snapshots: str, checkpoint: str, so
     store = Snapshots(spark, snapshots)
 
     def one(batch: DataFrame, number: int) -> None:
-        store.write(run_pass(store.before(number), batch, sources, as_of(), settings).drop("outcome"), number)
+        stream = json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+        version, day = store.begin(stream, number, as_of())
+        store.write(run_pass(store.before(version), batch, sources, day, settings).drop("outcome"), version, stream, number, day)
 
     stream = spark.readStream.schema(LANDED).parquet(landing)
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
