@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import classify, dates, money, text, urls
 from tidemark.functions import vocabulary as v
 from tidemark.functions.ids import assign_ids
-from tidemark.operators import notify, resolve, views
+from tidemark.operators import boards, notify, resolve, views
+from tidemark.sources import apis, feeds, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -447,3 +448,111 @@ def watch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     notice = {"country": F.col("n_name"), "sector": F.col("r_name"), "type": F.lit(""), "haystack": text.normalize(F.col("s_name")), "days": F.lit(9), "budget": F.col("s_acctbal")}
     score, _ = classify.watch_score(notice, {"countries": ["NATION_3", "NATION_7"], "sectors": ["Africa"], "wanted": ["5"], "banned": ["13"], "min_budget": 1000})
     return suppliers(spark, sf_dir).select("s_suppkey", score.alias("score"), classify.watch_label(score).alias("label"))
+
+
+@query("""
+SELECT s_suppkey, i AS ord, CASE i WHEN 0 THEN 'Avis n° ' || s_suppkey || ' & l''eau' ELSE s_name END AS title, 'https://s' || s_nationkey || '.org/' || s_suppkey || CASE i WHEN 0 THEN '?id=' || s_suppkey ELSE '' END AS link,
+CASE i WHEN 0 THEN DATE '2026-08-31' ELSE DATE '2026-09-01' END AS published, CASE i WHEN 0 THEN DATE '2026-10-01' + CAST(s_suppkey % 28 AS INTEGER) END AS deadline, CASE i WHEN 0 THEN s_name END AS organisation
+FROM supplier, (VALUES (0), (1)) t(i)""")
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's feed: an entry with entities, a tracked link, a zone and a deadline, one without title that is dropped, and a plain one."""
+    key, day = F.col("s_suppkey").cast("string"), F.date_format(F.expr("date_add(date'2026-10-01', cast(s_suppkey % 28 as int))"), "dd/MM/yyyy")
+    host = F.concat(F.lit("https://s"), F.col("s_nationkey").cast("string"), F.lit(".org/"), key)
+    body = F.concat(
+        F.lit("<rss><channel><title>x</title><item><title><![CDATA[Avis n&deg; "), key, F.lit(" &amp; l&#39;eau]]></title><link>"), host, F.lit("?utm_source=rss&amp;id="), key,
+        F.lit("</link><pubDate>Mon, 31 Aug 2026 23:30:00 +0100</pubDate><author>a@b.org ("), F.col("s_name"), F.lit(")</author><description>Date limite : "), day,
+        F.lit("</description></item><item><title> </title><link>https://none.org</link></item><item><title>"), F.col("s_name"), F.lit("</title><link>"), host,
+        F.lit("</link><pubDate>Mon, 31 Aug 2026 23:30:00 -0200</pubDate><description>"), day, F.lit("</description></item></channel></rss>"),
+    )
+    read = table(spark, sf_dir, "supplier").select("s_suppkey", body.alias("body")).select("s_suppkey", F.posexplode(feeds.read_feed(F.col("body"))).alias("ord", "e"))
+    return read.select("s_suppkey", "ord", *(f"e.{c}" for c in ("title", "link", "published", "deadline", "organisation")))
+
+
+@query("""
+SELECT c_custkey, c_name AS title, CASE c_nationkey % 3 WHEN 0 THEN DATE '2026-10-31' WHEN 1 THEN DATE '2026-12-01' END AS deadline, 'https://www.grants.gov/search-results-detail/' || c_custkey AS link,
+coalesce(nullif(CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE '' END, ''), 'Gouvernement des Etats-Unis') AS organisation FROM customer WHERE c_custkey % 4 <> 0""")
+def api_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer as an answer of an API with one grant; those without number are dropped."""
+    day = F.when(F.col("c_nationkey") % 3 == 0, "10/31/2026").when(F.col("c_nationkey") % 3 == 1, "2026-12-01").otherwise("soon")
+    hit = F.struct(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 4 != 0, "N").otherwise("").alias("number"), F.col("c_name").alias("title"), day.alias("closeDate"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("agencyCode"))
+    body = F.to_json(F.struct(F.struct(F.array(hit).alias("oppHits")).alias("data")))
+    read = table(spark, sf_dir, "customer").select("c_custkey", body.alias("body")).select("c_custkey", F.explode(apis.grants_gov(F.col("body"))).alias("e"))
+    return read.select("c_custkey", *(f"e.{c}" for c in ("title", "deadline", "link", "organisation")))
+
+
+@query("""
+SELECT p_partkey, p_name AS title, 'https://ausschreibungen.giz.de/x/projectForwarding.do?pid=' || p_partkey AS link, DATE '2026-08-01' + CAST(p_size % 28 AS INTEGER) AS published, DATE '2026-09-15' AS deadline,
+CASE WHEN p_size % 3 = 1 THEN 'AMI' ELSE 'Appel d''offres' END AS type, p_brand AS organisation FROM part WHERE p_size % 3 <> 2""")
+def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a page with a table of one row; awarded contracts are dropped."""
+    cells = [F.date_format(F.expr("date_add(date'2026-08-01', cast(p_size % 28 as int))"), "dd.MM.yyyy"), F.lit("15.09.2026"), F.col("p_name"), F.when(F.col("p_size") % 3 == 0, "Offenes Verfahren").when(F.col("p_size") % 3 == 1, "Verfahren mit Teilnahmewettbewerb").otherwise("Vergebener Auftrag"), F.col("p_brand")]
+    link = F.concat(F.lit('<a href="/x/projectForwarding.do?pid='), F.col("p_partkey").cast("string"), F.lit('">x</a>'))
+    body = F.concat(F.lit("<table><tr>"), *(F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in (*cells, link)), F.lit("</tr></table>"))
+    read = table(spark, sf_dir, "part").select("p_partkey", body.alias("body")).select("p_partkey", F.explode(pages.giz(F.col("body"))).alias("e"))
+    return read.select("p_partkey", *(f"e.{c}" for c in ("title", "link", "published", "deadline", "type", "organisation")))
+
+
+@query("""
+WITH b AS (SELECT o_custkey AS cust, o_orderkey AS o, CASE o_orderstatus WHEN 'O' THEN ' ' WHEN 'P' THEN NULL ELSE o_orderpriority END AS budget, o_orderstatus AS title FROM orders)
+SELECT cust, coalesce(arg_max(title, o), 'held') AS title, coalesce(arg_max(budget, o) FILTER (trim(coalesce(budget, '')) <> ''), 'none') AS budget FROM b GROUP BY cust""")
+def upsert_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with orders are tracked notices, orders the copies that come in, in order: each field is its last value that isn't blank."""
+    budget = F.when(F.col("o_orderstatus") == "O", " ").when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
+    copies = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("o"), budget.alias("budget"), F.col("o_orderstatus").alias("title"))
+    last = copies.groupBy("cust").agg(resolve.last_value("title", "o").alias("title"), resolve.last_value("budget", "o").alias("budget"))
+    return last.select("cust", F.coalesce("title", F.lit("held")).alias("title"), F.coalesce("budget", F.lit("none")).alias("budget"))
+
+
+_JUDGED = "CASE WHEN o_orderkey % 5 = 0 THEN FALSE WHEN o_orderkey % 5 < 3 THEN TRUE END"
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as entries that a model has judged, some of them not."""
+    key = F.col("o_orderkey")
+    judged = F.when(key % 5 == 0, False).when(key % 5 < 3, True)
+    kind = F.when(F.col("o_orderstatus") == "P", "Evenement").when(F.col("o_orderstatus") == "F", "Bourse")
+    return table(spark, sf_dir, "orders").select(key.alias("ord"), judged.alias("opportunity"), F.when(key % 3 == 0, False).alias("relevant"), kind.alias("type"), F.col("o_orderpriority").alias("sector"), F.lit(None).cast("string").alias("summary"))
+
+
+@query(f"SELECT o_orderkey AS ord FROM orders WHERE coalesce({_JUDGED}, TRUE) AND o_orderstatus <> 'P' AND o_orderkey % 3 <> 0")
+def preference_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boards.by_preferences(entries(spark, sf_dir), by_zone=True).select("ord")
+
+
+@query(f"""
+SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 4 = 0 THEN 'Sante' ELSE o_orderpriority END AS sector, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 8 = 0 THEN 'AMI' WHEN o_orderstatus = 'P' THEN 'Evenement' WHEN o_orderstatus = 'F' THEN 'Bourse' END AS type,
+CASE WHEN o_orderkey % 4 = 0 THEN 'said ' || o_orderkey END AS summary, CASE WHEN o_orderkey % 4 = 0 THEN TRUE ELSE {_JUDGED} END AS opportunity FROM orders""")
+def verdict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's verdicts on every fourth order, half of them with a type that isn't in the list."""
+    held = entries(spark, sf_dir)
+    said = held.filter("ord % 4 = 0").select("ord", F.lit(" SANTE").alias("sector"), F.when(F.col("ord") % 8 == 0, "ami").otherwise("nonsense").alias("type"), F.concat(F.lit(" said "), F.col("ord").cast("string")).alias("summary"), F.lit(None).cast("boolean").alias("relevant"), F.lit(True).alias("opportunity"))
+    return boards.with_verdicts(held, said, ["ord"], ["Sante", "Eau"], ["AMI", "Bourse"]).select("ord", "sector", "type", "summary", "opportunity")
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER ({_DAYS} BETWEEN 0 AND 7) AS within_week FROM orders")
+def dashboard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boards.tiles(notices(spark, sf_dir))
+
+
+@query("SELECT 'c_mktsegment' AS facet, c_mktsegment AS value, count(*) AS n FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*) FROM customer GROUP BY c_nationkey")
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boards.facets(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"])
+
+
+@query("SELECT o_orderkey AS ord FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 <> 0")
+def calendar_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of status F are followed; every third has an event already."""
+    held = notices(spark, sf_dir).withColumn("followed", F.when(F.col("mark") == "F", " OUI ").otherwise("non")).withColumn("event", F.when(F.col("ord") % 3 == 0, "e").otherwise(" "))
+    return boards.calendar_candidates(held, "event").select("ord")
+
+
+@query("SELECT count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 7 <> 0 AND o_orderkey % 2 <> 0) AS imported, count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 2 = 0) AS skipped, count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 2 <> 0 AND o_orderstatus <> 'O') AS excluded, count(*) FILTER (o_orderkey % 7 = 0) AS failed FROM orders")
+def import_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boards.import_counters(notices(spark, sf_dir), F.col("ord") % 2 == 0, F.col("mark") != "O", F.col("ord") % 7 == 0)
+
+
+@query("SELECT source, count(*) FILTER (trim(coalesce(lang, '')) <> '' AND n_chars > 500) AS filled, count(*) AS fields, round(count(*) FILTER (trim(coalesce(lang, '')) <> '' AND n_chars > 500) / count(*), 4) AS share FROM documents GROUP BY source")
+def section_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are sections; a document of over 500 characters is a field that is filled in."""
+    held = table(spark, sf_dir, "documents").withColumn("value", F.when(F.col("n_chars") > 500, F.col("lang")).otherwise(" "))
+    return boards.section_completeness(held, "source", "value")
