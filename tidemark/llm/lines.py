@@ -14,7 +14,7 @@ _POS = ("k", "seq")
 def _lines(docs: DataFrame, text: Column, key: Column) -> DataFrame:
     """k, seq (place among the document's lines with a word), i (place among all lines), n (words), a and b (128 bits that name the line)."""
     line = lambda x, i: F.struct(
-        i.alias("i"), F.size(F.split(F.trim(x), r"[\x09-\x0D ]+")).alias("n"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(3), x, F.length(x)).alias("b"), x.rlike(r"[^\x09-\x0D ]").alias("word")
+        i.alias("i"), F.regexp_count(x, F.lit(r"[^\x09-\x0D ]+")).alias("n"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(3), x, F.length(x)).alias("b"), x.rlike(r"[^\x09-\x0D ]").alias("word")
     )
     held = docs.select(key.alias("k"), F.filter(F.transform(F.split(text, "\n"), line), lambda s: s["word"]).alias("lines"))
     return held.select("k", F.posexplode("lines").alias("seq", "l")).select("k", "seq", "l.i", "l.n", "l.a", "l.b").distinct()

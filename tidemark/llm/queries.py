@@ -12,7 +12,7 @@ from tidemark.llm.bpe import token_counts
 from tidemark.llm.codec import digests
 from tidemark.llm.common import read
 from tidemark.llm.lattice import score_texts
-from tidemark.llm.licenses import scan_licenses
+from tidemark.llm.licenses import LOWER, PHRASES, TEMPLATES, UPPER, scan_licenses
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import quality
@@ -76,4 +76,42 @@ QUERIES: dict[str, Query] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Runs of 50 words or more by their shortest covers from each line, forwards and backwards; doc_id is unique in the table.
+_OP1_SQL = r"""
+WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+worded AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS seq, len(regexp_extract_all(line, '[^\x09-\x0D ]+')) AS n FROM split WHERE regexp_matches(line, '[^\x09-\x0D ]')),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY seq) AS upto FROM worded),
+held AS (SELECT doc_id, list(line ORDER BY seq) AS lines FROM worded GROUP BY doc_id),
+ahead AS (SELECT a.doc_id, a.seq AS s, min(b.seq) AS e FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.seq >= a.seq AND b.upto - a.upto + a.n >= 50 GROUP BY 1, 2),
+behind AS (SELECT b.doc_id, max(a.seq) AS s, b.seq AS e FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.seq >= a.seq AND b.upto - a.upto + a.n >= 50 GROUP BY b.doc_id, b.seq),
+runs AS (SELECT * FROM ahead UNION SELECT * FROM behind),
+named AS (SELECT doc_id, s, e, md5(array_to_string(list_slice(lines, s, e), chr(10))) AS name FROM runs JOIN held USING (doc_id)),
+first AS (SELECT *, first_value({'d': doc_id, 's': s}) OVER (PARTITION BY name, e - s ORDER BY doc_id, s) AS f FROM named),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS seq FROM first WHERE (doc_id, s) <> (f.d, f.s) AND NOT (doc_id = f.d AND s <= f.s + e - s)),
+lost AS (SELECT w.doc_id, w.i FROM worded w JOIN gone g ON w.doc_id = g.doc_id AND w.seq = g.seq),
+kept AS (SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.i) AS text FROM split s ANTI JOIN lost l ON s.doc_id = l.doc_id AND s.i = l.i GROUP BY s.doc_id)
+SELECT d.doc_id, CASE WHEN n_deleted IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_deleted, 0) AS INTEGER) AS n_deleted
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM worded GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_deleted FROM lost GROUP BY 1) USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+_TEMPLATE_ROWS = ", ".join(f"({n}, '{t.label}', '{t.words}', '{t.phrase}')" for n, t in enumerate(TEMPLATES))
+_PHRASE_ROWS = ", ".join(f"('{label}', '{phrase}')" for phrase, label in PHRASES)
+_OP10_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT n, label, string_split(w, ' ') AS ws, string_split(p, ' ') AS phrase FROM (VALUES {_TEMPLATE_ROWS}) v(n, label, w, p)),
+tw AS (SELECT n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS j FROM t),
+placed AS (SELECT rn, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM docs),
+df AS (SELECT w, count(DISTINCT rn) AS c FROM placed WHERE w IN (SELECT w FROM tw) GROUP BY w),
+idf AS (SELECT DISTINCT n, w, ln(((SELECT count(*) FROM docs) + 1.0) / (coalesce(c, 0) + 1.0)) AS idf FROM tw LEFT JOIN df USING (w)),
+idx AS (SELECT n, w, count(*) OVER (PARTITION BY n) AS size FROM (SELECT n, w FROM idf QUALIFY row_number() OVER (PARTITION BY n ORDER BY idf DESC, w) <= 6)),
+inside AS (SELECT n, min(j) AS j FROM tw JOIN t USING (n) WHERE list_slice(t.ws, j + 1, j + len(phrase)) = phrase GROUP BY n),
+proof AS (SELECT rn, n, pos - inside.j AS start FROM placed JOIN t ON w = phrase[1] JOIN inside USING (n) JOIN docs USING (rn) WHERE list_slice(docs.ws, pos + 1, pos + len(phrase)) = phrase),
+agreed AS (SELECT rn, n, start, any_value(size) AS size, count(DISTINCT idx.w) AS agree FROM proof JOIN idx USING (n) JOIN tw ON tw.n = proof.n AND tw.w = idx.w JOIN docs USING (rn) WHERE start + tw.j >= 0 AND docs.ws[start + tw.j + 1] = idx.w GROUP BY rn, n, start),
+found AS (SELECT rn, label, agree / size AS score FROM agreed JOIN t USING (n) WHERE agree >= least(2, size)),
+base AS (SELECT rn, label, pos FROM placed JOIN (SELECT label, string_split(p, ' ') AS phrase FROM (VALUES {_PHRASE_ROWS}) v(label, p)) ON w = phrase[1] JOIN docs USING (rn) WHERE list_slice(ws, pos + 1, pos + len(phrase)) = phrase)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.a AS first_word, b.z AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(m.labels, '') AS labels, coalesce(f.score, 0.0) AS score
+FROM docs LEFT JOIN (SELECT rn, count(*) AS n, CAST(min(pos) AS BIGINT) AS a, CAST(max(pos) AS BIGINT) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY rn) b USING (rn)
+LEFT JOIN (SELECT rn, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rn, label FROM base UNION SELECT rn, label FROM found) GROUP BY rn) m USING (rn) LEFT JOIN (SELECT rn, max(score) AS score FROM found GROUP BY rn) f USING (rn)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op10_license_scan": _OP10_SQL}
