@@ -69,7 +69,9 @@ def truthy(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Lower case, letters without marks, one blank between runs of a-z and 0-9; "" for null."""
-    bare = F.regexp_replace(F.translate(F.lower(text(c)), "".join(BASES), "".join(BASES.values())), r"\p{InCombiningDiacriticalMarks}", "")
+    low = F.lower(text(c))
+    unmarked = F.regexp_replace(F.translate(low, "".join(BASES), "".join(BASES.values())), r"\p{InCombiningDiacriticalMarks}", "")
+    bare = F.when(F.octet_length(low) == F.length(low), low).otherwise(unmarked)  # ASCII has no marks
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 

@@ -15,6 +15,7 @@ from tidemark.functions import classify, dates, money, text, urls
 from tidemark.functions import vocabulary as v
 from tidemark.functions.ids import assign_ids
 from tidemark.operators import boards, notify, resolve, views
+from tidemark.operators.components import settled
 from tidemark.sources import apis, feeds, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,7 +197,8 @@ def first_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Announced days are deadlines, in either order of their parts; bare days are none."""
     said = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Avis. Date limite : "), F.date_format("o_orderdate", "dd/MM/yyyy"))).when(F.col("o_orderstatus") == "O", F.concat(F.lit("Closing date "), F.date_format("o_orderdate", "yyyy-MM-dd"))).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), dates.extract_deadline(said).alias("deadline"))
+    plain = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), text.normalize(said).alias("plain"))
+    return plain.select("ord", dates.deadline_window(F.col("plain")).alias("seen")).select("ord", dates.deadline_in(F.col("seen")).alias("deadline"))
 
 
 _AMOUNT = "replace(format('{{:,}}', CAST(floor({0} + 0.5) AS BIGINT)), ',', ' ')"
@@ -223,7 +225,7 @@ def earlier_page_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     keys = F.array(F.md5(text.normalize(F.col("text"))), F.concat_ws("|", "source", "lang", "n_chars"))
-    return docs.select("doc_id", keys.alias("keys"))
+    return settled(docs.select("doc_id", keys.alias("keys")))  # both the tracked and the incoming rows are read from it
 
 
 _DOC_KEYS = f"SELECT doc_id, md5({_norm('text')}) AS a, concat_ws('|', source, lang, n_chars) AS b FROM documents"
