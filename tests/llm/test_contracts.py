@@ -12,6 +12,8 @@ import public_tokenizers as P
 import pytest
 import xxhash
 
+from test_methods import plain_repeats
+
 from tidemark.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -161,41 +163,10 @@ def test_op10_base_places(spark, docs):
         assert 0 <= r["score"] <= 1
 
 
-def repeats(texts, least=50):
-    """(key, line) of all lines of runs of `least` words or more that an earlier equal run has; texts: ordered (key, text)."""
-    held = [[(i, x) for i, x in enumerate(t.split("\n")) if words_of(x)] for _, t in texts]
-    first, gone = {}, set()
-    for d, lines in enumerate(held):
-        for s in range(len(lines)):
-            n, run = 0, []
-            for e in range(s, len(lines)):
-                n += len(words_of(lines[e][1]))
-                run.append(lines[e][1])
-                if n >= least:
-                    name = tuple(run)
-                    if name in first:
-                        gone.update((d, lines[x][0]) for x in range(s, e + 1))
-                    else:
-                        first[name] = (d, s)
-                    break
-        for e in range(len(lines)):  # and the shortest run that ends here
-            n, s = 0, e
-            while s >= 0 and n + len(words_of(lines[s][1])) < least:
-                n += len(words_of(lines[s][1]))
-                s -= 1
-            if s >= 0:
-                name = ("end", *(x for _, x in lines[s : e + 1]))
-                if name in first:
-                    gone.update((d, lines[x][0]) for x in range(s, e + 1))
-                else:
-                    first[name] = (d, s)
-    return gone
-
-
 def test_op1_deletes_later_copies_of_runs(spark, docs):
     order = sorted(docs.items())
     gone = defaultdict(set)
-    for d, i in repeats(order):
+    for d, i in plain_repeats([x for _, x in order]):  # all pairs of places, longest equal runs
         gone[order[d][0]].add(i)
     for r in rows(spark, Q.op1_line_dedup):
         x = docs[r["doc_id"]]
