@@ -127,7 +127,7 @@ class Vocabulary:
 
             ranks = load_ranks(path)
             model = tiktoken.Encoding("quality", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode = lambda words: model.encode_ordinary_batch([f" {w}" for w in words], num_threads=1)
+            self.encode = lambda words: [model.encode_ordinary(f" {w}") for w in words]
             self.fallback = np.zeros(max(ranks.values()) + 1, bool)
             self.fallback[[rank for token, rank in ranks.items() if len(token) == 1 and token[0] > 127]] = True
         self.tokens: dict[str, bytes] = {}
