@@ -181,8 +181,11 @@ def test_swaps_never_need_more_bins():
 
 
 def test_pipeline_stages_take_effect(spark, tmp_path):
-    a, b, c = (" ".join(words(120, s)) for s in (21, 22, 23))
-    shared = "\n".join(" ".join(words(30, s)) for s in (31, 32))
+    held = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang = 'en'").selectExpr("explode(split(text, '[^a-zA-Z]+')) AS w").filter("length(w) > 1").distinct()
+    pool = sorted(r["w"] for r in held.collect())
+    prose = lambda n, seed: " ".join(random.Random(seed).choices(pool, k=n))
+    a, b, c = (prose(120, s) for s in (21, 22, 23))
+    shared = "\n".join(prose(30, s) for s in (31, 32))
     rows = [(1, a), (2, a + " more"), (3, f"{b}\n{shared}"), (4, f"{c}\n{shared}"), (5, "short"), (6, None), (7, "spam spam spam " * 40)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
