@@ -17,6 +17,7 @@ from tidemark.llm.common import col, read, shared_folder
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import measure
+from tidemark.operators.components import remove
 from tidemark.llm.near import near_copies
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -65,9 +66,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written as Parquet into the shared checkpoint folder and read again by the next."""
+    """All stages over documents; each but the last is written as Parquet into the shared checkpoint folder and read again by the next.
+
+    The last stage checkpoints what it takes from its documents before it returns, so the folder goes then.
+    """
     docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, folder)
+    return out
