@@ -107,6 +107,12 @@ def test_pages_up_to_a_failure_and_page_dedup(spark):
     assert sorted((r["source_id"], r["page"], r["title"] or "") for r in got) == [("s", 1, "A"), ("s", 1, "A"), ("s", 2, "B"), ("s", 3, ""), ("t", 2, "A")]
 
 
+def test_pages_end_at_two_empty_ones_in_a_row(spark):
+    pages = spark.createDataFrame([("a", p) for p in range(1, 7)] + [("b", 1), ("b", 2)], "source_id string, page int")
+    entries = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 6, "z"), ("b", 2, "w")], "source_id string, page int, title string")
+    assert sorted(r["title"] for r in landing.until_empty(entries, pages).collect()) == ["w", "x", "y"]
+
+
 def test_registry_read_checks_counts(spark, tmp_path):
     (tmp_path / "r.csv").write_text("source_id,code,name,method,url,active\na1,A,N,RSS,https://x,oui\nb 1,B,N,RSS,u,oui\nc1,A,N,JSON:x,,non\nd1,D,N,FTP,u,1\ne1,E,N,MANUAL,,\n")
     held = registry.read_registry(spark, str(tmp_path / "r.csv"))

@@ -126,7 +126,7 @@ def calendar_days(setting: Column) -> Column:
 
 
 def under_cap(outbox: DataFrame, channel: str, needs: str, order: str, cap: int) -> DataFrame:
-    """outbox with `passes`: per channel and in order, a row goes if all its messages still fit under the cap (0: no cap).
+    """outbox with `passes`: per channel and in order (unique in a channel), a row goes if all its messages still fit under the cap (0: no cap).
 
     A row that doesn't fit is passed over, and a later one that needs less may still go, so a running sum is no substitute.
     What goes depends on at most `cap` rows of each need: only the first `cap` rows of one message and of two can fit, so

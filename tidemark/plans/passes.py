@@ -16,7 +16,7 @@ from tidemark.operators.components import settled
 from tidemark.schemas import NOTICE, conform
 from tidemark.sources import apis, feeds, pages
 from tidemark.sources.entries import read_entries
-from tidemark.sources.landing import decoded, page_dedup, pages_to_read
+from tidemark.sources.landing import decoded, page_dedup, pages_to_read, until_empty
 from tidemark.sources.registry import with_defaults
 
 
@@ -42,7 +42,8 @@ def collect(landed: DataFrame, sources: DataFrame, as_of: date, settings: Settin
     bodies = pages_to_read(landed.join(active.select("source_id").distinct(), "source_id", "left_semi")).withColumn("body", decoded(F.col("content"), F.col("content_type"))).select("source_id", "method", "page", "body")
     used = {r["m"] for r in active.select(F.lower(F.trim("method")).alias("m")).distinct().collect()}  # the registry names a few dozen
     readers = {k: v for k, v in all_readers(as_of).items() if k.lower() in used}
-    entries = settled(page_dedup(settled(read_entries(bodies, readers or {"RSS": feeds.read_feed}))))  # both tables are joined with their own aggregates
+    read = settled(read_entries(bodies, readers or {"RSS": feeds.read_feed}))  # this table and the next are joined with their own aggregates
+    entries = settled(page_dedup(until_empty(read, bodies)))
     repaired = resolve.identical_titles(entries, "source_id")
     open_ones = repaired if settings.keep_expired else repaired.filter(F.col("deadline").isNull() | (F.col("deadline") >= F.lit(as_of)))
     calls = open_ones if settings.keep_plans else open_ones.filter(~is_plan_title(F.col("title")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.text import text, trimmed
 from tidemark.operators.resolve import earlier_page
@@ -41,6 +42,15 @@ def pages_to_read(landed: DataFrame, most: int = 20) -> DataFrame:
     return landed.join(stops, "source_id", "left").filter((F.col("status") == 200) & (F.col("page") <= most) & (F.col("stop").isNull() | (F.col("page") < F.col("stop")))).drop("stop")
 
 
+def until_empty(entries: DataFrame, pages: DataFrame) -> DataFrame:
+    """Entries up to the second of two pages in a row on which a source has none; pages: source_id and page of all that were read."""
+    held = entries.groupBy("source_id", "page").agg(F.count(F.lit(1)).alias("n"))
+    in_order = Window.partitionBy("source_id").orderBy("page")  # a source has some twenty pages
+    told = pages.select("source_id", "page").distinct().join(held, ["source_id", "page"], "left").withColumn("empty", F.col("n").isNull())
+    twice = told.withColumn("again", F.col("empty") & F.lag("empty").over(in_order)).filter("again").groupBy("source_id").agg(F.min("page").alias("_stop"))
+    return entries.join(twice, "source_id", "left").filter(F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))).select(*entries.columns)
+
+
 def page_dedup(entries: DataFrame) -> DataFrame:
     """Entries that no earlier page of their source has, by link and title."""
     from tidemark.functions.text import normalize
