@@ -19,6 +19,7 @@ from tidemark.llm.near import near_copies
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import measure
 from tidemark.operators.components import remove
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
