@@ -6,6 +6,7 @@ import functools
 import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tidemark.llm.bpe import load_ranks
-from tidemark.llm.common import Memo, chunks, col, fresh
+from tidemark.llm.common import chunks, col, fresh
 
 #: Counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -112,7 +113,7 @@ def duplicate_lines(text: str) -> int:
 
 
 class Vocabulary:
-    """Tokens of words by one public vocabulary, remembered per word: a sentencepiece model, or a rank file of byte-level BPE."""
+    """Tokens of words by one public vocabulary: a sentencepiece model, or a rank file of byte-level BPE."""
 
     def __init__(self, path: str):
         if path.endswith(".model"):
@@ -130,21 +131,43 @@ class Vocabulary:
             self.encode = lambda words: [model.encode_ordinary(f" {w}") for w in words]
             self.fallback = np.zeros(max(ranks.values()) + 1, bool)
             self.fallback[[rank for token, rank in ranks.items() if len(token) == 1 and token[0] > 127]] = True
-        self.tokens: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.tokens) > 400_000:
-            self.tokens.clear()
-        new = list(words - self.tokens.keys())
-        if new:
-            self.tokens.update(zip(new, (np.array(x, np.uint32).tobytes() for x in self.encode(new)), strict=True))
 
-    def __call__(self, words: list[str], chars: int) -> tuple[float, float, float]:
-        """Characters per token, share of byte tokens, mean entropy of blocks of tokens as a share of its highest value."""
-        ids = np.frombuffer(b"".join(map(self.tokens.__getitem__, words)), np.uint32)
-        if not len(ids):
-            return 0.0, 0.0, 0.0
-        return chars / len(ids), float(self.fallback[ids].mean()), block_entropy(ids)
+class Lexicon:
+    """Numbers words as they come, and holds their tokens by each vocabulary side by side, until there are too many."""
+
+    def __init__(self, vocabularies: Sequence[str]):
+        self.public = [Vocabulary(path) for path in vocabularies]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.sizes, self.flat = ([np.zeros(0, kind) for _ in self.public] for kind in (np.int64, np.uint32))
+        self.begins = list(self.sizes)
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.number) > 400_000:
+            self.forget()
+        new = list(words - self.number.keys())
+        if not new:
+            return
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        for k, v in enumerate(self.public):
+            found = v.encode(new)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.sizes[k] = np.concatenate([self.sizes[k], sizes])
+            self.flat[k] = np.concatenate([self.flat[k], np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+            self.begins[k] = np.cumsum(self.sizes[k]) - self.sizes[k]
+
+    def fertility(self, words: np.ndarray, chars: int) -> list[tuple[float, float, float]]:
+        """By each vocabulary: characters per token, share of byte tokens, mean entropy of blocks of tokens as a share of its highest value."""
+        out = []
+        for v, sizes, flat, begins in zip(self.public, self.sizes, self.flat, self.begins, strict=True):
+            n = sizes[words]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(begins[words] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+            out.append((chars / len(ids), float(v.fallback[ids].mean()), block_entropy(ids)) if len(ids) else (0.0, 0.0, 0.0))
+        return out
 
 
 def block_entropy(ids: np.ndarray, block: int = BLOCK) -> float:
@@ -164,9 +187,9 @@ def block_entropy(ids: np.ndarray, block: int = BLOCK) -> float:
 
 
 @functools.cache
-def vocabulary(path: str) -> Vocabulary:
+def lexicon(vocabularies: tuple[str, ...]) -> Lexicon:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
-    return Vocabulary(path)
+    return Lexicon(vocabularies)
 
 
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_per_token array<double>, fallback_share array<double>, token_entropy array<double>, script string, kept boolean"
@@ -193,23 +216,21 @@ def measure(docs: DataFrame, vocabularies: Sequence[str], *, bands: dict[str, Ba
     out_schema = StructType([*carried, *(StructField(name, t.dataType) for name, t in zip(names, StructType.fromDDL(COLUMNS).fields, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        public = [vocabulary(v) for v in vocabularies]
+        known = lexicon(tuple(vocabularies))
         for batch in batches:
             rows: list[tuple] = []
             texts = batch.column(len(carried) + 1).to_pylist()
             for part in chunks(iter(zip(batch.column(len(carried)).to_pylist(), texts, batch.column(len(carried) + 2).to_pylist(), strict=True)), lambda r: len(r[1] or ""), 1 << 20):
                 split = [(i, t or "", words_of(t or ""), of) for i, t, of in part]
-                different = set().union(*(w for _, _, w, _ in split))
-                for v in public:
-                    v.learn(different)
+                known.learn(set().union(*(w for _, _, w, _ in split)))
                 for doc_id, text, words, of in split:
                     n, chars = len(words), sum(map(len, words))
-                    number = Memo(lambda _: len(number), 1 << 62)  # noqa: B023
-                    repeats = repeated_words(np.fromiter(map(number.__getitem__, words), np.int64, n))
+                    numbers = np.fromiter(map(known.number.__getitem__, words), np.int64, n)
+                    repeats = repeated_words(numbers)
                     failed = n < min_words or 100 * repeats > most_repeated * n
                     script = script_of(text)
                     band = bands.get(of) or bands[script]
-                    told = [v(words, chars) for v in public]
+                    told = known.fertility(numbers, chars)
                     within = all(band.chars_per_token[0] <= per <= band.chars_per_token[1] and share <= band.fallback and entropy >= band.entropy for per, share, entropy in told)
                     rows.append((doc_id, n, chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeats, failed, *([t[i] for t in told] for i in range(3)), script, not failed and within))
             own = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
