@@ -11,7 +11,8 @@ from tidemark.llm.queries import ORACLE_SQL, QUERIES
 def test_query_equals_its_sql(spark, name, sf):
     folder = f"/root/testdata/sf{sf}"
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     got, want = QUERIES[name](spark, folder), con.sql(ORACLE_SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)

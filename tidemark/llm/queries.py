@@ -11,13 +11,16 @@ from tidemark.llm.audio import align
 from tidemark.llm.bpe import token_counts
 from tidemark.llm.codec import digests
 from tidemark.llm.common import read
+from tidemark.llm.forest import neighbours
 from tidemark.llm.lattice import score_texts
 from tidemark.llm.licenses import LOWER, PHRASES, TEMPLATES, UPPER, scan_licenses
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import quality
+from tidemark.llm.runs import periodic_runs
 from tidemark.llm.sharding import reshard
 from tidemark.llm.simhash import near_groups
+from tidemark.llm.trie import prefix_trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +66,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"), branch=True)
+
+
+def op12_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(read(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(read(spark, sf_dir, "documents"), rewrite=True)
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chroma_alignment": op2_chroma_alignment,
@@ -74,6 +89,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_forest_search": op12_forest_search,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Runs of 50 words or more by their shortest covers from each line, forwards and backwards; doc_id is unique in the table.
@@ -114,4 +132,21 @@ FROM docs LEFT JOIN (SELECT rn, count(*) AS n, CAST(min(pos) AS BIGINT) AS a, CA
 LEFT JOIN (SELECT rn, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rn, label FROM base UNION SELECT rn, label FROM found) GROUP BY rn) m USING (rn) LEFT JOIN (SELECT rn, max(score) AS score FROM found GROUP BY rn) f USING (rn)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op10_license_scan": _OP10_SQL}
+#: Every prefix of every rebuilt conversation as a list of turns. DuckDB has no CRC-32, so it is made byte by byte from its table.
+_OP11_SQL = """
+WITH bytes AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+own AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+headed AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, bytes.t[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h FROM own, bytes),
+rebuilt AS (SELECT o.conv_id, list_concat(list_slice(coalesce(b.ts, []), 1, o.h), list_slice(o.ts, o.h + 1, len(o.ts))) AS ts FROM headed o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+reached AS (SELECT conv_id, len(ts) AS n, d, list_slice(ts, 1, d) AS p FROM (SELECT *, unnest(range(len(ts) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT p, d, min(conv_id) AS c, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends FROM reached GROUP BY p, d),
+named AS (SELECT *, row_number() OVER () AS id, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(p[d].t) END AS saved FROM nodes),
+linked AS (SELECT a.*, b.id AS up, b.c AS above FROM named a LEFT JOIN named b ON b.d = a.d - 1 AND b.p = list_slice(a.p, 1, a.d - 1)),
+kids AS (SELECT up AS id, count(*) AS k FROM linked WHERE up IS NOT NULL GROUP BY up),
+counted AS (SELECT l.*, coalesce(k, 0) AS k FROM linked l LEFT JOIN kids USING (id)),
+under AS (SELECT p, d, sum(saved) AS saved, sum(leaf) AS leaves FROM (SELECT saved, CAST(k = 0 AS INTEGER) AS leaf, x AS d, list_slice(p, 1, x) AS p FROM (SELECT *, unnest(range(d + 1)) AS x FROM counted)) GROUP BY p, d)
+SELECT c.c AS conv_id, c.d AS depth, c.above AS parent_conv_id, c.n_convs, c.k AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, c.ends AS ends_sha256
+FROM counted c JOIN under u ON u.d = c.d AND u.p = c.p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op10_license_scan": _OP10_SQL, "op11_prefix_trie": _OP11_SQL}
