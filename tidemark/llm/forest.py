@@ -264,10 +264,10 @@ def candidates(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[n
     """Places and scores of the rows of x that can be among q's k best; own: those that are q itself."""
     with np.errstate(all="ignore"):
         sizes = np.sqrt((x * x).sum(axis=1)) * np.sqrt(q @ q)
-        rough = np.where((sizes > 1e-100) & (sizes < 1e100), x @ q / sizes, 2.0)  # too large or small to square: left to cosines()
-    rough[own] = -9
-    free = len(x) - int(own.sum())
-    at = np.flatnonzero(~own if free <= k else ~own & (rough >= np.partition(rough, len(x) - k)[len(x) - k] - 1e-9))
+        odd = ~((sizes > 1e-100) & (sizes < 1e100))  # too large or small to square: left to cosines()
+        rough = np.where(own | odd, -9.0, x @ q / sizes)
+    plain = int((~own & ~odd).sum())
+    at = np.flatnonzero(~own & (odd | (rough >= (np.partition(rough, len(x) - k)[len(x) - k] - 1e-9 if plain > k else -9.0))))
     return at, cosines(x[at], q) if len(at) else np.empty(0)
 
 
