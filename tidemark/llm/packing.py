@@ -25,6 +25,10 @@ GROUP = 20_000
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'\p{M}]*)")
 
 
+#: Words that a worker holds with their ids, some 250 bytes each with their stems, before it forgets them all.
+HELD = 1_200_000
+
+
 class Ids:
     """Ids of whole texts by a tokenizers file whose tokens never hold white space and mark the ends of words; distinct words are encoded once while they are held."""
 
@@ -41,7 +45,7 @@ class Ids:
         self.stems: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
         """The ids of new words. Plain ones are encoded many in a text; ids that end a word tell them apart."""
@@ -49,7 +53,7 @@ class Ids:
         stems = list({m[1].lower() for m in plain.values()} - self.stems.keys())
         for at in range(0, len(stems), 2000):
             some = stems[at : at + 2000]
-            found = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.nonzero(self.ends[found])[0] + 1
             if len(stops) == len(some) and stops[-1] == len(found):
                 data, last = found.tobytes(), 0
@@ -60,13 +64,13 @@ class Ids:
         self.stems.update((t, self.whole(t)) for t in {m[2] for m in plain.values()} - self.stems.keys())
         self.held.update((w, self.stems[m[1].lower()] + self.stems[m[2]]) for w, m in plain.items())
         rest = [w for w in words if w not in plain]
-        self.held.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)), strict=True))
+        self.held.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit. Texts with special strings, or with separators that only Python takes for white space, go to the tokenizer whole."""
         odd = [any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         split = [None if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        if len(self.held) > 400_000:
+        if len(self.held) > HELD:
             self.held.clear()
             self.stems = {"": b""}
         new = list(set().union(*filter(None, split)) - self.held.keys())
