@@ -18,7 +18,7 @@ from tidemark.llm.lattice import MARK, starting, trie, word_logs
 from tidemark.llm.licenses import TEMPLATES, scan_licenses
 from tidemark.llm.lines import repeated_lines
 from tidemark.llm.near import near_copies, shingle_set
-from tidemark.llm.packing import best_fit, ids, pack_lengths
+from tidemark.llm.packing import Ids, best_fit, pack_lengths
 from tidemark.llm.quality import block_entropy
 from tidemark.llm.sharding import reshard, rewrite
 
@@ -34,7 +34,7 @@ def odd_text(r, most=14):
 
 
 def test_packing_ids_are_the_librarys_on_odd_texts():
-    encode, r = ids(P.path("word_bpe_49k.json")), random.Random(1)
+    encode, r = Ids(P.path("word_bpe_49k.json")), random.Random(1)
     texts = [odd_text(r) for _ in range(3000)] + ["á b", "naïve café", "naı̈ve"]
     assert [encode([t])[0] for t in texts] == [encode.whole(t) for t in texts]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.components import settled as settle
 from tidemark.operators.components import shared_folder
 
-__all__ = ["Memo", "chunks", "col", "fresh", "read", "row_key", "settle", "shared_folder"]
+__all__ = ["Memo", "chunks", "col", "fresh", "only", "read", "row_key", "settle", "shared_folder"]
 
 #: ASCII white space as the word rules of this package see it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,6 +62,18 @@ def chunks(rows: Iterator, weight: Callable[[object], int], most: int) -> Iterat
         yield held
 
 
+_held: dict = {}
+
+
+def only(make: Callable, *args):
+    """make(*args), kept in the worker for later tasks until another is asked for. Dictionaries of several stages would add up in a worker that Spark uses again."""
+    key = (make, args)
+    if key not in _held:
+        _held.clear()
+        _held[key] = make(*args)
+    return _held[key]
+
+
 class Memo(dict):
     """word -> make(word), forgotten as a whole at `most` entries so that memory stays bounded."""
 

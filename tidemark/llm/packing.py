@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -14,7 +13,7 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, col, settle
+from tidemark.llm.common import chunks, col, only, settle
 
 #: Pieces that one task packs by itself. Groups are dealt at random, so each is a fair sample and leaves a bin or two underfull.
 GROUP = 20_000
@@ -26,7 +25,7 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'\p{M}]*)")
 
 
 #: Words that a worker holds with their ids, some 250 bytes each with their stems, before it forgets them all.
-HELD = 1_200_000
+HELD = 800_000
 
 
 class Ids:
@@ -79,16 +78,11 @@ class Ids:
         return [self.whole(t) if words is None else b"".join(map(self.held.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
-@functools.cache
-def ids(path: str) -> Ids:
-    return Ids(path)
-
-
 def pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids, then the id `end`, cut every `size` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, closing = ids(tokenizer), np.array([end], "<u4").tobytes()
+        encode, closing = only(Ids, tokenizer), np.array([end], "<u4").tobytes()
         for b in batches:
             rows = iter(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             for some in chunks(rows, lambda r: len(r[1] or ""), 1 << 20):
