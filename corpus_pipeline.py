@@ -17,7 +17,7 @@ from tidemark.llm.common import col, read, shared_folder
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.near import near_copies
 from tidemark.llm.packing import pack
-from tidemark.llm.quality import measure
+from tidemark.llm.quality import quality
 from tidemark.operators.components import remove
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,7 +25,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, as they are. A null text has no words and goes; rows that repeat are judged each; an empty table gives none."""
-    rated = measure(docs, [public_tokenizers.path(name) for name in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")], pass_through=tuple(docs.columns))
+    rated = quality(docs, [public_tokenizers.path(name) for name in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")], pass_through=tuple(docs.columns))
     return rated.filter(col(rated.columns[-1])).select(*map(col, docs.columns))
 
 
