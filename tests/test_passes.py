@@ -166,6 +166,40 @@ def test_upsert_is_the_ordered_fold(spark):
     assert {name(x): (x["title"], x["budget"], x["outcome"]) for x in got} == want
 
 
+def upserted(spark, tracked, incoming, fields):
+    schema = "ord string, keys array<string>, title string, budget string"
+    frame = lambda rows: spark.createDataFrame([(x["ord"], x["keys"], x["title"], x["budget"]) for x in rows], schema)
+    return {(x["tracked"], x["ord"]): (x["title"], x["budget"], x["outcome"]) for x in resolve.upsert(frame(tracked), frame(incoming), fields=fields).collect()}
+
+
+@pytest.mark.parametrize("rounds", [1, 3, 12])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_owners_found_in_rounds_are_those_of_the_fold(spark, monkeypatch, seed, rounds):
+    """Dense and sparse graphs, chains in which each row waits for the one before, and too few rounds for them."""
+    monkeypatch.setattr(resolve.owners, "__defaults__", (rounds,))
+    r, fields = random.Random(seed), ["title", "budget"]
+    say = lambda: {"title": r.choice([None, " ", "a", "b"]), "budget": r.choice([None, "1", "2"])}
+    make = lambda i, t, keys: {"ord": f"{i:05d}", "tracked": t, "keys": keys} | say()
+    incoming = [make(i, False, r.sample([f"d{k}" for k in range(30)], r.choice((1, 2, 3)))) for i in range(60)]
+    incoming += [make(100 + i, False, [f"c{i}", f"c{i + 1}"]) for i in range(40)]
+    incoming += [make(200 + i, False, [f"s{r.randrange(200)}", f"s{r.randrange(200)}", f"d{r.randrange(30)}"][: r.choice((0, 1, 2, 3))]) for i in range(60)]
+    tracked = [make(i, True, [f"d{r.randrange(30)}", f"c{r.randrange(41)}"]) for i in range(8)]
+    want = {(x["tracked"], x["ord"]): (x["title"], x["budget"], x["outcome"]) for x in folded([*tracked, *incoming], fields)}
+    assert upserted(spark, tracked, incoming, fields) == want
+
+
+def test_a_notice_with_many_copies_is_in_no_single_task(spark):
+    """200,000 copies of one tracked notice: what goes through the shuffles to its owner is a row for each task that has some."""
+    n = 200_000
+    tracked = spark.createDataFrame([("t", ["k", "q"], "held", "0")], "ord string, keys array<string>, title string, budget string")
+    key = F.array(F.lit("k"), F.concat(F.lit("own"), F.col("id").cast("string")))
+    incoming = spark.range(n, numPartitions=16).select(F.format_string("%09d", "id").alias("ord"), key.alias("keys"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("title"), F.lit(" ").alias("budget"))
+    out = resolve.upsert(tracked, incoming, fields=["title", "budget"])
+    assert [tuple(x) for x in out.select("title", "budget", "outcome").collect()] == [(f"v{n - 1}", "0", "updated")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "Window" not in plan
+
+
 def test_a_chain_of_keys_is_not_merged(spark):
     schema = "ord string, keys array<string>, title string, budget string"
     empty = spark.createDataFrame([], schema)

@@ -94,57 +94,93 @@ def fill_blanks(base: DataFrame, detail: DataFrame, on: str, fields: Sequence[st
     return base.join(of, on, "left").withColumns(filled).select(*base.columns)
 
 
-def fold_component(rows: pd.DataFrame, fields: Sequence[str]) -> pd.DataFrame:
-    """The ordered upsert inside one component. rows: ord, tracked, keys and fields; tracked rows come first.
+#: Rounds in which rows find their owners together; what is undecided then, long chains of keys, is decided along each chain.
+ROUNDS = 12
 
-    A row's first key that is owned decides. On a tracked row, fields that are there replace what differs; on a row new in
-    this run, they fill what is blank; neither brings keys. A row that no key knows is new and owns its keys that are free.
+
+def _decide_chains(pairs: DataFrame) -> DataFrame:
+    """row of the owners among rows that are all undecided: along each chain of shared keys, a row owns if no owner before it shares a key.
+
+    pairs: row, key. Only keys and places of rows go to a chain's task, no fields.
+    """
+    first = pairs.groupBy("key").agg(F.min("row").alias("first"))
+    of = components(pairs.join(first, "key").filter(F.col("row") != F.col("first")).select(F.col("first").alias("a"), F.col("row").alias("b")).distinct())
+    held = pairs.join(of.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    listed = held.groupBy("comp", "row").agg(F.collect_list("key").alias("keys")).select("comp.place", "row.new", F.col("row.place").alias("at"), F.col("row.n").alias("n"), "keys")
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, taken, owns = rows.sort_values(["new", "at", "n"], kind="stable"), set(), []
+        for keys in rows["keys"]:
+            owns.append(taken.isdisjoint(keys))
+            if owns[-1]:
+                taken.update(keys)
+        return rows[owns][["new", "at", "n"]]
+
+    kind = pairs.schema["row"].dataType["place"].dataType.simpleString()
+    found = listed.groupBy("place").applyInPandas(walk, f"new boolean, at {kind}, n long")
+    return found.select(F.struct("new", F.col("at").alias("place"), "n").alias("row"))
+
+
+def owners(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """row, owner: for each row that shares a key with others, the row that it goes to; itself if it is tracked or new.
+
+    pairs: row (struct<new, place, n>, which sorts as rows come, tracked ones first), priority, key. A row that is not tracked follows if an
+    owner before it has one of its keys: of its keys in order, the first that such an owner has decides. All other rows own.
+
+    In each round a row is settled if an owner before it shares a key (it follows), or if it comes first among the undecided at each of
+    its keys (it owns). A key's first rows are minima, so they combine before the shuffle however many copies a notice has; all copies of an
+    owner are settled in the round after it. A chain in which each row waits for the one before settles two rows a round, so after
+    `rounds` what is left is decided along the chains.
     """
-    def empty(x) -> bool:
-        return x is None or x is pd.NaT or (isinstance(x, float) and x != x) or (isinstance(x, str) and not x.strip())
-
-    owner: dict[str, int] = {}
-    out: list[dict] = []
-    for r in rows.sort_values(["tracked", "ord"], ascending=[False, True], kind="stable").to_dict("records"):
-        hit = None if r["tracked"] else next((owner[k] for k in r["keys"] if k in owner), None)
-        if hit is None:
-            for k in r["keys"]:
-                owner.setdefault(k, len(out))
-            out.append(dict(r, outcome="tracked" if r["tracked"] else "new"))
-            continue
-        held = out[hit]
-        for f in fields:
-            if not empty(r[f]) and (held["tracked"] and held[f] != r[f] or not held["tracked"] and empty(held[f])):
-                held[f] = r[f]
-                if held["tracked"]:
-                    held["outcome"] = "updated"
-    return pd.DataFrame(out, columns=[*rows.columns, "outcome"])
+    tracked = ~F.col("row.new")
+    owned = settled(pairs.filter(tracked).groupBy("key").agg(F.min("row").alias("owner")))
+    waiting = settled(pairs.filter(F.col("row.new")).select("row", "key"))
+    for _ in range(rounds):
+        first = waiting.groupBy("key").agg(F.min("row").alias("first"))
+        met = waiting.join(first, "key").join(owned, "key", "left")
+        told = met.groupBy("row").agg(F.max(F.coalesce(F.col("owner") < F.col("row"), F.lit(False))).alias("follows"), F.min(F.col("first") == F.col("row")).alias("leads"))
+        state = settled(waiting.join(told, "row").withColumn("owns", F.col("leads") & ~F.col("follows")))
+        new = state.filter("owns").groupBy("key").agg(F.min("row").alias("owner"))
+        owned = settled(owned.unionByName(new).groupBy("key").agg(F.min("owner").alias("owner")))
+        waiting = settled(state.filter(~F.col("owns") & ~F.col("follows")).select("row", "key"))
+        if waiting.isEmpty():
+            break
+    else:
+        late = waiting.join(owned, "key", "left").groupBy("row").agg(F.max(F.coalesce(F.col("owner") < F.col("row"), F.lit(False))).alias("follows")).filter("not follows").select("row")
+        left = settled(waiting.join(late, "row"))
+        own = left.join(_decide_chains(left), "row").groupBy("key").agg(F.min("row").alias("owner"))
+        owned = settled(owned.unionByName(own).groupBy("key").agg(F.min("owner").alias("owner")))
+    met = pairs.join(owned, "key").filter(F.col("owner") < F.col("row"))
+    hits = met.filter(F.col("row.new")).groupBy("row").agg(F.min_by("owner", "priority").alias("owner"))
+    return pairs.select("row").distinct().join(hits, "row", "left").withColumn("owner", F.coalesce("owner", "row"))
 
 
 def upsert(tracked: DataFrame, incoming: DataFrame, *, fields: Sequence[str] = UPDATABLE, order: str = "ord", keys: str = "keys") -> DataFrame:
-    """The tracked table after the incoming rows, each met in order: columns order, tracked, the fields, and outcome (tracked, updated or new).
+    """The tracked table after the incoming rows, each met in order: columns order, tracked, keys, the fields, and outcome (tracked, updated or new).
 
-    Rows that share keys, directly or through others, are a component; what happens in one depends on no other row. Components
-    only isolate: inside one, rows are folded in order, which is not the same as merging it. Rows of which no key is shared, nearly
-    all, are told apart by a count and never leave SQL. A component is bounded by the copies of one notice and its neighbours.
+    Of a row's keys, the first that a row before it owns decides where it goes. On a tracked row, fields that are there replace what
+    differs: the last that is there stays. On a row new in this run they fill what is blank: the first that is there. Neither brings keys. A row
+    that no key knows is new and owns its keys that are free. That is the fold of the rows in order; which rows own is found by owners(), in rounds over
+    keys alone, and the fields by aggregates that combine before the shuffle, so neither a notice with many copies nor a large component is in one task.
     """
     names = [order, "tracked", keys, *fields]
-    both = settled(tracked.withColumn("tracked", F.lit(True)).select(*names).unionByName(incoming.withColumn("tracked", F.lit(False)).select(*names)).withColumn("_row", F.struct("tracked", order)))
-    exploded = both.select("_row", F.explode(keys).alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    edges = exploded.join(shared, "key").filter(F.col("_row") != F.col("_first")).select(F.col("_first").alias("a"), F.col("_row").alias("b")).distinct()
-    of = components(edges)
-    grouped = both.join(of.withColumnRenamed("node", "_row"), "_row", "left")
-    alone = grouped.filter(F.col("comp").isNull()).select(*names, F.when(F.col("tracked"), "tracked").otherwise("new").alias("outcome"))
-    schema = StructType([*both.select(*names).schema.fields, *alone.select("outcome").schema.fields])
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        given = rows.rename(columns={order: "ord", keys: "keys"})
-        out = fold_component(given[["ord", "tracked", "keys", *fields]], fields)
-        return out.rename(columns={"ord": order, "keys": keys})[[f.name for f in schema]]
-
-    folded = grouped.filter(F.col("comp").isNotNull()).groupBy("comp").applyInPandas(lambda rows: fold(rows), schema)
-    return alone.unionByName(folded)
+    both = tracked.withColumn("tracked", F.lit(True)).select(*names).unionByName(incoming.withColumn("tracked", F.lit(False)).select(*names))
+    rows = settled(both.withColumn("_n", F.monotonically_increasing_id()).withColumn("_row", F.struct((~F.col("tracked")).alias("new"), F.col(order).alias("place"), F.col("_n").alias("n"))).drop("_n"))
+    exploded = rows.select(F.col("_row").alias("row"), F.posexplode(keys).alias("priority", "key"))
+    shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    of = settled(owners(settled(exploded.join(shared, "key"))))
+    follows = of.filter(F.col("row") != F.col("owner"))
+    there = lambda f: F.when(~blank(F.col(f).cast("string")), F.col(f))
+    copies = rows.join(follows.withColumnRenamed("row", "_row"), "_row")
+    told = [x for f in fields for x in (first_value(f, "_row").alias(f"_first_{f}"), last_value(f, "_row").alias(f"_last_{f}"), F.min(there(f)).alias(f"_min_{f}"), F.max(there(f)).alias(f"_max_{f}"))]
+    merged = copies.groupBy(F.col("owner").alias("_row")).agg(*told)
+    own = rows.join(follows.select(F.col("row").alias("_row")), "_row", "left_anti").join(merged, "_row", "left")
+    differs = F.lit(False)
+    for f in fields:
+        differs = differs | (F.col(f"_min_{f}").isNotNull() & (~F.col(f"_min_{f}").eqNullSafe(F.col(f)) | ~F.col(f"_max_{f}").eqNullSafe(F.col(f))))
+    value = lambda f: F.when(F.col("tracked"), F.coalesce(f"_last_{f}", f)).otherwise(F.coalesce(there(f), F.col(f"_first_{f}"), F.col(f)))
+    outcome = F.when(~F.col("tracked"), "new").when(differs, "updated").otherwise("tracked")
+    return own.select(order, "tracked", keys, *(value(f).alias(f) for f in fields), outcome.alias("outcome"))
 
 
 def identical_titles(entries: DataFrame, feed: str, *, title: str = "title", summary: str = "summary", kind: str = "type") -> DataFrame:
