@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.text import text, trimmed
+from tidemark.functions.text import blank, text, trimmed
 from tidemark.operators.resolve import earlier_page
 
 #: The control characters that windows-1252 uses for letters and signs, and what it means by them.
@@ -37,9 +39,9 @@ def decoded(content: Column, content_type: Column) -> Column:
 
 
 def pages_to_read(landed: DataFrame, most: int = 20) -> DataFrame:
-    """Pages that answered, up to the page before a source's first failure after page 1, and no more than `most`."""
+    """List pages that answered (from page 1; page 0 is a detail page), up to the page before a source's first failure after page 1, and no more than `most`."""
     stops = landed.filter((F.col("status") != 200) & (F.col("page") > 1)).groupBy("source_id").agg(F.min("page").alias("stop"))
-    return landed.join(stops, "source_id", "left").filter((F.col("status") == 200) & (F.col("page") <= most) & (F.col("stop").isNull() | (F.col("page") < F.col("stop")))).drop("stop")
+    return landed.join(stops, "source_id", "left").filter((F.col("status") == 200) & F.col("page").between(1, most) & (F.col("stop").isNull() | (F.col("page") < F.col("stop")))).drop("stop")
 
 
 def until_empty(entries: DataFrame, pages: DataFrame) -> DataFrame:
@@ -59,10 +61,48 @@ def page_dedup(entries: DataFrame) -> DataFrame:
     return earlier_page(keyed, ["source_id", "_key"], "page").drop("_key")
 
 
-def details_to_fetch(entries: DataFrame, known: DataFrame, most: int = 12) -> DataFrame:
-    """The first `most` entries that are new and lack a deadline: what the fetcher looks up next. The cap is the fetcher's budget for a pass."""
-    new = entries.join(known.select("link").distinct(), "link", "left_anti")
-    return new.filter(F.col("deadline").isNull() & (trimmed(text(F.col("detail_url"))) != "")).orderBy("source_id", "page", "ord").limit(most)
+def address(entries: DataFrame) -> Column:
+    """Where an entry's detail page is: not always where the notice is."""
+    return F.coalesce(F.when(~blank(F.col("detail_url")), trimmed(F.col("detail_url"))), F.when(~blank(F.col("link")), trimmed(F.col("link"))))
+
+
+def lacking() -> Column:
+    """An entry of a source with detail pages lacks what only those tell: a deadline or the notice's own link."""
+    return F.col("deadline").isNull() | blank(F.col("link"))
+
+
+def details(landed: DataFrame, methods: DataFrame, readers: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """source_id, address and what the detail pages say (link, source, deadline, published, summary; null where they don't). landed: page 0 is a detail page.
+
+    methods: source_id, method. Of several pages of one address the last, by their bytes, stays.
+    """
+    named = landed.filter((F.col("page") == 0) & (F.col("status") == 200)).drop("method").join(methods, "source_id")
+    body, fields = decoded(F.col("content"), F.col("content_type")), {"link": "string", "source": "string", "deadline": "date", "published": "date", "summary": "string"}
+    said = F.lit(None).cast(f"struct<{','.join(f'{k}:{t}' for k, t in fields.items())}>")
+    for method, read in readers.items():
+        told = read(body)
+        there = named.select(told.alias("d")).schema["d"].dataType.names
+        said = F.when(F.lower(trimmed(F.col("method"))) == method.lower(), F.struct(*((told[k] if k in there else F.lit(None)).cast(t).alias(k) for k, t in fields.items()))).otherwise(said)
+    read_ones = named.select("source_id", trimmed(F.col("url")).alias("address"), F.xxhash64("content").alias("h"), said.alias("d"))
+    return read_ones.groupBy("source_id", "address").agg(F.max_by("d", "h").alias("d")).select("source_id", "address", "d.*")
+
+
+def complete(entries: DataFrame, told: DataFrame) -> DataFrame:
+    """Entries whose blanks are filled from their detail pages, with `address`."""
+    from tidemark.operators.resolve import fill_blanks
+
+    keyed = entries.withColumn("address", address(entries)).withColumn("_at", F.concat_ws(" ", "source_id", "address"))
+    return fill_blanks(keyed, told.withColumn("_at", F.concat_ws(" ", "source_id", "address")), "_at", ["link", "source", "deadline", "published", "summary"]).drop("_at")
+
+
+def ask(waiting: DataFrame, most: int = 12) -> DataFrame:
+    """waiting with `asked`: the first `most` of each source, as read, are what the fetcher looks up before the next pass. The others wait.
+
+    The rank stops at `most` rows of each task before the shuffle, and no order over all sources is made.
+    """
+    nth = F.row_number().over(Window.partitionBy("source_id").orderBy("page", "ord", "address"))
+    first = waiting.select("source_id", "page", "ord", "address").withColumn("_n", nth).filter(F.col("_n") <= most).select("source_id", "address", F.lit(True).alias("asked"))
+    return waiting.join(first, ["source_id", "address"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
 
 
 def errors(landed: DataFrame) -> DataFrame:
