@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -19,9 +21,9 @@ from tidemark.llm.common import chunks, col, only, settle
 GROUP = 20_000
 
 
-#: A word of Latin letters with what may stand behind it; the tokenizer cuts between the two, and its letters don't change in
+#: Lines that are a word of Latin letters with what may stand behind it; the tokenizer cuts between the two, and its letters don't change in
 #: number. Combining marks are not among that: the tokenizer composes them with the letter before.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'\p{M}]*)")
+PLAIN = re.compile(r"(?m)^(([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'\p{M}]*))$")
 
 
 #: Words that a worker holds with their ids, some 250 bytes each with their stems, before it forgets them all.
@@ -48,34 +50,43 @@ class Ids:
 
     def learn(self, words: list[str]) -> None:
         """The ids of new words. Plain ones are encoded many in a text; ids that end a word tell them apart."""
-        plain = {w: m for w in words if (m := PLAIN.fullmatch(w))}
-        stems = list({m[1].lower() for m in plain.values()} - self.stems.keys())
+        plain = PLAIN.findall("\n".join(words))
+        lower = "\n".join([stem for _, stem, _ in plain]).lower().split("\n")  # letter by letter, as these letters are
+        stems = list(set(lower) - self.stems.keys())
         for at in range(0, len(stems), 2000):
             some = stems[at : at + 2000]
             found = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.nonzero(self.ends[found])[0] + 1
             if len(stops) == len(some) and stops[-1] == len(found):
-                data, last = found.tobytes(), 0
-                for stem, stop in zip(some, (4 * stops).tolist(), strict=True):
-                    self.stems[stem], last = data[last:stop], stop
+                data, ends = found.tobytes(), (4 * stops).tolist()
+                self.stems.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=False))
             else:
                 self.stems.update((w, self.whole(w)) for w in some)
-        self.stems.update((t, self.whole(t)) for t in {m[2] for m in plain.values()} - self.stems.keys())
-        self.held.update((w, self.stems[m[1].lower()] + self.stems[m[2]]) for w, m in plain.items())
-        rest = [w for w in words if w not in plain]
+        self.stems.update((t, self.whole(t)) for t in {tail for _, _, tail in plain} - self.stems.keys())
+        get, names = self.stems.__getitem__, [w for w, _, _ in plain]
+        self.held.update(zip(names, map(add, map(get, lower), map(get, [tail for _, _, tail in plain])), strict=True) if plain else ())
+        rest = list(set(words).difference(names))
         self.held.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit. Texts with special strings, or with separators that only Python takes for white space, go to the tokenizer whole."""
         odd = [any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        split = [None if o else t.split() for t, o in zip(texts, odd, strict=True)]
+        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
         if len(self.held) > HELD:
             self.held.clear()
             self.stems = {"": b""}
-        new = list(set().union(*filter(None, split)) - self.held.keys())
+        coded = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()  # each distinct word of the texts is looked up once
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        new = [w for w in words if w not in self.held]
         if new:
             self.learn(new)
-        return [self.whole(t) if words is None else b"".join(map(self.held.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        known = list(map(self.held.__getitem__, words))
+        flat, n = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begins, long = np.cumsum(n) - n, n[at]
+        ends = np.concatenate([[0], np.cumsum(long)])
+        ids = flat[np.repeat(begins[at] - ends[:-1], long) + np.arange(ends[-1])].tobytes()
+        stops = (4 * ends[np.cumsum([0, *map(len, split)])]).tolist()
+        return [self.whole(t) if o else ids[a:b] for t, o, a, b in zip(texts, odd, stops, stops[1:], strict=False)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end: int = 0, i
         encode, closing = only(Ids, tokenizer), np.array([end], "<u4").tobytes()
         for b in batches:
             rows = iter(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            for some in chunks(rows, lambda r: len(r[1] or ""), 1 << 20):
+            for some in chunks(rows, lambda r: len(r[1] or ""), 1 << 22):
                 out = []
                 for (doc_id, _), own in zip(some, encode([t or "" for _, t in some]), strict=True):
                     own += closing
