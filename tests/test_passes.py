@@ -328,7 +328,7 @@ def test_boards(spark):
     rows = spark.createDataFrame([("RSS", "Sante", "oui", D(2026, 9, 9), None, 3), ("RSS", " ", "non", None, None, None), ("JSON", "Eau", "true", D(2026, 9, 9), "e1", -2)], "method string, sector string, followed string, deadline date, event string, days_left int").withColumn("id", F.col("sector"))
     assert sorted(tuple(x) for x in boards.facets(rows, ["method", "sector"]).collect()) == [("method", "JSON", 1), ("method", "RSS", 2), ("sector", "Eau", 1), ("sector", "Sante", 1)]
     assert boards.by_facets(rows, method="RSS", sector=None).count() == 2 and sorted(x["value"] for x in boards.form_options(rows, "sector").collect()) == ["Eau", "Sante"]
-    assert boards.tiles(rows).first().asDict() == {"total": 3, "within_week": 1}
+    assert boards.tiles(rows.withColumn("sent_new", F.lit(None).cast("string")), sources(spark)).first().asDict() == {"total": 3, "within_week": 1, "sources": 2, "alerts": 3}
     assert [x["sector"] for x in boards.calendar_candidates(rows, "event").collect()] == ["Sante"]
     assert rows.select(boards.calendar_text(F.col("method"), F.col("event"), F.col("sector")).alias("t")).first()["t"] == "RSS\nSante"
     assert [x["sector"] for x in boards.deadline_list(rows, classify.bucket(F.col("days_left"), F.lit(""), ()), ["j3", "expired"]).collect()] == ["Eau", "Sante"]

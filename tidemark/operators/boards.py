@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import blank, canonical, or_null, trimmed, truthy
+from tidemark.operators.views import alert_level
 
 # Fixed value: the type of entries that are read only if a client asks for them.
 EVENT = "Evenement"
@@ -50,9 +51,11 @@ def run_summary(notices: DataFrame, sent: int = 0) -> DataFrame:
     return notices.agg(F.count_if(F.col("outcome") == "new").alias("added"), F.count_if(F.col("outcome") == "updated").alias("updated"), F.count_if(truthy(F.col("followed"))).alias("followed"), F.lit(sent).cast("long").alias("sent"))
 
 
-def tiles(notices: DataFrame, days: str = "days_left") -> DataFrame:
-    """total, and those whose deadline is in the coming week."""
-    return notices.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(days).between(0, 7)).alias("within_week"))
+def tiles(notices: DataFrame, sources: DataFrame, days: str = "days_left", mark: str = "sent_new") -> DataFrame:
+    """total, within_week (their deadline is in the coming week), sources (active ones) and alerts: a board's four tiles."""
+    active = sources.agg(F.count_if(F.coalesce("active", F.lit(False))).alias("n")).first()["n"]
+    alerts = F.count_if(alert_level(F.col(days), F.col(mark)).isNotNull())
+    return notices.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(days).between(0, 7)).alias("within_week"), F.lit(active).cast("long").alias("sources"), alerts.alias("alerts"))
 
 
 def facets(rows: DataFrame, columns: list[str]) -> DataFrame:

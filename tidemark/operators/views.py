@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from tidemark.functions import vocabulary as v
 from tidemark.functions.classify import deadline_status
 from tidemark.functions.text import blank, matches_any, trimmed
+from tidemark.operators.components import settled
+from tidemark.operators.rounds import ranked
 
 # Alert levels in order, and days after which a source is silent.
 LEVELS = ("urgent", "bientot", "expire", "nouvelle")
@@ -67,20 +69,17 @@ def count_levels(listed: DataFrame, column: str, levels: Sequence[str]) -> DataF
 
 
 def digest(notices: DataFrame, group: str | None, order: str = "ord") -> DataFrame:
-    """position, group, n, titles: groups in the order in which the sorted list first names them, each with its titles in order.
+    """position, group, n, nth, title: a row for each title. Groups stand in the order in which the sorted list first names them; nth goes on over all groups.
 
-    A group's titles are one row, because a message is: the digest is of one pass's new notices.
+    Only a row for each group is gathered; titles are numbered over ranges, so a group may hold most of them.
     """
-    place = F.struct(F.coalesce("days_left", F.lit(9999)).alias("d"), F.col(order).alias("o"))
+    best = F.translate(F.coalesce("relevance", F.lit("")), "0123456789", "9876543210")
+    key = F.struct(F.when(best == "", "~").otherwise(best).alias("r"), F.coalesce("days_left", F.lit(9999)).alias("d"), F.col(order).alias("o"))
     name = F.coalesce(F.when(~blank(F.col(group)), trimmed(F.col(group))), F.lit(v.UNKNOWN_SECTOR)) if group else F.lit("")
-    best = F.coalesce("relevance", F.lit(""))
-    groups = notices.select(name.alias("group"), best.alias("r"), place.alias("p"), "title").groupBy("group", "r").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("first"), F.array_sort(F.collect_list(F.struct("p", "title"))).alias("t"))
-    merged = groups.groupBy("group").agg(
-        F.sum("n").alias("n"), F.max("r").alias("top"), F.min_by("first", F.expr("translate(r, '0123456789', '9876543210')")).alias("first"),
-        F.reverse(F.array_sort(F.collect_list(F.struct("r", F.col("t.title").alias("titles"))))).alias("parts"),
-    )
-    rank = F.row_number().over(Window.orderBy(F.col("top").desc(), "first"))
-    return merged.select(rank.alias("position"), "group", "n", F.flatten(F.col("parts.titles")).alias("titles"))
+    named = settled(notices.select(name.alias("group"), key.alias("key"), "title"))
+    groups = ranked(named.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")), ["first"], "position")
+    placed = ranked(named.join(groups, "group"), ["position", "key"], "nth")
+    return placed.select((F.col("position") + 1).cast("int").alias("position"), "group", "n", (F.col("nth") + 1).alias("nth"), "title")
 
 
 def freshness(entries: DataFrame, source: str, published: str, as_of: Column) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import classify, dates, money, text, urls
 from tidemark.functions import vocabulary as v
+from tidemark.functions.answers import verdicts
 from tidemark.functions.ids import assign_ids
-from tidemark.operators import boards, notify, resolve, views
+from tidemark.operators import boards, messages, notify, resolve, rounds, views
 from tidemark.operators.components import settled
 from tidemark.sources import apis, feeds, pages
 
@@ -300,14 +301,15 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.inventory(held.select(F.col("n_name").alias("country"), F.col("c_mktsegment").alias("sector")), ["nation 3", "nation 7"], ["building"])
 
 
-@query("""
-WITH g AS (SELECT r_name AS "group", count(*) AS n, string_agg(n_name, '|' ORDER BY n_nationkey) AS titles, min(n_nationkey) AS first FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)
-SELECT CAST(row_number() OVER (ORDER BY first) AS INTEGER) AS position, "group", n, titles FROM g""")
+@query(f"""
+WITH g AS (SELECT coalesce(nullif(trim(c_mktsegment), ''), 'Autre') AS "group", CASE o_orderstatus WHEN 'P' THEN 9 ELSE ascii(o_orderstatus) END AS r, {_DAYS} AS d, o_orderkey AS o FROM orders JOIN customer ON o_custkey = c_custkey),
+s AS (SELECT "group", count(*) AS n, min((r, d, o)) AS first FROM g GROUP BY "group"), p AS (SELECT *, row_number() OVER (ORDER BY first) AS position FROM s)
+SELECT CAST(position AS INTEGER) AS position, "group", n, row_number() OVER (ORDER BY position, r, d, o) AS nth, 'order ' || o AS title FROM g JOIN p USING ("group")""")
 def group_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations by region, as the new notices of a pass by sector."""
-    held = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = held.select(F.col("n_name").alias("title"), F.col("r_name").alias("area"), F.lit(None).cast("string").alias("relevance"), F.col("n_nationkey").alias("days_left"), F.col("n_nationkey").alias("ord"))
-    return views.digest(rows, "area").withColumn("titles", F.array_join("titles", "|"))
+    """Orders as the new notices of a pass, by their customers' segments; orders of status P are the most relevant."""
+    held = notices(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), "o_custkey"), "ord").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = held.select(F.concat(F.lit("order "), F.col("ord").cast("string")).alias("title"), F.col("c_mktsegment").alias("segment"), F.when(F.col("mark") == "P", "\t").otherwise(F.col("mark")).alias("relevance"), "days_left", "ord")
+    return views.digest(rows, "segment")
 
 
 _REMINDER = f"CASE WHEN {_DAYS} BETWEEN 0 AND 1 THEN 'j1' WHEN {_DAYS} BETWEEN 0 AND 3 THEN 'j3' WHEN {_DAYS} BETWEEN 0 AND 7 THEN 'j7' END"
@@ -494,15 +496,66 @@ def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("p_partkey", *(f"e.{c}" for c in ("title", "link", "published", "deadline", "type", "organisation")))
 
 
-@query("""
-WITH b AS (SELECT o_custkey AS cust, o_orderkey AS o, CASE o_orderstatus WHEN 'O' THEN ' ' WHEN 'P' THEN NULL ELSE o_orderpriority END AS budget, o_orderstatus AS title FROM orders)
-SELECT cust, coalesce(arg_max(title, o), 'held') AS title, coalesce(arg_max(budget, o) FILTER (trim(coalesce(budget, '')) <> ''), 'none') AS budget FROM b GROUP BY cust""")
+_COPIES = "SELECT o_custkey AS cust, o_orderkey AS o, CASE o_orderstatus WHEN 'O' THEN ' ' WHEN 'P' THEN NULL ELSE o_orderpriority END AS budget, o_orderstatus AS title FROM orders"
+_THERE = "FILTER (trim(coalesce(budget, '')) <> '')"
+
+
+@query(f"""
+WITH b AS ({_COPIES}), t AS (SELECT c_custkey AS cust, c_mktsegment AS title, CASE WHEN c_nationkey < 12 THEN '5-LOW' END AS budget FROM customer WHERE c_acctbal >= 0),
+g AS (SELECT cust, min(o) AS o, arg_max(title, o) AS last_title, arg_min(title, o) AS first_title, arg_min(budget, o) AS own, arg_max(budget, o) {_THERE} AS last_budget, arg_min(budget, o) {_THERE} AS first_budget, min(budget) {_THERE} AS low, max(budget) {_THERE} AS high FROM b GROUP BY cust)
+SELECT t.cust AS ord, TRUE AS tracked, coalesce(g.last_title, t.title) AS title, coalesce(g.last_budget, t.budget) AS budget, CASE WHEN g.cust IS NULL OR (g.last_title IS NULL AND g.last_budget IS NULL) THEN 'tracked' ELSE 'updated' END AS outcome FROM t LEFT JOIN g USING (cust)
+UNION ALL SELECT g.o, FALSE, first_title, coalesce(first_budget, own), 'new' FROM g WHERE cust NOT IN (SELECT cust FROM t)""")
 def upsert_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with orders are tracked notices, orders the copies that come in, in order: each field is its last value that isn't blank."""
+    """Customers with money are tracked notices, orders the copies that come in, in order: on a tracked one each field is the last that is there, on a new one the first."""
     budget = F.when(F.col("o_orderstatus") == "O", " ").when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
-    copies = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("o"), budget.alias("budget"), F.col("o_orderstatus").alias("title"))
-    last = copies.groupBy("cust").agg(resolve.last_value("title", "o").alias("title"), resolve.last_value("budget", "o").alias("budget"))
-    return last.select("cust", F.coalesce("title", F.lit("held")).alias("title"), F.coalesce("budget", F.lit("none")).alias("budget"))
+    key = lambda c: F.array(F.concat(F.lit("ref:"), F.col(c).cast("string")))
+    copies = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), key("o_custkey").alias("keys"), F.col("o_orderstatus").alias("title"), budget.alias("budget"))
+    held = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("ord"), key("c_custkey").alias("keys"), F.col("c_mktsegment").alias("title"), F.when(F.col("c_nationkey") < 12, "5-LOW").alias("budget"))
+    return resolve.upsert(held, copies, fields=["title", "budget"]).drop("keys")
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS ord, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, CAST(floor(o_totalprice) AS BIGINT) % 97 AS cost, count(*) OVER () AS n FROM orders),
+t AS (SELECT *, (place - 700 % n + n) % n AS turn FROM p), s AS (SELECT *, coalesce(sum(cost) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+k AS (SELECT *, turn = 0 OR before <= 50000 AS taken FROM s)
+SELECT ord, turn, CAST(before AS BIGINT) AS before, taken, (SELECT coalesce((700 % min(n) + min(turn) FILTER (NOT taken)) % min(n), 0) FROM k) AS cursor FROM k""")
+def resume_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sources whose round begins at place 700 and has 50,000 seconds; the next begins at `cursor`."""
+    costs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), (F.floor("o_totalprice") % 97).cast("long").alias("cost"))
+    told, cursor = rounds.resume(rounds.ranked(costs, ["ord"], "place"), 700, 50_000)
+    return told.select("ord", "turn", "before", "taken", F.lit(cursor).cast("long").alias("cursor"))
+
+
+@query("""
+WITH k AS (SELECT o_orderkey AS slot, o_custkey AS cust, o_totalprice AS price, o_orderstatus <> 'P' AS known FROM orders),
+c AS (SELECT cust, price, row_number() OVER (ORDER BY price DESC, slot) AS r FROM k WHERE known), f AS (SELECT slot, row_number() OVER (ORDER BY slot) AS r FROM k WHERE known)
+SELECT f.slot, c.cust, c.price FROM c JOIN f USING (r) UNION ALL SELECT slot, cust, price FROM k WHERE NOT known""")
+def sorted_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows of a sheet: those of status P were added by hand and keep their slots, the others are sorted by price in what is left."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slot"), F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("mark"), F.col("o_orderkey").alias("was"))
+    return rounds.sort_in_place(rows, "slot", F.col("mark") != "P", [F.col("price").desc(), F.col("was")]).select("slot", "cust", "price")
+
+
+@query("""
+SELECT o_orderkey AS ord, CAST(o_orderkey % 30 AS INTEGER) AS i, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS sector, 'a ] "b" ' || chr(92) || o_custkey AS summary, o_orderstatus = 'O' AS opportunity FROM orders WHERE o_orderkey % 7 <> 0""")
+def answer_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a model's answer, in prose and marks; some end before their value does."""
+    o = F.col("o_orderkey")
+    verdict = F.struct((o % 30).cast("int").alias("i"), F.when(o % 2 == 0, F.col("o_orderpriority")).alias("secteur"), F.concat(F.lit('a ] "b" \\'), F.col("o_custkey").cast("string")).alias("resume"), (F.col("o_orderstatus") == "O").alias("opportunite"))
+    said = F.to_json(F.array(verdict))
+    wrapped = F.when(o % 3 == 0, said).when(o % 3 == 1, F.concat(F.lit('{"annonces": '), said, F.lit("}"))).otherwise(F.concat(F.lit("```json\n"), said, F.lit("\n```")))
+    prose = F.concat(F.lit('Voici "le" tri : '), F.when(o % 7 == 0, F.expr("substring(w, 1, length(w) - 5)")).otherwise(F.col("w")), F.lit(" Fin."))
+    answers = table(spark, sf_dir, "orders").withColumn("w", wrapped).select(o.alias("ord"), prose.alias("answer"))
+    return verdicts(answers, "ord", "answer").select("ord", "i", "sector", "summary", "opportunity")
+
+
+@query("""
+WITH r AS (SELECT o_orderpriority AS channel, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS nth, count(*) OVER (PARTITION BY o_orderpriority) AS n, o_orderstatus || o_orderkey AS line FROM orders)
+SELECT channel, CAST(any_value(n) AS INTEGER) AS n, '<b>' || any_value(n) || '</b>' || chr(10) || chr(10) || string_agg(nth || '. ' || line, chr(10) ORDER BY nth) || CASE WHEN any_value(n) > 10 THEN chr(10) || chr(10) || '... et ' || (any_value(n) - 10) || ' autres.' ELSE '' END AS body FROM r WHERE nth <= 10 GROUP BY channel""")
+def chat_recap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chat message for each priority: its ten dearest orders and how many others there are."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("channel"), F.struct((-F.col("o_totalprice")).alias("p"), F.col("o_orderkey").alias("o")).alias("place"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("line"))
+    return messages.first_lines(rows, "line", F.concat(F.lit("<b>"), F.col("n").cast("string"), F.lit("</b>")), number=True).select("channel", "n", "body")
 
 
 _JUDGED = "CASE WHEN o_orderkey % 5 = 0 THEN FALSE WHEN o_orderkey % 5 < 3 THEN TRUE END"
@@ -531,9 +584,11 @@ def verdict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.with_verdicts(held, said, ["ord"], ["Sante", "Eau"], ["AMI", "Bourse"]).select("ord", "sector", "type", "summary", "opportunity")
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER ({_DAYS} BETWEEN 0 AND 7) AS within_week FROM orders")
+@query(f"""
+SELECT count(*) AS total, count(*) FILTER ({_DAYS} BETWEEN 0 AND 7) AS within_week, (SELECT count(*) FROM supplier WHERE s_acctbal > 0) AS sources, count(*) FILTER ({_DAYS} BETWEEN -7 AND 7) AS alerts FROM orders""")
 def dashboard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boards.tiles(notices(spark, sf_dir))
+    """Suppliers with money are active sources."""
+    return boards.tiles(notices(spark, sf_dir).withColumn("sent_new", F.col("mark")), table(spark, sf_dir, "supplier").select((F.col("s_acctbal") > 0).alias("active")))
 
 
 @query("SELECT 'c_mktsegment' AS facet, c_mktsegment AS value, count(*) AS n FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*) FROM customer GROUP BY c_nationkey")
