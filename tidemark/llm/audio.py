@@ -29,6 +29,8 @@ class Audio:
 #: Steps of a chroma value; sums of them are exact, so equal sounds have equal codes whatever stands beside them.
 GRID = 4096
 PITCHES = 12
+#: The code where less than half of the frames have energy; without any, every filter's ratio is 1. Such codes make no keys and no run, as all recordings with a pause would share them.
+SILENT = 0xFFFFFFFF
 
 
 def pitch_classes(a: Audio) -> np.ndarray:
@@ -70,7 +72,7 @@ def codes(held: list[bytes], a: Audio) -> list[np.ndarray]:
 
     Spectra become energies of pitch classes, smoothed over five frames and scaled to length 1. Running sums over time and
     pitch (an integral image) give any rectangle's sum from four values. Each filter compares two areas by the log of their
-    ratio; three thresholds make it two bits, in Gray order, so that a small change costs one bit.
+    ratio; three thresholds make it two bits, in Gray order, so that a small change costs one bit. Where most frames are silent the code is SILENT.
     """
     n_frames = [max(0, (len(x) - a.frame) // a.hop + 1) for x in held]
     drop = len(a.smooth) - 1
@@ -105,6 +107,8 @@ def codes(held: list[bytes], a: Audio) -> list[np.ndarray]:
         ratio = np.log((part + GRID) / (rest + GRID))
         level = np.digitize(ratio, (-0.35, 0.0, 0.35))
         out = out << np.uint32(2) | (level ^ level >> 1).astype(np.uint32)
+    heard = np.concatenate([[0], np.cumsum(image.any(axis=1))])
+    out[2 * (heard[at + a.width] - heard[at]) < a.width] = SILENT
     return np.split(out, np.cumsum(n_codes)[:-1])
 
 
@@ -126,22 +130,27 @@ def fingerprints(media: DataFrame, audio: Audio | None = None, *, id_col: str =
 APART = 7
 
 
+def keys(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a recording's codes (each two that are APART and not silent) and their places. Of a key that stands at places in a row, as in a held tone, the first counts."""
+    if len(c) <= APART:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    key = (c[:-APART].astype(np.uint64) << np.uint64(32) | c[APART:]).view(np.int64)
+    new = (c[:-APART] != SILENT) & (c[APART:] != SILENT)
+    new[1:] &= key[1:] != key[:-1]
+    return key[new], np.flatnonzero(new).astype(np.int32)
+
+
 def _postings(classes: DataFrame) -> DataFrame:
-    """key, cls, asks, at: each two codes that are APART of each class, once (their first place)."""
+    """key, cls, asks, at: the keys of each class with all their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                keys, n, places = [], [], []
-                for data in part.column(2).to_pylist():
-                    c = np.frombuffer(data, "<u4").astype(np.uint64)
-                    key, place = np.unique(c[:-APART] << np.uint64(32) | c[APART:], return_index=True)
-                    keys.append(key.view(np.int64))
-                    places.append(place)
-                    n.append(len(key))
+                found = [keys(np.frombuffer(data, "<u4")) for data in part.column(2).to_pylist()]
+                n = [len(k) for k, _ in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)), pa.array(np.repeat(part.column(1).to_numpy(zero_copy_only=False), n)), pa.array(np.concatenate(places).astype(np.int32))],
+                    [pa.array(np.concatenate([k for k, _ in found])), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)), pa.array(np.repeat(part.column(1).to_numpy(zero_copy_only=False), n)), pa.array(np.concatenate([p for _, p in found]))],
                     names=["key", "cls", "asks", "at"],
                 )
 
@@ -152,19 +161,21 @@ def matching_run(a: np.ndarray, b: np.ndarray, offset: int, most_errors: float)
     """How long a's codes, moved by `offset`, and b's agree, and the share of bits that differ there.
 
     Each code of the overlap gains what its bit errors leave of `most_errors`; the run with the largest sum is the one that
-    agrees, so what stands before, behind or between two shared passages doesn't count against them.
+    agrees, so what stands before, behind or between two shared passages doesn't count against them. Places where both are silent count neither way.
     """
     start, stop = max(0, -offset), min(len(b), len(a) - offset)
     if stop <= start:
         return 0, 1.0
-    errors = np.bitwise_count(a[start + offset : stop + offset] ^ b[start:stop]).astype(np.float64)
-    gained = np.concatenate([[0.0], np.cumsum(32 * most_errors - errors)])
+    one, two = a[start + offset : stop + offset], b[start:stop]
+    errors, heard = np.bitwise_count(one ^ two).astype(np.float64), (one != SILENT) | (two != SILENT)
+    gained = np.concatenate([[0.0], np.cumsum(np.where(heard, 32 * most_errors - errors, 0.0))])
     lowest = np.minimum.accumulate(gained)
     end = int(np.argmax(gained - lowest))
     begin = int(np.flatnonzero(gained[: end + 1] == lowest[end])[0])
     if end <= begin:
         return 0, 1.0
-    return end - begin, float(errors[begin:end].mean()) / 32
+    heard = heard[begin:end]
+    return int(heard.sum()), float(errors[begin:end][heard].mean()) / 32
 
 
 def align(media: DataFrame, audio: Audio | None = None, *, every: int = 100, least: int = 2, overlap: int = 8, most_errors: float = 0.2, id_col: str = "doc_id", pcm_col: str = "pcm") -> DataFrame:
@@ -172,10 +183,10 @@ def align(media: DataFrame, audio: Audio | None = None, *, every: int = 100, lea
 
     Recordings with equal codes are one class; class_id is its smallest id, so copies never meet in pairs. Queries are the
     classes that hold an id divisible by `every`; they are searched against all classes. Each two codes, APART from each
-    other, that both have vote for the offset between their places; every offset with `least` votes or more is checked code by
+    other and not silent, that both have vote for the offset between their places; every offset with `least` votes or more is checked code by
     code: the run that agrees (see matching_run) has `overlap` codes or more, and no more than `most_errors` of its bits differ. Of
-    a pair's offsets the one with the longest run counts, then with the fewest bit errors, then the smallest.
-    n_links counts a row's class's other classes so aligned, query_id is the query class with the longest run, then the fewest bit errors, then the smallest id.
+    a pair's offsets the one whose run gains most counts (its length times what its bit errors leave of `most_errors`), then the smallest.
+    n_links counts a row's class's other classes so aligned, query_id is the query class whose run gains most, then the smallest id.
 
     Null or short samples have no codes: class_id is null, n_links 0. A null id is never a query and names a class only if
     all of its ids are null. Repeated rows each get their row; an empty table gives none; other columns are not read.
@@ -205,10 +216,11 @@ def align(media: DataFrame, audio: Audio | None = None, *, every: int = 100, lea
 
     checked = pairs.select("q", "cls", "offset", "q_codes", "codes").mapInArrow(verify, "q long, cls long, offset int, overlap long, bit_errors double")
     good = checked.filter((F.col("overlap") >= overlap) & (F.col("bit_errors") <= most_errors))
-    longest = F.max(F.struct("overlap", (-F.col("bit_errors")).alias("e"), (-F.col("offset")).alias("o")))
-    links = good.groupBy("q", "cls").agg(longest.alias("l")).select("q", "cls", F.col("l.overlap").alias("overlap"), (-F.col("l.e")).alias("bit_errors"), (-F.col("l.o")).alias("offset"))
+    gain = (F.lit(most_errors) - F.col("bit_errors")) * F.col("overlap")
+    most = F.max(F.struct(gain.alias("gain"), (-F.col("offset")).alias("o"), "overlap", "bit_errors"))
+    links = good.groupBy("q", "cls").agg(most.alias("l")).select("q", "cls", "l.gain", "l.overlap", "l.bit_errors", (-F.col("l.o")).alias("offset"))
     ids = classes.select(F.col("cls").alias("q"), F.col("class_id").alias("query_id"))
-    best = links.join(ids, "q").groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"), F.min(F.struct((-F.col("overlap")).alias("least"), "bit_errors", "query_id", "offset", "overlap")).alias("best"))
+    best = links.join(ids, "q").groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"), F.min(F.struct((-F.col("gain")).alias("least"), "query_id", "offset", "overlap", "bit_errors")).alias("best"))
     of = classes.drop("codes", "asks").join(best, "cls", "left").drop("cls")
     return named.drop("codes").join(of, name, "left").select(
         F.col("id").alias("doc_id"), "n_samples", "n_codes", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best.query_id", F.col("best.offset").cast("long").alias("offset"), "best.overlap", "best.bit_errors"
