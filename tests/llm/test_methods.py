@@ -363,3 +363,42 @@ def test_near_copies_of_many_blocks_are_those_of_one(spark):
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     one, many = ({x["doc_id"] for x in near_copies(docs, block=b).collect()} for b in (4096, 16))
     assert one == many
+
+
+def test_crowded_buckets_link_as_all_pairs_do(spark):
+    """Fingerprints around a few centres, so that many keys are shared by far more than PAIRS_TO of them."""
+    from tidemark.llm.simhash import PAIRS_TO, _keyed, links
+    from tidemark.operators.components import components
+
+    r, held = random.Random(11), set()
+    for _ in range(3):
+        centre = r.getrandbits(64)
+        for _ in range(260):
+            x = centre
+            for bit in r.sample(range(24), r.choice((0, 1, 2, 2, 3, 4))):
+                x ^= 1 << bit
+            held.add(x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in held]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    assert _keyed(df, 2).groupBy("key").count().agg({"count": "max"}).first()[0] > 3 * PAIRS_TO
+    parent = {x: x for x in signed}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(signed):
+        for b in signed[:i]:
+            if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2:
+                parent[root(a)] = root(b)
+    got = {c["node"]: c["comp"] for c in components(links(df, 2)).collect()}
+    of = lambda x: got.get(x, x)
+    assert {frozenset(g) for g in _by(signed, of).values()} == {frozenset(g) for g in _by(signed, root).values()}
+
+
+def _by(items, key):
+    out = defaultdict(set)
+    for x in items:
+        out[key(x)].add(x)
+    return out

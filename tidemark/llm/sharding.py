@@ -105,6 +105,10 @@ def _cuts(sent: list[list[float]], held: list[int]) -> list[tuple[int, int, int,
     return out
 
 
+#: Bytes of text in a file of a rewritten shard.
+FILE = 256 << 20
+
+
 def _placed(rows: DataFrame, light: DataFrame, old: int, new: int) -> tuple[DataFrame, list[list[int]]]:
     """rows with `nth` (place in its block) and `shard`, and the flow. light: the same rows, settled, for the counts.
 
@@ -167,8 +171,8 @@ def rewrite(docs: DataFrame, path: str, *, old: int = 32, new: int = 40, blocks:
     """Write the shards that resharding changes under `path`, one folder for each (tm_shard=N), and return their numbers.
 
     A shard is changed if a document enters or leaves it; all documents that it has then are written, with all their columns,
-    each row once: rows are carried through the placing, so repeated rows and null ids need no matching. An empty table writes
-    nothing. Running it again writes the same folders anew, so a lost run can be repeated.
+    each row once: rows are carried through the placing, so repeated rows and null ids need no matching. A shard is as many files
+    of about FILE bytes of text as it needs, each written by one task, so no task holds a shard. An empty table writes nothing. Running it again writes the same folders anew, so a lost run can be repeated.
     """
     shard, inside = fresh(docs, "tm_shard", "tm_row")
     light = settle(_measured(docs, old, blocks, id_col, text_col))
@@ -179,5 +183,6 @@ def rewrite(docs: DataFrame, path: str, *, old: int = 32, new: int = 40, blocks:
     if touched:
         held = placed.filter(F.col("shard").isin(touched)).select(F.col("row").alias(inside), F.col("shard").alias(shard))
         rows = held.select(*(F.col(inside).getField(c).alias(c) for c in docs.columns), shard)
-        rows.repartition(shard).write.mode("overwrite").partitionBy(shard).parquet(path)
+        parts = max(1, round(sum(map(sum, flow)) / new / FILE))
+        rows.repartition(shard, F.pmod(F.xxhash64(*map(col, rows.columns)), F.lit(parts))).write.mode("overwrite").partitionBy(shard).parquet(path)
     return touched
