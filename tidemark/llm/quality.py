@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
@@ -102,13 +104,13 @@ def within(band: Band, told: Sequence[tuple[float, float, float]]) -> bool:
     return all(low <= per <= high and share <= band.fallback and entropy >= band.entropy for per, share, entropy in told) and max(told)[2] >= band.best
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of characters other than the six ASCII blanks."""
-    return [w.decode() for w in text.encode().split()] if not text.isascii() or _has_separators(text) else text.split()
+#: White space to Python that the word rule doesn't count as such.
+OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def _has_separators(text: str) -> bool:
-    return any(c in text for c in "\x1c\x1d\x1e\x1f")
+def words_of(text: str) -> list[str]:
+    """Runs of characters other than the six ASCII blanks."""
+    return [w.decode() for w in text.encode().split()] if OTHER_BLANKS.search(text) else text.split()
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -151,7 +153,7 @@ class Vocabulary:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.encode = lambda words: model.encode(words, num_threads=1)
+            self.encode = lambda words: _listed(model.encode(words, num_threads=1))
             self.fallback = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
         else:
             import public_tokenizers
@@ -159,11 +161,34 @@ class Vocabulary:
 
             ranks = load_ranks(path)
             model = tiktoken.Encoding("quality", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode = lambda words: [model.encode_ordinary(f" {w}") for w in words]
-            self.fallback = np.zeros(max(ranks.values()) + 1, bool)
+            long = np.zeros(max(ranks.values()) + 1, np.int64)
+            long[list(ranks.values())] = [len(token) for token in ranks]
+            self.encode = functools.partial(_cut_by_bytes, model, long)
+            self.fallback = np.zeros(len(long), bool)
             self.fallback[[rank for token, rank in ranks.items() if len(token) == 1 and token[0] > 127]] = True
 
 
+def _listed(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens each word has, and all tokens in order."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+
+
+def _cut_by_bytes(model, long: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As _listed(), of words with a blank before each. No token goes from one word into the next, so all are encoded as one text, and cut where the tokens' bytes reach each word's end."""
+    ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+    ids = model.encode_to_numpy(" " + " ".join(words), disallowed_special=())
+    reached = np.cumsum(long[ids])
+    stops = np.searchsorted(reached, ends) + 1
+    if len(ids) == 0 or stops[-1] != len(ids) or (reached[stops - 1] != ends).any():
+        return _listed([model.encode_ordinary(f" {w}") for w in words])
+    return np.diff(stops, prepend=0), ids.astype(np.uint32)
+
+
+#: Words that a worker holds with their tokens, some 200 bytes each, before it forgets them all.
+HELD = 600_000
+
+
 class Lexicon:
     """Numbers words as they come, and holds their tokens by each vocabulary side by side, until there are too many."""
 
@@ -177,18 +202,17 @@ class Lexicon:
         self.sizes, self.flat = ([np.zeros(0, kind) for _ in self.public] for kind in (np.int64, np.uint32))
         self.begins = list(self.sizes)
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.number) > 400_000:
+    def learn(self, words: list[str]) -> None:
+        if len(self.number) > HELD:
             self.forget()
-        new = list(words - self.number.keys())
+        new = [w for w in words if w not in self.number]
         if not new:
             return
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
         for k, v in enumerate(self.public):
-            found = v.encode(new)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            sizes, ids = v.encode(new)
             self.sizes[k] = np.concatenate([self.sizes[k], sizes])
-            self.flat[k] = np.concatenate([self.flat[k], np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+            self.flat[k] = np.concatenate([self.flat[k], ids])
             self.begins[k] = np.cumsum(self.sizes[k]) - self.sizes[k]
 
     def fertility(self, words: np.ndarray, chars: int) -> list[tuple[float, float, float]]:
@@ -248,10 +272,15 @@ def quality(docs: DataFrame, vocabularies: Sequence[str], *, bands: dict[str, Ba
             texts = batch.column(len(carried) + 1).to_pylist()
             for part in chunks(iter(zip(batch.column(len(carried)).to_pylist(), texts, batch.column(len(carried) + 2).to_pylist(), strict=True)), lambda r: len(r[1] or ""), 1 << 20):
                 split = [(i, t or "", words_of(t or ""), of) for i, t, of in part]
-                known.learn(set().union(*(w for _, _, w, _ in split)))
+                coded = pa.array(list(chain.from_iterable(w for _, _, w, _ in split)), pa.string()).dictionary_encode()  # each distinct word is looked up once
+                distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+                known.learn(distinct)
+                placed = np.fromiter(map(known.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+                sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+                stop = 0
                 for doc_id, text, words, of in split:
-                    n, chars = len(words), sum(map(len, words))
-                    numbers = np.fromiter(map(known.number.__getitem__, words), np.int64, n)
+                    start, stop = stop, stop + len(words)
+                    n, chars, numbers = len(words), int(sizes[start:stop].sum()), placed[start:stop]
                     repeats = repeated_words(numbers)
                     failed = n < min_words or 100 * repeats > most_repeated * n
                     script = script_of(text)
