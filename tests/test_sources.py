@@ -197,9 +197,10 @@ CASES = {
     ),
     "HTML:giz.de": (
         """<table><tr class="a"><td>01.08.2026</td><td>15.09.2026</td><td>Beratung Benin</td><td>Verhandlungsverfahren mit Teilnahmewettbewerb</td><td>GIZ</td><td><a href="/x/projectForwarding.do?pid=55">x</a></td></tr>
+        <tr><td>01.08.2026</td><td>15.09.2026</td><td>Ohne Verfahren</td><td> </td><td>GIZ</td><td><a href="/x/projectForwarding.do?pid=57">x</a></td></tr>
         <tr><td>01.08.2026</td><td>15.09.2026</td><td>Alt</td><td>Vergebener Auftrag</td><td>GIZ</td><td><a href="/x/projectForwarding.do?pid=56">x</a></td></tr>
         <tr><td>01.08.2026</td><td>15.09.2026</td><td>Ohne Link</td><td>Offen</td><td>GIZ</td></tr></table>""",
-        ("title", "link", "published", "deadline", "type", "organisation"), [("Beratung Benin", "https://ausschreibungen.giz.de/x/projectForwarding.do?pid=55", D(2026, 8, 1), D(2026, 9, 15), "AMI", "GIZ")],
+        ("title", "link", "published", "deadline", "type", "organisation"), [("Beratung Benin", "https://ausschreibungen.giz.de/x/projectForwarding.do?pid=55", D(2026, 8, 1), D(2026, 9, 15), "AMI", "GIZ"), ("Ohne Verfahren", "https://ausschreibungen.giz.de/x/projectForwarding.do?pid=57", D(2026, 8, 1), D(2026, 9, 15), "Appel d'offres", "GIZ")],
     ),
     "HTML:expertise-france.gestmax.fr": (
         """<div class="list-group-item"><a href="https://expertise-france.gestmax.fr/12/1/chef?x=1"><h2>Chef de projet (Nouvelle fen&ecirc;tre)</h2></a><span class="country"><i></i><strong>Afrique</strong></span><span class="country"><strong>Bénin</strong></span>
