@@ -27,7 +27,7 @@ PLAIN = re.compile(r"(?m)^(([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'\p{M}]*))$")
 
 
 #: Words that a worker holds with their ids, some 250 bytes each with their stems, before it forgets them all.
-HELD = 800_000
+HELD = 1_200_000
 
 
 class Ids:
