@@ -196,8 +196,13 @@ def first_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS ord, CASE WHEN o_orderstatus IN ('F', 'O') THEN CAST(o_orderdate AS DATE) END AS deadline FROM orders")
 def extract_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Announced days are deadlines, in either order of their parts; bare days are none."""
-    said = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Avis. Date limite : "), F.date_format("o_orderdate", "dd/MM/yyyy"))).when(F.col("o_orderstatus") == "O", F.concat(F.lit("Closing date "), F.date_format("o_orderdate", "yyyy-MM-dd"))).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    """Announced days are deadlines, in numbers in either order or with a month's name in two languages; bare days are none."""
+    day, even = F.to_date("o_orderdate"), F.col("o_orderkey") % 2 == 0
+    french = F.element_at(F.array(*map(F.lit, ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"))), F.month(day))
+    named = F.concat_ws(" ", F.dayofmonth(day).cast("string"), french, F.year(day).cast("string"))
+    first = F.when(even, F.concat(F.lit("Avis. Date limite : "), F.date_format("o_orderdate", "dd/MM/yyyy"))).otherwise(F.concat(F.lit("Clôture le "), named))
+    other = F.when(even, F.concat(F.lit("Closing date "), F.date_format("o_orderdate", "yyyy-MM-dd"))).otherwise(F.concat(F.lit("Deadline: "), F.date_format("o_orderdate", "MMMM d, yyyy")))
+    said = F.when(F.col("o_orderstatus") == "F", first).when(F.col("o_orderstatus") == "O", other).otherwise(F.when(even, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(named))
     plain = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), text.normalize(said).alias("plain"))
     return plain.select("ord", dates.deadline_window(F.col("plain")).alias("seen")).select("ord", dates.deadline_in(F.col("seen")).alias("deadline"))
 
@@ -312,17 +317,19 @@ def group_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.digest(rows, "segment")
 
 
-_REMINDER = f"CASE WHEN {_DAYS} BETWEEN 0 AND 1 THEN 'j1' WHEN {_DAYS} BETWEEN 0 AND 3 THEN 'j3' WHEN {_DAYS} BETWEEN 0 AND 7 THEN 'j7' END"
+_OPEN = "o_orderstatus <> 'P' AND o_orderkey % 3 <> 0"
 
 
 @query(f"""
-SELECT o_orderkey AS ord, concat_ws(',', CASE WHEN o_orderstatus <> 'F' THEN 'new' END, {_REMINDER}) AS send,
-concat_ws(',', CASE WHEN {_DAYS} BETWEEN 0 AND 7 THEN 'j7' END, CASE WHEN {_DAYS} BETWEEN 0 AND 3 THEN 'j3' END, CASE WHEN {_DAYS} BETWEEN 0 AND 1 THEN 'j1' END, CASE WHEN o_orderstatus <> 'F' THEN 'new' END) AS mark FROM orders""")
+WITH d AS (SELECT *, CASE WHEN {_OPEN} THEN {_DAYS} END AS left_over FROM orders)
+SELECT o_orderkey AS ord, concat_ws(',', CASE WHEN o_orderstatus <> 'F' THEN 'new' END, CASE WHEN left_over < 0 AND o_orderkey % 5 <> 0 THEN 'expired' WHEN left_over BETWEEN 0 AND 1 THEN 'j1' WHEN left_over BETWEEN 0 AND 3 THEN 'j3' WHEN left_over BETWEEN 0 AND 7 THEN 'j7' END) AS send,
+concat_ws(',', CASE WHEN left_over BETWEEN 0 AND 7 THEN 'j7' END, CASE WHEN left_over BETWEEN 0 AND 3 THEN 'j3' END, CASE WHEN left_over BETWEEN 0 AND 1 THEN 'j1' END, CASE WHEN left_over < 0 AND o_orderkey % 5 <> 0 THEN 'expired' END, CASE WHEN o_orderstatus <> 'F' THEN 'new' END) AS mark FROM d""")
 def notify_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What goes out by email and what is marked; orders of status F were announced before."""
-    none = F.lit(None).cast("string")
-    marks = {"new": F.when(F.col("mark") == "F", "telegram, EMAIL").otherwise("telegram"), "j7": none, "j3": none, "j1": none, "expired": none}
-    held = notices(spark, sf_dir).withColumn("due", notify.due(F.col("days_left"), none, marks, notify.Rules(), "email"))
+    """What goes out by email and what is marked. Orders of status F were announced before, those of status P have no deadline, a third is not followed, and of every fifth the end was told."""
+    none, ord_ = F.lit(None).cast("string"), F.col("ord")
+    marks = {"new": F.when(F.col("mark") == "F", "telegram, EMAIL").otherwise("telegram"), "j7": none, "j3": none, "j1": none, "expired": F.when(ord_ % 5 == 0, "email")}
+    days, followed = F.when(F.col("mark") != "P", F.col("days_left")), F.when(ord_ % 3 != 0, " OUI ").otherwise("non")
+    held = notices(spark, sf_dir).withColumn("due", notify.due(days, followed, marks, notify.Rules(expired=True, followed_only=True), "email"))
     return held.select("ord", F.array_join("due.send", ",").alias("send"), F.array_join("due.mark", ",").alias("mark"))
 
 
@@ -345,14 +352,16 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT user_id, count(*) AS read, count(*) FILTER (value >= 50) AS kept, date_diff('day', max(CAST(ts AS DATE)), DATE '2024-07-20') AS age, count(*) FILTER (event_type = 'purchase') > 0 AS any_open FROM events GROUP BY 1)
-SELECT user_id, CASE WHEN age > 180 AND NOT any_open THEN 'SILENCIEUSE ' || age || ' j' WHEN kept = 0 THEN 'EN ATTENTE' ELSE 'OK' END AS status FROM e""")
+WITH e AS (SELECT user_id, user_id % 13 = 0 AS failed, user_id % 2 = 0 AS recognised, count(*) FILTER (CAST(ts AS DATE) = DATE '2024-01-29') AS read, count(*) FILTER (CAST(ts AS DATE) = DATE '2024-01-29' AND value >= 60) AS kept,
+date_diff('day', max(CAST(ts AS DATE)), DATE '2024-07-28') AS age, count(*) FILTER (event_type = 'purchase' AND value > 250) > 0 AS any_open FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN failed THEN 'ERREUR' WHEN read = 0 AND recognised THEN 'FLUX VIDE' WHEN read = 0 THEN 'RIEN LU' WHEN age > 180 AND NOT any_open THEN 'SILENCIEUSE ' || age || ' j' WHEN kept = 0 THEN 'EN ATTENTE' ELSE 'OK' END AS status FROM e""")
 def source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user is a source: what it gave, what was kept of it, and how old its newest row is."""
+    """Each user is a source: what it gave on a day, what was kept of that, and how old its newest row is. Every thirteenth fails; every other one sends feeds."""
+    seen = F.to_date("ts") == F.lit("2024-01-29").cast("date")
     held = table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("read"), F.count_if(F.col("value") >= 50).alias("kept"), F.datediff(F.lit("2024-07-20").cast("date"), F.max(F.to_date("ts"))).alias("age"), F.bool_or(F.col("event_type") == "purchase").alias("any_open")
+        F.count_if(seen).alias("read"), F.count_if(seen & (F.col("value") >= 60)).alias("kept"), F.datediff(F.lit("2024-07-28").cast("date"), F.max(F.to_date("ts"))).alias("age"), F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 250)).alias("any_open")
     )
-    return held.select("user_id", views.source_status(F.lit(False), F.col("read"), F.col("kept"), F.lit(True), F.col("age"), F.col("any_open")).alias("status"))
+    return held.select("user_id", views.source_status(F.col("user_id") % 13 == 0, F.col("read"), F.col("kept"), F.col("user_id") % 2 == 0, F.col("age"), F.col("any_open")).alias("status"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -431,10 +440,13 @@ def rotation_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", views.batches(place, 30).alias("batch"), views.rotation(place, 7, 10).alias("turn"))
 
 
-@query("SELECT c_custkey, 'TP-' || lpad(CAST(row_number() OVER (ORDER BY c_custkey) AS VARCHAR), 6, '0') AS id FROM customer")
+@query("""
+SELECT c_custkey, 'TP-' || lpad(CAST((SELECT max(7 * s_suppkey) FROM supplier WHERE s_acctbal > 0) + row_number() OVER (ORDER BY c_custkey) AS VARCHAR), 6, '0') AS id FROM customer""")
 def assigned_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = table(spark, sf_dir, "customer").select("c_custkey", F.lit("").alias("id"))
-    return assign_ids(held, held.filter(F.lit(False)), "c_custkey").select("c_custkey", "id")
+    """Customers are new; suppliers are tracked, those without money under texts that are no identifiers."""
+    number = (7 * F.col("s_suppkey")).cast("string")
+    tracked = table(spark, sf_dir, "supplier").select(F.when(F.col("s_acctbal") > 0, F.concat(F.lit("TP-"), F.lpad(number, 6, "0"))).otherwise(F.concat(F.lit("XX-9"), number)).alias("id"))
+    return assign_ids(table(spark, sf_dir, "customer").select("c_custkey"), tracked, "c_custkey").select("c_custkey", "id")
 
 
 @query("SELECT n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
