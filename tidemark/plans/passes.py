@@ -99,8 +99,12 @@ def collect(landed: DataFrame, sources: DataFrame, as_of: date, settings: Settin
     seen, left = Observation(), Observation()
     read = settled(read_entries(bodies, readers or {"RSS": feeds.read_feed}).observe(seen, F.count(F.lit(1)).alias("read")))  # this table and the next are joined with their own aggregates
     entries = settled(page_dedup(until_empty(read, bodies)))
-    whole, waits = with_details(entries, ours, active, tracked, pending, settings.details)
-    repaired = resolve.identical_titles(settled(whole), "source_id")
+    if pending is None and not used & {m.lower() for m in DETAILS}:  # no source has detail pages
+        whole, waits = entries, landed.sparkSession.createDataFrame([], PENDING)
+    else:
+        whole, waits = with_details(entries, ours, active, tracked, pending, settings.details)
+        whole = settled(whole)
+    repaired = resolve.identical_titles(whole, "source_id")
     open_ones = repaired if settings.keep_expired else repaired.filter(F.col("deadline").isNull() | (F.col("deadline") >= F.lit(as_of)))
     calls = open_ones if settings.keep_plans else open_ones.filter(~is_plan_title(F.col("title")))
     placed = calls.withColumn("place", F.struct("page", "ord"))

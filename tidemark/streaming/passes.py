@@ -65,16 +65,16 @@ class Snapshots:
         for old in sorted(v for v in whole if v < version)[: -self.keep]:
             remove(self.spark, f"{self.path}/version={old}")
 
-    def side(self, name: str, version: int, schema: StructType) -> DataFrame:
-        """Another table of the newest whole version before this one; empty if there is none."""
+    def side(self, name: str, version: int, schema: StructType) -> DataFrame | None:
+        """Another table of the newest whole version before this one; none if it has no rows or wasn't kept then."""
         found = max((r["version"] for r in self.log() if r["whole"] and r["version"] < version), default=None)
-        empty = self.spark.createDataFrame([], schema)
         if found is None:
-            return empty
+            return None
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/version={found}")
-        except AnalysisException:  # a version of before this table was kept
-            return empty
+            held = self.spark.read.schema(schema).parquet(f"{self.path}/{name}/version={found}")
+            return None if held.isEmpty() else held
+        except AnalysisException:
+            return None
 
     def latest(self) -> DataFrame:
         return self.before(1 << 62)
