@@ -22,6 +22,8 @@ from tidemark.llm.common import col, settle
 LEAF = 256
 #: Levels by which a cell is split in a round at most, and the rows that its small tree is fitted on, as drawn by a hash (expected number).
 LEVELS, SAMPLE = 8, 4096
+#: Queries whose best a task holds before it hands them on.
+HELD = 10_000
 #: Rows of a block.
 BLOCK = 512
 #: Queries whose neighbours are looked up in all rows, to see how many cells a search must visit. Drawn by a hash; no more are collected.
@@ -309,7 +311,7 @@ def search(seen: DataFrame, leaf_blocks: DataFrame, k: int) -> DataFrame:
                 for i, v in zip(r["queries"], q, strict=True):
                     at, scores = candidates(x, v, ids == i, k)
                     best.add(i, scores.tolist(), names[at].tolist(), ids[at].tolist())
-            if len(best.of) > 50_000:
+            if len(best.of) > HELD:
                 yield best.batch()
         yield best.batch()
 
