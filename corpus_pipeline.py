@@ -50,8 +50,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the packed sequences. A null text is its end alone; repeated rows are packed each; an empty table gives none."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048)
+    """Where each piece of each document stands in the packed sequences. A null text is its end alone; repeated rows are packed each; an empty table gives none.
+
+    The stages before leave the executors' heaps full, so workers hold fewer words than in a session that only packs, and encode some anew.
+    """
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, held=200_000, chunk=1 << 21)
 
 
 STAGES: list[tuple[str, Stage]] = [

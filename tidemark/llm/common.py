@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,7 @@ def only(make: Callable, *args):
     key = (make, args)
     if key not in _held:
         _held.clear()
+        pa.default_memory_pool().release_unused()  # what an earlier stage's batches took
         _held[key] = make(*args)
     return _held[key]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from operator import add
 
@@ -26,14 +26,21 @@ GROUP = 20_000
 PLAIN = re.compile(r"(?m)^(([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'\p{M}]*))$")
 
 
-#: Words that a worker holds with their ids, some 250 bytes each with their stems, before it forgets them all.
-HELD = 1_200_000
+#: Words that a worker holds with their ids in one of two generations, some 160 bytes each. A full one becomes the older and pushes that out; words found there are held on.
+HELD = 600_000
+
+#: Characters of text that are split into words at once, some 25 bytes each until their ids are there.
+CHUNK = 1 << 22
+
+#: Words that the tokenizer gets at once, and that are learnt at once: what is made of each is large until its ids are taken.
+AT_ONCE, LEARNT = 2000, 20_000
 
 
 class Ids:
     """Ids of whole texts by a tokenizers file whose tokens never hold white space and mark the ends of words; distinct words are encoded once while they are held."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = HELD):
+        self.most = most
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -42,44 +49,53 @@ class Ids:
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.held: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {"": b""}
+        self.held: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return self.encoded([text])[0]
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
+
+    def missing(self, words: Iterable[str]) -> list[str]:
+        """Those of the words that neither generation holds; the newer one holds the others from then on."""
+        new = [w for w in words if w not in self.held]
+        back = [w for w in new if w in self.older]
+        self.held.update(zip(back, map(self.older.__getitem__, back), strict=True))
+        return [w for w in new if w not in self.older] if back else new
 
     def learn(self, words: list[str]) -> None:
-        """The ids of new words. Plain ones are encoded many in a text; ids that end a word tell them apart."""
+        """The ids of new words. Plain ones are encoded many in a text, by their stems, which are words too; ids that end a word tell them apart."""
         plain = PLAIN.findall("\n".join(words))
-        lower = "\n".join([stem for _, stem, _ in plain]).lower().split("\n")  # letter by letter, as these letters are
-        stems = list(set(lower) - self.stems.keys())
-        for at in range(0, len(stems), 2000):
-            some = stems[at : at + 2000]
+        lower = "\n".join([stem for _, stem, _ in plain]).lower().split("\n") if plain else []  # letter by letter, as these letters are
+        stems = self.missing(set(lower))
+        for at in range(0, len(stems), AT_ONCE):
+            some = stems[at : at + AT_ONCE]
             found = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.nonzero(self.ends[found])[0] + 1
             if len(stops) == len(some) and stops[-1] == len(found):
                 data, ends = found.tobytes(), (4 * stops).tolist()
-                self.stems.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+                self.held.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=False))
             else:
-                self.stems.update((w, self.whole(w)) for w in some)
-        self.stems.update((t, self.whole(t)) for t in {tail for _, _, tail in plain} - self.stems.keys())
-        get, names = self.stems.__getitem__, [w for w, _, _ in plain]
-        self.held.update(zip(names, map(add, map(get, lower), map(get, [tail for _, _, tail in plain])), strict=True) if plain else ())
-        rest = list(set(words).difference(names))
-        self.held.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+                self.held.update(zip(some, self.encoded(some), strict=True))
+        names, tails = [w for w, _, _ in plain], [tail for _, _, tail in plain]
+        rest = [*self.missing(set(tails)), *set(words).difference(names)]
+        self.held.update(zip(rest, self.encoded(rest), strict=True))
+        get = self.held.__getitem__
+        self.held.update(zip(names, list(map(add, map(get, lower), map(get, tails))), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit. Texts with special strings, or with separators that only Python takes for white space, go to the tokenizer whole."""
         odd = [any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        if len(self.held) > HELD:
-            self.held.clear()
-            self.stems = {"": b""}
+        if len(self.held) > self.most:
+            self.held, self.older = {"": b""}, self.held
         coded = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()  # each distinct word of the texts is looked up once
         words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        new = [w for w in words if w not in self.held]
-        if new:
-            self.learn(new)
+        new = self.missing(words)
+        for first in range(0, len(new), LEARNT):
+            self.learn(new[first : first + LEARNT])
         known = list(map(self.held.__getitem__, words))
         flat, n = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
         begins, long = np.cumsum(n) - n, n[at]
@@ -89,14 +105,14 @@ class Ids:
         return [self.whole(t) if o else ids[a:b] for t, o, a, b in zip(texts, odd, stops, stops[1:], strict=False)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end: int = 0, held: int = HELD, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids, then the id `end`, cut every `size` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, closing = only(Ids, tokenizer), np.array([end], "<u4").tobytes()
+        encode, closing = only(Ids, tokenizer, held), np.array([end], "<u4").tobytes()
         for b in batches:
-            rows = iter(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            for some in chunks(rows, lambda r: len(r[1] or ""), 1 << 22):
+            rows = ((i, t) for at in range(0, b.num_rows, 100) for part in [b.slice(at, 100)] for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+            for some in chunks(rows, lambda r: len(r[1] or ""), chunk):
                 out = []
                 for (doc_id, _), own in zip(some, encode([t or "" for _, t in some]), strict=True):
                     own += closing
@@ -249,15 +265,16 @@ def pack_lengths(lengths: list[int], size: int) -> list[list[int]]:
     return [b for b in bins if b]
 
 
-def pack(docs: DataFrame, tokenizer: str, *, size: int = 2048, end: int = 0, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, size: int = 2048, end: int = 0, group: int = GROUP, held: int = HELD, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids by the tokenizers file, then the id `end`; only longer ones than `size` are cut, every `size` ids.
     Pieces are dealt at random into groups of about `group`, and each group is packed in one task: best fit, then swaps. A
     task's work is bounded whatever the table's size, and a group wastes no more than its last few bins. Null text counts as
     empty: its end alone. A null id stays null; repeated rows are packed each; an empty table gives no rows; other columns are not read.
+    `held` and `chunk` set what a Python worker needs, for time: words that it holds a generation, and characters that it splits at once.
     """
-    cut = settle(pieces(docs, tokenizer, size=size, end=end, id_col=id_col, text_col=text_col))
+    cut = settle(pieces(docs, tokenizer, size=size, end=end, held=held, chunk=chunk, id_col=id_col, text_col=text_col))
     groups = -(-cut.count() // group) or 1
 
     def run(held: pd.DataFrame) -> pd.DataFrame:
