@@ -27,7 +27,7 @@ PLAIN = re.compile(r"(?m)^(([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'\p{M}]*))$")
 
 
 #: Words that a worker holds with their ids in one of two generations, some 160 bytes each. A full one becomes the older and pushes that out; words found there are held on.
-HELD = 600_000
+HELD = 900_000
 
 #: Characters of text that are split into words at once, some 25 bytes each until their ids are there.
 CHUNK = 1 << 22
