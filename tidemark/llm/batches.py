@@ -21,8 +21,59 @@ BATCH_BYTES = 32 << 20
 
 SCHEMA = "batch long, docs array<long>, counts array<int>, marks array<boolean>, places binary, words array<{word}>, seen array<int>"
 
-#: Made inside a task: the function from a text to its units, and the one from a unit to its words (None: units are words).
-Splitter = Callable[[], tuple[Callable[[str], list], Callable[[object], tuple] | None]]
+#: Made inside a task: the function from texts to their distinct words, the places in those of all their words in order, and how many words each text has.
+Splitter = Callable[[], Callable[[list[str]], tuple[pa.Array, np.ndarray, np.ndarray]]]
+
+
+def one_by_one(words_of: Callable[[str], list], kind: pa.DataType) -> Callable[[list[str]], tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """What a Splitter makes, from the function that gives a text's words."""
+
+    def split(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        numbers, blocks = _numbers(), []
+        for text in texts:
+            own = words_of(text)
+            blocks.append(np.fromiter(map(numbers.__getitem__, own), np.uint32, len(own)))
+        counts = np.array([len(x) for x in blocks], np.int64)
+        return pa.array(list(numbers), kind), np.concatenate([np.zeros(0, np.uint32), *blocks]), counts
+
+    return split
+
+
+def _coded(batches: Iterator[pa.RecordBatch], split: Splitter) -> Iterator[tuple]:
+    """A batch's name, its rows (id, text), its distinct words, the most frequent first, the places of all its words in those, how many each text has, and the order of the words."""
+    coded, part = split(), TaskContext.get().partitionId()
+    rows = ((i, t or "") for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    for number, held in enumerate(chunks(rows, lambda r: len(r[1]) + 64, BATCH_BYTES)):
+        listed, at, counts = coded([t for _, t in held])
+        often = np.argsort(-np.bincount(at, minlength=len(listed)), kind="stable")
+        rank = np.empty(len(listed), np.uint32)
+        rank[often] = np.arange(len(listed), dtype=np.uint32)
+        yield part << 24 | number, held, listed.take(pa.array(often)), rank[at], counts
+
+
+def _read(docs: DataFrame, stable: bool, id_col: str, text_col: str) -> DataFrame:
+    read = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    return read if stable else settle(read)
+
+
+def apart(docs: DataFrame, split: Splitter, *, stable: bool = False, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """batched() for those who need its words in other tasks than its places, in two tables: (batch, docs, counts, places, n_words) and (batch, place, word)."""
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, held, listed, at, counts in _coded(batches, split):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([pack(at)], pa.binary()), pa.array([len(listed)], pa.int32())],
+                names=["batch", "docs", "counts", "places", "n_words"],
+            )
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, _, listed, _, _ in _coded(batches, split):
+            for at in range(0, len(listed), 1 << 16):
+                some = listed.slice(at, 1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), name, np.int64)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), some.cast(pa.string())], names=["batch", "place", "word"])
+
+    read = _read(docs, stable, id_col, text_col)
+    return read.mapInArrow(order, "batch long, docs array<long>, counts array<int>, places binary, n_words int"), read.mapInArrow(each, "batch long, place int, word string")
 
 
 def batched(docs: DataFrame, split: Splitter, word_type: str, mark: Callable[[object], bool] | None = None, *, stable: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,43 +87,20 @@ def batched(docs: DataFrame, split: Splitter, word_type: str, mark: Callable[[ob
     arrow_word = {"string": pa.string(), "binary": pa.binary()}[word_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (units_of, words_of), part = split(), TaskContext.get().partitionId()
-        rows = ((i, t or "") for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        for number, held in enumerate(chunks(rows, lambda r: len(r[1]) + 64, BATCH_BYTES)):
-            units = _numbers()
-            blocks = []
-            for _, text in held:
-                own = units_of(text)
-                blocks.append(np.fromiter(map(units.__getitem__, own), np.uint32, len(own)))
-            sizes = np.array([len(x) for x in blocks], np.int64)
-            at, listed, counts = np.concatenate(blocks), list(units), sizes
-            if words_of:
-                words = _numbers()
-                parts = [words_of(u) for u in listed]
-                flat = np.fromiter((words[w] for p in parts for w in p), np.uint32)
-                n = np.array([len(p) for p in parts], np.int64)
-                begins, long = np.cumsum(n) - n, n[at]
-                ends = np.concatenate([[0], np.cumsum(long)])
-                counts = np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
-                at = flat[np.repeat(begins[at] - ends[:-1], long) + np.arange(ends[-1])]
-                listed = list(words)
-            often = np.argsort(-np.bincount(at, minlength=len(listed)), kind="stable")
-            rank = np.empty(len(listed), np.uint32)
-            rank[often] = np.arange(len(listed), dtype=np.uint32)
+        for name, held, listed, at, counts in _coded(batches, split):
             marks, seen = [False] * len(held), np.zeros(len(listed), np.int32)
             if mark:
                 marks = [bool(mark(i)) for i, _ in held]
-                seen = np.bincount(at[~np.repeat(np.array(marks, bool), counts)], minlength=len(listed))[often].astype(np.int32)
+                seen = np.bincount(at[~np.repeat(np.array(marks, bool), counts)], minlength=len(listed)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part << 24 | number]), pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([marks], pa.list_(pa.bool_())),
-                    pa.array([pack(rank[at])], pa.binary()), pa.array([[listed[i] for i in often.tolist()]], pa.list_(arrow_word)), pa.array([seen], pa.list_(pa.int32())),
+                    pa.array([name]), pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([marks], pa.list_(pa.bool_())),
+                    pa.array([pack(at)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed.cast(arrow_word)), pa.array([seen], pa.list_(pa.int32())),
                 ],
                 names=["batch", "docs", "counts", "marks", "places", "words", "seen"],
             )
 
-    read = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    return (read if stable else settle(read)).mapInArrow(run, SCHEMA.format(word=word_type))
+    return _read(docs, stable, id_col, text_col).mapInArrow(run, SCHEMA.format(word=word_type))
 
 
 def _numbers() -> Memo:

@@ -8,12 +8,19 @@ import json
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import Memo, col
 
 
+#: No rank: above all there are.
+NONE = 1 << 40
+#: Bytes of the longest words that are merged together with others.
+TOGETHER = 40
+
+
 class Merges:
     """Ranked merges of adjacent symbols. Symbols are small integers; a merge's rank also finds its product."""
 
@@ -98,6 +105,65 @@ class Merges:
         return len(word) - self._merged(word)[1]
 
 
+    @functools.cached_property
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of bytes, pairs in order, the ranks of those, and products of ranks."""
+        pairs = np.array(sorted(self.rank_of_pair), np.int64)
+        ranks = np.fromiter(map(self.rank_of_pair.__getitem__, pairs.tolist()), np.int64, len(pairs))
+        product = np.zeros(ranks.max(initial=0) + 1, np.int64)
+        product[ranks] = [self.product_of_rank[r] for r in ranks.tolist()]
+        return np.array(self.symbol_of_byte, np.int64), np.append(pairs, 1 << 62), np.append(ranks, NONE), product
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NONE where there is none."""
+        _, pairs, ranks, _ = self._arrays
+        wanted = left << 20 | right
+        at = np.searchsorted(pairs, wanted)
+        return np.where(pairs[at] == wanted, ranks[at], NONE)
+
+    def merge_all(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many symbols merging leaves of each word, and those of all words, in order. Words (large strings) of one length are merged
+        together, one pair of each at a time, so all that still merge stay of one length; long ones are merged each by itself."""
+        symbols, _, _, product = self._arrays
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        lengths, sizes, done = np.diff(offsets), np.zeros(len(words), np.int64), []
+        for length in np.unique(lengths).tolist():
+            rows = np.nonzero(lengths == length)[0]
+            if length > TOGETHER:
+                for row in rows.tolist():
+                    own = np.array(self.merge(data[offsets[row] : offsets[row + 1]].tobytes()), np.int64)
+                    done.append((np.array([row]), own[None]))
+                continue
+            sym = symbols[data[offsets[rows][:, None] + np.arange(length)]]
+            rank = self._ranks(sym[:, :-1], sym[:, 1:])
+            while sym.shape[1] > 1:
+                m, at = sym.shape[1], rank.argmin(axis=1)
+                best = rank[np.arange(len(rows)), at]
+                on = best < NONE
+                if not on.all():
+                    done.append((rows[~on], sym[~on]))
+                    rows, sym, rank, at, best = rows[on], sym[on], rank[on], at[on], best[on]
+                if not len(rows):
+                    break
+                each = np.arange(len(rows))
+                sym[each, at] = product[best]
+                keep = np.arange(m) != (at + 1)[:, None]
+                sym = sym[keep].reshape(len(rows), m - 1)
+                rank = rank[keep[:, 1:]].reshape(len(rows), m - 2)
+                inner, last = at > 0, at < m - 2
+                rank[each[inner], at[inner] - 1] = self._ranks(sym[each[inner], at[inner] - 1], sym[each[inner], at[inner]])
+                rank[each[last], at[last]] = self._ranks(sym[each[last], at[last]], sym[each[last], at[last] + 1])
+            if len(rows):
+                done.append((rows, sym))
+        for rows, sym in done:
+            sizes[rows] = sym.shape[1]
+        begins, out = np.cumsum(sizes) - sizes, np.zeros(sizes.sum(), np.uint32)
+        for rows, sym in done:
+            out[begins[rows][:, None] + np.arange(sym.shape[1])] = sym
+        return sizes, out
+
+
 def byte_letters() -> str:
     """The printable letter that stands for each byte in byte-level vocabularies: visible Latin-1 is itself, others follow from U+0100."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}

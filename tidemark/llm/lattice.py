@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import batched, checked, regroup, unpack, words
+from tidemark.llm.batches import batched, checked, one_by_one, regroup, unpack, words
 from tidemark.llm.common import settle
 
 #: Stands before each word in the vocabulary's pieces.
@@ -187,7 +187,7 @@ def held_out_by_id(doc_id) -> bool:
 
 
 def _lower_words():
-    return lambda text: text.encode().lower().split(), None
+    return one_by_one(lambda text: text.encode().lower().split(), pa.binary())
 
 
 def _adapt(stats: DataFrame, model: str, prior: float) -> tuple[np.ndarray, int, int]:
