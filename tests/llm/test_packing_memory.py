@@ -22,3 +22,14 @@ def test_words_that_come_back_are_held_on_and_others_go():
         hits.append(len(set(common) & (encode.held.keys() | encode.older.keys())))
     assert most < 2 * (300 + 400)  # a generation is full when a text begins
     assert min(hits) == len(set(common))
+
+
+def test_words_that_are_held_are_not_looked_up_again_and_texts_are_cut_at_all_white_space():
+    encode, asked = Ids(P.path("word_bpe_49k.json")), []
+    missing = encode.missing
+    encode.missing = lambda words: missing(asked.append(len(words)) or words)
+    texts = [" the  and\nof　é x\t", "", "the of", " ", "\x85and ", "a\x1cb", "word " * 400_000]
+    first = encode(texts)
+    assert first == [encode.whole(t) for t in texts] and max(asked)
+    asked.clear()
+    assert encode(texts) == first and not any(asked)

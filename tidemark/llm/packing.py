@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +29,11 @@ PLAIN = re.compile(r"(?m)^(([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'\p{M}]*))$")
 #: Words that a worker holds with their ids in one of two generations, some 160 bytes each. A full one becomes the older and pushes that out; words found there are held on.
 HELD = 900_000
 
-#: Characters of text that are split into words at once, some 25 bytes each until their ids are there.
-CHUNK = 1 << 22
+#: Characters of text that are split into words at once, a text more at most; the more, the fewer times a frequent word is looked up.
+CHUNK = 1 << 23
+
+#: Words whose ids are put in their places at once, a text more at most.
+EXPANDED = 1 << 19
 
 #: Words that the tokenizer gets at once, and that are learnt at once: what is made of each is large until its ids are taken.
 AT_ONCE, LEARNT = 2000, 20_000
@@ -88,21 +91,31 @@ class Ids:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit. Texts with special strings, or with separators that only Python takes for white space, go to the tokenizer whole."""
         odd = [any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
+        split = pc.utf8_split_whitespace(pa.array(["" if o else t for t, o in zip(texts, odd, strict=True)], pa.large_string()))
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        coded = split.flatten().dictionary_encode()  # each distinct word of the texts is looked up once; an empty one stands where white space begins or ends a text
+        del split
         if len(self.held) > self.most:
             self.held, self.older = {"": b""}, self.held
-        coded = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()  # each distinct word of the texts is looked up once
-        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        new = self.missing(words)
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = list(map(self.held.get, words))
+        gaps = [i for i, own in enumerate(known) if own is None]
+        new = self.missing([words[i] for i in gaps])
         for first in range(0, len(new), LEARNT):
             self.learn(new[first : first + LEARNT])
-        known = list(map(self.held.__getitem__, words))
+        for i in gaps:
+            known[i] = self.held[words[i]]
         flat, n = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
-        begins, long = np.cumsum(n) - n, n[at]
-        ends = np.concatenate([[0], np.cumsum(long)])
-        ids = flat[np.repeat(begins[at] - ends[:-1], long) + np.arange(ends[-1])].tobytes()
-        stops = (4 * ends[np.cumsum([0, *map(len, split)])]).tolist()
-        return [self.whole(t) if o else ids[a:b] for t, o, a, b in zip(texts, odd, stops, stops[1:], strict=False)]
+        begins, out, to = np.cumsum(n) - n, [], 0
+        for some in chunks(iter(counts.tolist()), lambda k: k, EXPANDED):
+            stops = np.concatenate([[0], np.cumsum(some)])
+            own = at[to : to + stops[-1]]
+            to += stops[-1]
+            ends = np.concatenate([[0], np.cumsum(n[own])])
+            ids = flat[np.repeat(begins[own] - ends[:-1], n[own]) + np.arange(ends[-1])].tobytes()
+            cuts = (4 * ends[stops]).tolist()
+            out += [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+        return [self.whole(t) if o else own for t, o, own in zip(texts, odd, out, strict=True)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, size: int = 2048, end: int = 0, held: int = HELD, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
