@@ -98,6 +98,17 @@ def test_leaves_and_margins_agree_and_copies_spread():
     assert len(np.unique(cosines(np.repeat(r.normal(size=(1, 33)), 50, axis=0), r.normal(size=33)))) == 1
 
 
+def test_no_row_lies_on_a_cut():
+    """An odd number of rows has its median in one of them; sums in another order would put that row on either side."""
+    x = units(np.random.default_rng(5).normal(size=(1023, 8)))
+    tree, parts = fit(x, 6, 1), {0: np.arange(len(x))}
+    for node, row in enumerate(tree):
+        own = parts.pop(node)
+        far = x[own] @ row[:-1] - row[-1]
+        assert row[:-1].any() and np.abs(far).min() > 1e-12
+        parts[2 * node + 1], parts[2 * node + 2] = own[far > 0], own[far <= 0]
+
+
 def test_candidates_hold_all_ties():
     x, q = np.array([[1.0, 0], [2.0, 0], [0, 1.0], [3.0, 0]]), np.array([5.0, 0])
     at, scores = candidates(x, q, np.array([True, False, False, False]), 1)

@@ -104,7 +104,7 @@ def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, levels: int, seed: int) -> np.ndarray:
-    """A tree of `levels` levels over unit rows x. A node cuts between two means of a few rows, at the median; where most rows are copies, by chance."""
+    """A tree of `levels` levels over unit rows x. A node cuts between two means of a few rows, next to the median; where most rows are copies, by chance."""
     rng = np.random.default_rng(seed)
     out = np.zeros(((1 << levels) - 1, x.shape[1] + 1))
     parts = {0: np.arange(len(x))}
@@ -126,7 +126,7 @@ def fit(x: np.ndarray, levels: int, seed: int) -> np.ndarray:
                 middle = np.median(p)
                 side = p > middle
                 if 0.1 <= side.mean() <= 0.9:
-                    out[node, :-1], out[node, -1] = w / size, middle
+                    out[node, :-1], out[node, -1] = w / size, (p[~side].max() + p[side].min()) / 2  # between two rows, so that rounding doesn't decide about the median
                 else:
                     side = None
         if side is None:
