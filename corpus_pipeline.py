@@ -24,8 +24,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, as they are. A null text has no words and goes; rows that repeat are judged each; an empty table gives none."""
-    rated = quality(docs, [public_tokenizers.path(name) for name in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")], pass_through=tuple(docs.columns))
+    """Documents that the quality rules keep, as they are. A null text has no words and goes; rows that repeat are judged each; an empty table gives none.
+
+    In a session that has run the other stages before, the executors' heaps are full, so workers hold fewer words than where nothing else runs.
+    """
+    rated = quality(docs, [public_tokenizers.path(name) for name in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")], pass_through=tuple(docs.columns), held=200_000)
     return rated.filter(col(rated.columns[-1])).select(*map(col, docs.columns))
 
 

@@ -4,11 +4,15 @@ import base64
 import math
 import re
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from paragraphs import PARAGRAPHS
+from pyspark.sql import functions as F
 
-from tidemark.llm.quality import BANDS, quality, script_of
+import corpus_pipeline
+from tidemark.llm.quality import BANDS, CHUNK, Lexicon, quality, script_of
 
 FILES = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
 
@@ -80,3 +84,31 @@ def test_kept_is_that_of_a_plain_loop(spark, models):
     want = {r["doc_id"]: plain_kept(r["text"] or "", models) for r in some}
     got = {r["doc_id"]: r["kept"] for r in quality(spark.createDataFrame(some, docs.schema), [P.path(f) for f in FILES]).collect()}
     assert {i: got[i] for i in want} == want and sum(want.values()) > 100 and sum(not v for v in want.values()) > 20
+
+
+def test_a_batch_is_judged_and_handed_on_in_bounded_parts_and_its_text_is_sent_once(spark, monkeypatch):
+    taken = {}
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: taken.update(run=run, sent=self.columns) or self.select(*(F.col(c).alias(n) for c, n in zip(self.columns, schema.names, strict=False)), *(F.lit(True).alias(n) for n in schema.names[len(docs.columns) :])))
+    corpus_pipeline.quality_rules(spark, docs, "")
+    assert len(taken["sent"]) == len(docs.columns)
+    texts = [t * 400 for t in PARAGRAPHS.values()][:20] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"c0": list(range(len(texts))), "c1": texts, "c2": [None] * len(texts), "c3": ["s"] * len(texts), "c4": [0] * len(texts)})
+    parts = list(taken["run"](iter([batch])))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts))) and [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert len(parts) > 2 and all(sum(len(t or "") for t in p.column(1).to_pylist()[:-1]) < CHUNK for p in parts)
+
+
+def test_held_words_are_bounded_and_what_is_told_stays():
+    paths = tuple(P.path(f) for f in FILES)
+    few, many = Lexicon(paths, 300), Lexicon(paths)
+    for _ in range(2):
+        for text in PARAGRAPHS.values():
+            words = text.split()
+            told = []
+            for known in (few, many):
+                known.learn(list(dict.fromkeys(words)))
+                told.append(known.fertility(np.array([known.number[w] for w in words]), sum(map(len, words))))
+            assert told[0] == told[1]
+            assert len(few.number) <= 300 + len(set(words))
+    assert len(many.number) > 1000

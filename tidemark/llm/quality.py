@@ -188,11 +188,15 @@ def _cut_by_bytes(model, long: np.ndarray, words: list[str]) -> tuple[np.ndarray
 #: Words that a worker holds with their tokens, some 200 bytes each, before it forgets them all.
 HELD = 600_000
 
+#: Characters of text that are judged and handed on at once, a text more at most.
+CHUNK = 1 << 20
+
 
 class Lexicon:
     """Numbers words as they come, and holds their tokens by each vocabulary side by side, until there are too many."""
 
-    def __init__(self, vocabularies: Sequence[str]):
+    def __init__(self, vocabularies: Sequence[str], most: int = HELD):
+        self.most = most
         os.environ.setdefault("OMP_NUM_THREADS", "1")
         self.public = [Vocabulary(path) for path in vocabularies]
         self.forget()
@@ -203,7 +207,7 @@ class Lexicon:
         self.begins = list(self.sizes)
 
     def learn(self, words: list[str]) -> None:
-        if len(self.number) > HELD:
+        if len(self.number) > self.most:
             self.forget()
         new = [w for w in words if w not in self.number]
         if not new:
@@ -246,7 +250,7 @@ COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 _TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "string": pa.string()}
 
 
-def quality(docs: DataFrame, vocabularies: Sequence[str], *, bands: dict[str, Band] | None = None, min_words: int = 50, most_repeated: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pass_through: tuple[str, ...] = ()) -> DataFrame:
+def quality(docs: DataFrame, vocabularies: Sequence[str], *, bands: dict[str, Band] | None = None, min_words: int = 50, most_repeated: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pass_through: tuple[str, ...] = (), held: int = HELD) -> DataFrame:
     """One row per input row: its id, word and symbol counts, what each vocabulary's tokens say, base_failed and kept.
 
     vocabularies: paths, that executors can open, of sentencepiece models (.model) or byte-level rank files. base_failed:
@@ -255,7 +259,8 @@ def quality(docs: DataFrame, vocabularies: Sequence[str], *, bands: dict[str, Ba
     for it), else of the text's script. Null text counts as empty and so fails; a null id stays null; repeated rows each get
     their row; an empty table gives none. `pass_through` names columns to return as they are in front; where their names
     clash with those of the measures, the measures get underscores.
-    Texts are read whole, one row at a time, so memory follows the longest text, not the partition.
+    Texts are read whole, a bounded number of characters at a time and a text more at most, so memory follows the longest text, not the partition.
+    `held` sets what a Python worker needs, for time: words that it holds with their tokens.
     """
     bands = BANDS if bands is None else bands
     lang = col(lang_col).cast("string") if lang_col.lower() in {c.lower() for c in docs.columns} else F.lit(None).cast("string")
@@ -266,11 +271,12 @@ def quality(docs: DataFrame, vocabularies: Sequence[str], *, bands: dict[str, Ba
     out_schema = StructType([*carried, *(StructField(name, t.dataType) for name, t in zip(names, StructType.fromDDL(COLUMNS).fields, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = only(Lexicon, tuple(vocabularies))
+        known = only(Lexicon, tuple(vocabularies), held)
         for batch in batches:
-            rows: list[tuple] = []
-            texts = batch.column(len(carried) + 1).to_pylist()
-            for part in chunks(iter(zip(batch.column(len(carried)).to_pylist(), texts, batch.column(len(carried) + 2).to_pylist(), strict=True)), lambda r: len(r[1] or ""), 1 << 20):
+            given = ((i, t, of) for start in range(0, batch.num_rows, 100) for few in [batch.slice(start, 100)] for i, t, of in zip(*(few.column(k).to_pylist() for k in at), strict=True))
+            done = 0
+            for part in chunks(given, lambda r: len(r[1] or ""), CHUNK):
+                rows: list[tuple] = []
                 split = [(i, t or "", words_of(t or ""), of) for i, t, of in part]
                 coded = pa.array(list(chain.from_iterable(w for _, _, w, _ in split)), pa.string()).dictionary_encode()  # each distinct word is looked up once
                 distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -287,8 +293,15 @@ def quality(docs: DataFrame, vocabularies: Sequence[str], *, bands: dict[str, Ba
                     band = bands.get(of) or bands[script]
                     told = known.fertility(numbers, chars)
                     rows.append((doc_id, n, chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeats, failed, *([t[i] for t in told] for i in range(3)), script, not failed and within(band, told)))
-            own = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *own], names=[*(f.name for f in carried), *names])
-
-    read = [*map(col, pass_through), col(id_col).cast("long"), col(text_col).cast("string"), lang]
+                own = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(done, len(part)).columns[: len(carried)], *own], names=[*(f.name for f in carried), *names])
+                done += len(part)
+
+    read, at = list(map(col, pass_through)), []  # at: where the id, the text and the language stand; what is passed through isn't sent again
+    for name, kind, column in ((id_col, "bigint", col(id_col).cast("long")), (text_col, "string", col(text_col).cast("string")), (lang_col, "string", lang)):
+        if (name, kind) in kept.dtypes:
+            at.append(kept.dtypes.index((name, kind)))
+        else:
+            at.append(len(read))
+            read.append(column)
     return docs.select(*(c.alias(f"c{i}") for i, c in enumerate(read))).mapInArrow(run, out_schema)
